@@ -99,7 +99,7 @@ def suspects_filter(docs: DataFrame, bits: int) -> bytes:
     )
     out = bytearray(bits // 8)
     step = SEGMENT // 8
-    for row in merged.toLocalIterator():  # bits / 8 bytes in all, at most MOST_BITS / 8
+    for row in merged.collect():  # bits / 8 bytes in all, at most MOST_BITS / 8
         out[row["segment"] * step : (row["segment"] + 1) * step] = zlib.decompress(row["twice"])
     return bytes(out)
 
@@ -187,7 +187,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int =
         return out.assign(n_lines=n_lines, n_dropped=n_dropped, kept_sha256=shas)
 
     if removal.count() <= broadcast_rows:
-        table = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in removal.select("key", "keep").toLocalIterator()})
+        table = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in removal.select("key", "keep").collect()})
 
         def by_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keep = table.value

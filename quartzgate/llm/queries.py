@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing
+from . import bpe, licenses, line_dedup, nearest, packing, quality, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,23 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = nearest.clean(_table(spark, folder, "embeddings"))
+    return nearest.search(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 #: Line dedup as SQL: keys, their documents and what stays.
 OP5_SQL = r"""
 WITH cut AS (
@@ -56,5 +73,9 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op8_license_scan": op8_license_scan,
+    "op9_url_filter": op9_url_filter,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {"op5_line_dedup": OP5_SQL}
