@@ -6,6 +6,16 @@ import os
 
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable() -> None:
+    """Let Python workers that start from now on import this package, wherever the driver was started."""
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +29,7 @@ SETTINGS = {
 
 def build(app: str = "quartzgate", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the library's settings; on a cluster `master` comes from spark-submit."""
+    importable()
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
