@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, nearest, packing, quality, urls
+from . import bpe, licenses, line_dedup, nearest, ngram_join, packing, quality, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(_table(spark, folder, "documents"), k=4, num=85, den=100)
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -70,6 +74,7 @@ GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
