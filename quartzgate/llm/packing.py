@@ -11,6 +11,7 @@ pieces of its length, which is counted in salted groups, so no group grows with
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -28,74 +29,130 @@ CAPACITY = 4096
 END_ID = 1
 #: Salted groups of one length: at most CAPACITY * SALTS groups are counted.
 SALTS = 64
-#: Chunks that a worker remembers before it starts anew.
-CACHE = 500_000
+#: Units that a worker remembers before it starts anew.
+CACHE = 800_000
 #: Python counts these as white space, Unicode doesn't; "<|" may start a special token.
 WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-#: A word of letters that lower-case and compose one by one, with marks after it.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
 
 
-class Recent(dict):
-    """A dictionary of bounded size: when full, it keeps the last generation and drops the one before."""
+class Memory:
+    """What a worker remembers of the units it has encoded: their hashes, and their ids end to end."""
 
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.old = most, {}
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
+        from tokenizers import Tokenizer
 
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_padding()
+        self.tok.no_truncation()
+        self.clear()
 
-    def turn(self) -> None:
-        """Called between batches, never while one relies on what it just stored."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.start = np.zeros(1 << 18, np.int64)
 
-    def unknown(self, keys: set) -> list:
-        return [k for k in keys if k not in self and k not in self.old]
+    def add(self, hashes: list[int], units: list[str]) -> None:
+        made = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        flat = list(itertools.chain.from_iterable(made))
+        n, more = len(self.slot), len(made)
+        used = int(self.start[n])
+        self.slot.update(zip(hashes, range(n, n + more)))
+        while used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + more + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.ids[used : used + len(flat)] = flat
+        self.start[n + 1 : n + more + 1] = used + np.cumsum(np.fromiter(map(len, made), np.int64, more))
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_padding()
-    tok.no_truncation()
-    return tok, Recent(CACHE), Recent(CACHE)
+def _memory(path: str) -> Memory:
+    return Memory(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point below 65536 its kind (0 blank, 1 letter that changes case and composes by itself,
+    2 mark other than the apostrophe, 3 anything else) and what lower case adds to it."""
+    kind, add = np.full(65536, 3, np.uint8), np.zeros(65536, np.uint32)
+    for c in range(65536):
+        if chr(c).isspace():
+            kind[c] = 0
+    for c in [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]:
+        kind[c] = 1
+    for c in range(33, 127):
+        if not chr(c).isalnum() and c != 39:
+            kind[c] = 2
+    add[65:91] = add[192:215] = add[216:223] = 32
+    return kind, add
+
+
+def chunk_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the code points of each chunk."""
+    size = ends - begins
+    total = int(size.sum())
+    within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+    h = codes[np.repeat(begins, size) + within].astype(np.uint64) << np.uint64(32) | within.astype(np.uint64)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return np.add.reduceat(h, np.cumsum(size) - size) if total else h
 
 
 def encode_batch(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, as the library gives for whole texts.
 
-    The tokenizer drops white space and never joins across it, so chunks between white space are
-    encoded once each and remembered. A chunk of plain letters and marks is the ids of its word in
-    lower case and those of the marks, and these are remembered too. Texts with characters that only
-    one side counts as white space, or that may hold a special token, are encoded whole.
+    The tokenizer drops white space and never joins across it, nor across the edge of a run of letters
+    and a run of marks. So the units are such runs, in lower case, in chunks of nothing else, and
+    other chunks as they are; each different unit is encoded once and remembered by a 64-bit hash.
+    Texts with characters that only one side counts as white space, or that may hold a special
+    token, are encoded whole.
     """
-    tok, chunks, words = _tokenizer(path)
-    chunks.turn()
-    words.turn()
-    cut = [None if WHOLE.search(t) else t.split() for t in texts]
-    new = chunks.unknown(set().union(*(c for c in cut if c is not None)))
-    split = {}
-    for chunk in new:
-        m = PLAIN.fullmatch(chunk)
-        split[chunk] = (m[1].lower(), m[2]) if m else (chunk,)
-    unseen = words.unknown({p for parts in split.values() for p in parts if p})
-    for word, e in zip(unseen, tok.encode_batch_fast(unseen, add_special_tokens=False)):
-        words[word] = np.array(e.ids, "<u4").tobytes()
-    for chunk, parts in split.items():
-        chunks[chunk] = b"".join([words[p] for p in parts if p])
-    out = []
-    for text, found in zip(texts, cut):
-        if found is None:
-            out.append(np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-        else:
-            out.append(b"".join([chunks[c] for c in found]))
+    memory = _memory(path)
+    if len(memory.slot) > CACHE:
+        memory.clear()
+    whole = [WHOLE.search(t) is not None for t in texts]
+    big = "\n".join(["" if w else t for t, w in zip(texts, whole)]) + "\n"
+    codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), "<u4")
+    table, lower = _tables()
+    small = np.minimum(codes, 65535)
+    kind = table[small]
+    solid = kind > 0
+    edge = np.diff(np.concatenate([[False], solid]).astype(np.int8))
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ids, total = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    if len(begins):
+        odd = np.maximum.reduceat(kind, begins) == 3
+        if odd.any():
+            size = (ends - begins)[odd]
+            kind[np.repeat(begins[odd] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = 4
+        low = codes + np.where(kind == 1, lower[small], 0).astype("<u4")
+        change = kind[1:] != kind[:-1]
+        begins = np.flatnonzero(solid & np.concatenate([[True], change]))
+        ends = np.flatnonzero(solid & np.concatenate([change, [True]])) + 1
+        which, unique = pd.factorize(chunk_hashes(low, begins, ends))
+        keys = unique.tolist()
+        missing = [i for i, k in enumerate(keys) if k not in memory.slot]
+        if missing:
+            first = np.zeros(len(keys), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            at = first[missing]
+            text = low.tobytes().decode("utf-32-le", "surrogatepass")
+            cut = zip(begins[at].tolist(), ends[at].tolist())
+            memory.add([keys[i] for i in missing], [text[a:b] for a, b in cut])
+        slot = np.fromiter(map(memory.slot.__getitem__, keys), np.int64, len(keys))[which]
+        start = memory.start[slot]
+        size = memory.start[slot + 1] - start
+        total = np.cumsum(size)
+        ids = memory.ids[np.arange(total[-1]) + np.repeat(start - (total - size), size)]
+    lengths = np.array([0 if w else len(t) for t, w in zip(texts, whole)]) + 1
+    upto = np.concatenate([[0], np.concatenate([[0], total])[np.searchsorted(begins, np.cumsum(lengths))]])
+    flat = ids.astype("<u4").tobytes()
+    out = [flat[4 * a : 4 * b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+    for i in np.flatnonzero(whole):
+        out[i] = np.array(memory.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
     return out
 
 
