@@ -54,19 +54,24 @@ def _positions(keys, bits: int) -> np.ndarray:
     return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)], 1)
 
 
-def suspects_filter(docs: DataFrame, bits: int) -> bytes:
-    """The "seen twice" filter over the counted keys of all lines, `bits` bits packed into bytes.
+def _line_positions(texts, bits: int) -> np.ndarray:
+    return _positions([k for t in texts for k in line_keys(t)[1] if k is not None], bits)
 
-    A key that occurs in two lines anywhere has both its bits set. Each partition sends a position
+
+def suspects_filter(docs: DataFrame, bits: int, positions=_line_positions) -> bytes:
+    """The "seen twice" filter over the keys of all texts, `bits` bits packed into bytes; positions(texts,
+    bits) gives the filter positions of a batch's keys, by default of all lines' counted keys.
+
+    A key that occurs twice anywhere has all its bits set. Each partition sends a position
     once, or twice where it saw it twice; the merging tasks hold two bit arrays of their segments.
     """
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in common.small_batches(batches):
-            keys = [k for t in pdf["text"] for k in line_keys(t)[1] if k is not None]
-            if not keys:
+            at = positions(pdf["text"].tolist(), bits).ravel()
+            if not len(at):
                 continue
-            found, counts = np.unique(_positions(keys, bits).ravel(), return_counts=True)
+            found, counts = np.unique(at, return_counts=True)
             segment = (found // SEGMENT).astype(np.int64)
             cuts = np.flatnonzero(np.diff(segment)) + 1
             inside, twice = (found % SEGMENT).astype("<u2"), counts > 1

@@ -16,6 +16,7 @@ exact. A set whose parts are too often empty for the argument above is cut anew
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,11 +103,10 @@ def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (node, s): the sorted arrays of the documents in `wanted` (doc_id, node).
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of `docs` whose doc_id is in `ids` (doc_id), and a few that aren't.
 
-    A filter of fixed size picks the documents before their text is looked at, so texts don't move;
-    the few that it lets through by chance go in the join.
+    A filter of fixed size picks them before their text is looked at, so texts don't move.
     """
     spark = docs.sparkSession
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
@@ -118,24 +118,33 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 bits.setdefault(int(segment), np.zeros(8192, bool))[own["at"].to_numpy()] = True
         yield pd.DataFrame([(s, np.packbits(b).tobytes()) for s, b in bits.items()], columns=["segment", "bits"])
 
-    at = wanted.select(spread.alias("at")).distinct().select((F.col("at") / 8192).cast("int").alias("segment"), (F.col("at") % 8192).cast("int").alias("at"))
+    at = ids.select(spread.alias("at")).distinct()
+    at = at.select((F.col("at") / 8192).cast("int").alias("segment"), (F.col("at") % 8192).cast("int").alias("at"))
     packed = at.repartition(common.parts(spark), "segment").mapInPandas(pack, "segment int, bits binary").collect()
     whole = np.zeros(NEEDED_BITS // 8, np.uint8)
     for segment, bits in packed:
         whole[segment * 1024 : (segment + 1) * 1024] = np.frombuffer(bytes(bits), np.uint8)
-    sent = spark.sparkContext.broadcast(whole.tobytes())
+    sent = spark.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled = np.frombuffer(sent.value, np.uint8)
-        for pdf in common.small_batches(batches):
+        filled = np.frombuffer(zlib.decompress(sent.value), np.uint8)
+        for pdf in batches:
             at = pdf["at"].to_numpy(np.int64)
-            pdf = pdf[(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
-            if len(pdf):
-                found = shingles.sets(pdf["text"].tolist(), k)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [_node(s) for s in found], "s": [s.tobytes() for s in found]})
+            yield pdf.loc[(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool), ["doc_id", "text"]]
 
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("at", spread)
-    arrays = read.mapInPandas(run, "doc_id long, node long, s binary")
+    return read.mapInPandas(run, "doc_id long, text string")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Rows (node, s): the sorted arrays of the documents in `wanted` (doc_id, node)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in common.small_batches(batches):
+            found = shingles.sets(pdf["text"].tolist(), k)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [_node(s) for s in found], "s": [s.tobytes() for s in found]})
+
+    arrays = among(docs, wanted.select("doc_id")).mapInPandas(run, "doc_id long, node long, s binary")
     return arrays.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "s")
 
 
@@ -197,6 +206,27 @@ def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     return tiles.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def linked_components(members: DataFrame, arrays: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (node, component) of all nodes with a link. members: (key, node, anchor), where anchor is the
+    key's smallest node; arrays: (node, s); info: (node, n, bits).
+
+    Members are verified against their anchor first. Keys whose members are then still in different
+    components have them compared with each other in blocks.
+    """
+    stars = members.where("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct()
+    edges = common.materialize(_verified(stars, arrays, num, den), "ngram-edges")
+    linked = common.materialize(common.connected_components(edges), "ngram-first")
+    known = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    sizes = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+    open_groups = sizes.where("one < other").select("key", "size")
+    still = known.join(open_groups, "key").join(info, "node")
+    more = common.materialize(_verified(_blocks(still, num, den), arrays, num, den), "ngram-more")
+    if more.isEmpty():
+        return linked
+    merged = edges.unionByName(more)
+    return common.materialize(common.connected_components(merged), "ngram-components")
+
+
 def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id.
 
@@ -217,18 +247,8 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> Dat
     wanted = members.select("node").distinct().join(nodes, "node")
     arrays = common.materialize(_sets_of(docs, wanted, k), "ngram-arrays")
 
-    stars = members.where("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct()
-    edges = common.materialize(_verified(stars, arrays, num, den), "ngram-edges")
-    linked = common.materialize(common.connected_components(edges), "ngram-first")
-
-    known = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    sizes = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("one"), F.max("comp").alias("other"))
     info = held.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    open_groups = sizes.where("one < other").select("key", "size")
-    still = known.join(open_groups, "key").join(info, "node")
-    more = _verified(common.materialize(_blocks(still, num, den), "ngram-open"), arrays, num, den)
-    merged = common.materialize(edges.unionByName(more), "ngram-links")
-    components = common.materialize(common.connected_components(merged), "ngram-components")
+    components = linked_components(members, arrays, info, num, den)
 
     each = seen.select("doc_id", F.col("n").alias("n_shingles"), "node").join(components, "node", "left")
     each = each.withColumn("_class", F.coalesce("component", "node"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, nearest, ngram_join, packing, quality, urls
+from . import bpe, licenses, line_dedup, nearest, ngram_join, packing, passages, quality, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, folder, "documents"))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -76,6 +80,7 @@ GROUP BY doc_id
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op6_nearest_neighbours": op6_nearest_neighbours,
