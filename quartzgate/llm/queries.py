@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, nearest, ngram_join, packing, passages, quality, urls
+from . import bpe, fingerprints, licenses, line_dedup, nearest, ngram_join, packing, passages, quality, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, folder, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_fingerprints": op7_fingerprints,
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
