@@ -35,6 +35,8 @@ SEEDS = 4
 BITMAP, BLOCK = 64, 1024
 #: Bits of the filter that names the documents whose sets are read again: fixed at 16 MB.
 NEEDED_BITS = 1 << 27
+#: Ids of documents that go that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def bands(num: int, den: int, upto: int) -> np.ndarray:
@@ -261,4 +263,6 @@ def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) ->
     """The rows of `docs` that stay when one document of each group of linked ones does: the one whose
     doc_id is the component's. Rows with a null doc_id stay, and so do repeated rows of that one."""
     ids = join(docs, k, num, den).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti")
+    ids = common.materialize(ids, "ngram-gone")
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")

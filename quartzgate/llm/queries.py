@@ -12,7 +12,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -23,7 +23,7 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return bpe.encode_decode(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
