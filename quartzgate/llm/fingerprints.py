@@ -6,7 +6,8 @@ t = floor(ln S / r + b) and ln a = ln c - r (t - b + 1); the term with the least
 documents agree on a sample with a probability equal to the generalised Jaccard similarity of their
 weights. a depends on k and t alone, so the least a stands for the sample itself.
 
-Gamma variates come from tables of quantiles, so each costs a look-up instead of logarithms.
+Gamma variates come from interpolated tables of quantiles, so each costs two look-ups instead of three
+logarithms; in the lowest cell, which holds the least values, a series takes the table's place.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLES = 32
-#: Cells of the quantile tables.
-CELLS = 4096
+#: Cells of the quantile tables; few, as plans hold them once for each sample.
+CELLS = 256
 #: Neighbouring doc_ids that are dealt to one task together.
 RANGE = 64
 #: Buckets of ranges in which the next range is sought; each is handled by itself.
@@ -42,29 +43,33 @@ def gamma_quantile(u: float) -> float:
 
 def _table(values) -> Column:
     """A constant array: the optimizer folds it into a literal."""
-    return F.split(F.lit(",".join(f"{v:.17g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
-def sample(term: Column, log_weight: Column, j: int, r_table: Column, c_table: Column, tail: Column) -> Column:
+def sample(term: Column, log_weight: Column, j: int, r_table: Column, c_table: Column) -> Column:
     """ln a of one term for sample j."""
     h = F.xxhash64(term, F.lit(j))
     take = lambda shift, bits: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1))
-    r = F.get(r_table, take(0, 12).cast("int"))
-    cell, within = take(12, 12).cast("int"), take(24, 20)
-    low, high = F.get(c_table, cell), F.get(c_table, cell + 1)
-    inner = low + (high - low) * (within.cast("double") / float(1 << 20))
-    log_c = F.when(cell == 0, F.get(tail, F.shiftright(within, 8).cast("int")) + within.cast("double") * 1e-12).otherwise(inner)
-    b = take(44, 20).cast("double") / float(1 << 20)
+    part = lambda shift, bits: (take(shift, bits).cast("double") + 0.5) * (1.0 / (1 << bits))
+
+    def inside(table: Column, cell: Column, share: Column) -> Column:
+        low = F.get(table, cell)
+        return low + (F.get(table, cell + 1) - low) * share
+
+    r = inside(r_table, take(0, 8).cast("int"), part(8, 8))
+    cell, share = take(16, 8).cast("int"), part(24, 20)
+    # c is s + s^2/3 + 11 s^3/72 + ... with s = sqrt(2 u), where u is small
+    s = F.sqrt(share * (2.0 / CELLS))
+    log_c = F.when(cell == 0, F.log(s * (1.0 + s * (1.0 / 3 + s * (11.0 / 72))))).otherwise(inside(c_table, cell, share))
+    b = part(44, 20)
     t = F.floor(log_weight / r + b).cast("double")
     return log_c - r * (t - b + 1.0)
 
 
-def tables() -> tuple[Column, Column, Column]:
-    """(r at the middle of each cell, ln c at each cell's edge, ln c inside the lowest cell)."""
-    r = [gamma_quantile((i + 0.5) / CELLS) for i in range(CELLS)]
-    edges = [gamma_quantile(max(i, 0.5) / CELLS if i < CELLS else 1 - 0.1 / CELLS) for i in range(CELLS + 1)]
-    tail = [gamma_quantile((i + 0.5) / CELLS / CELLS) for i in range(CELLS)]
-    return _table(r), _table(map(math.log, edges)), _table(map(math.log, tail))
+def tables() -> tuple[Column, Column]:
+    """r and ln c at the edges of CELLS cells of equal probability; the outermost edges stand for the cell's mean."""
+    edges = [gamma_quantile(min(max(i, 0.3), CELLS - 0.3) / CELLS) for i in range(CELLS + 1)]
+    return _table(edges), _table(map(math.log, edges))
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -72,11 +77,11 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
 
     `texts` has the key columns and `text`. Where `texts` is partitioned by some of the keys, nothing moves.
     """
-    r_table, c_table, tail = tables()
+    r_table, c_table = tables()
     words = texts.select(*keys, F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''")
     terms = words.select(*keys, F.xxhash64("w").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
     weighed = terms.select(*keys, "term", F.log(F.col("n").cast("double")).alias("s"))
-    least = [F.min(sample(F.col("term"), F.col("s"), j, r_table, c_table, tail)).alias(f"m{j}") for j in range(samples)]
+    least = [F.min(sample(F.col("term"), F.col("s"), j, r_table, c_table)).alias(f"m{j}") for j in range(samples)]
     found = weighed.groupBy(*keys).agg(*least)
     return found.select(*keys, F.array(*[F.hash(f"m{j}") for j in range(samples)]).alias("fp"))
 
