@@ -5,9 +5,9 @@ tile holds a band and the one above it. In a tile the hash space is cut into mor
 sets can differ in elements, so linked sets agree on at least one part: sets that share a part are
 the tile's candidates, and all other pairs need no look. Equal sets are one node from the start.
 
-Each shared part links its members to its smallest node first; the connected parts that arise leave
-few open questions, namely parts whose members are still in different components. Their members meet
-in blocks of bounded size, where bit counts of hashed bitmaps bound the overlap from above. What
+Each shared part links its members to the one that meets most others first; the components that arise
+leave few open questions, namely parts whose members are still in different ones. Their members meet
+in tiles of bounded size, where bit counts of hashed bitmaps bound the overlap from above. What
 passes the bound is decided by intersecting the exact sorted arrays.
 
 No pair that could be linked is skipped unless both ends are connected already, so components are
@@ -31,8 +31,8 @@ from . import common, shingles
 WORDS, NUM, DEN = 5, 80, 100
 #: Seeds that a set tries before its empty parts count, too.
 SEEDS = 4
-#: Bytes of the bitmap with which blocks are compared, and members of a block.
-BITMAP, BLOCK = 64, 1024
+#: Least and most bytes of the bitmap with which blocks are compared, and members of a block.
+BITMAP, MOST_BITMAP, BLOCK = 64, 16384, 1024
 #: Bits of the filter that names the documents whose sets are read again: fixed at 16 MB.
 NEEDED_BITS = 1 << 27
 #: Ids of documents that go that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
@@ -72,12 +72,21 @@ def part_keys(s: np.ndarray, tile: int, parts: int, differ: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmap(s: np.ndarray, size: int = BITMAP) -> bytes:
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each element's hash, about four bits an element; a power of two bytes."""
+    size = min(MOST_BITMAP, max(BITMAP, 1 << int(len(s) // 2).bit_length()))
     bits = np.zeros(size * 8, bool)
     bits[(s & np.uint64(size * 8 - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: bytes, size: int) -> bytes:
+    """The bitmap that the same elements have in `size` bytes."""
+    if len(bits) == size:
+        return bits
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -105,13 +114,8 @@ def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) of `docs` whose doc_id is in `ids` (doc_id), and a few that aren't.
-
-    A filter of fixed size picks them before their text is looked at, so texts don't move.
-    """
-    spark = docs.sparkSession
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
+def filter_of(places: DataFrame) -> bytes:
+    """The filter, of fixed size and compressed, of `places` (at): numbers from 0 below NEEDED_BITS."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits: dict[int, np.ndarray] = {}
@@ -120,19 +124,31 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 bits.setdefault(int(segment), np.zeros(8192, bool))[own["at"].to_numpy()] = True
         yield pd.DataFrame([(s, np.packbits(b).tobytes()) for s, b in bits.items()], columns=["segment", "bits"])
 
-    at = ids.select(spread.alias("at")).distinct()
+    at = places.select("at").distinct()
     at = at.select((F.col("at") / 8192).cast("int").alias("segment"), (F.col("at") % 8192).cast("int").alias("at"))
-    packed = at.repartition(common.parts(spark), "segment").mapInPandas(pack, "segment int, bits binary").collect()
+    packed = at.repartition(common.parts(places.sparkSession), "segment").mapInPandas(pack, "segment int, bits binary").collect()
     whole = np.zeros(NEEDED_BITS // 8, np.uint8)
     for segment, bits in packed:
         whole[segment * 1024 : (segment + 1) * 1024] = np.frombuffer(bytes(bits), np.uint8)
-    sent = spark.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
+    return zlib.compress(whole.tobytes(), 1)
+
+
+def passes(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of `docs` whose doc_id is in `ids` (doc_id), and a few that aren't.
+
+    A filter of fixed size picks them before their text is looked at, so texts don't move.
+    """
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select(spread.alias("at"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filled = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for pdf in batches:
-            at = pdf["at"].to_numpy(np.int64)
-            yield pdf.loc[(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool), ["doc_id", "text"]]
+            yield pdf.loc[passes(filled, pdf["at"].to_numpy(np.int64)), ["doc_id", "text"]]
 
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("at", spread)
     return read.mapInPandas(run, "doc_id long, text string")
@@ -175,9 +191,35 @@ def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFr
     return both.mapInPandas(run, "a long, b long")
 
 
+def compare_block(i: int, j: int, own, node, comp, n, bits, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one tile that differ in component and pass the bounds of size and bitmap."""
+    left = np.flatnonzero(own == i)
+    right = left if i == j else np.flatnonzero(own == j)
+    if not len(left) or not len(right) or (comp == comp[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = min(map(len, bits))
+    all_bits = np.frombuffer(b"".join([folded(b, size) for b in bits]), np.uint64).reshape(len(bits), -1)
+    filled = np.bitwise_count(all_bits).sum(1, dtype=np.int64)
+    a, b = [], []
+    step = max(1, 2_000_000 // (len(right) * all_bits.shape[1]))
+    for k in range(0, len(left), step):
+        mine = left[k : k + step]
+        both = np.bitwise_count(all_bits[mine][:, None] & all_bits[right][None]).sum(2, dtype=np.int64)
+        x, y = n[mine][:, None], n[right][None]
+        most = np.minimum(x - filled[mine][:, None] + both, y - filled[right][None] + both)
+        need = -(-num * (x + y) // (num + den))
+        hit = (comp[mine][:, None] != comp[right][None]) & (most >= need) & (np.minimum(x, y) >= need)
+        if i == j:
+            hit &= mine[:, None] < right[None]
+        p, q = np.nonzero(hit)
+        a.append(node[mine[p]])
+        b.append(node[right[q]])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members (key, node, comp, n, bits, size) that share a key but no component, may be
-    linked by size, and pass the bound of their bitmaps; compared in blocks of about BLOCK by BLOCK."""
+    linked by size, and pass the bound of their bitmaps; compared in tiles of about BLOCK by BLOCK."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     placed = members.withColumn("blocks", blocks).withColumn("own", mine)
@@ -186,36 +228,53 @@ def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits"
     )
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        a, b = [], []
-        if len(left) and len(right):
-            bits = np.frombuffer(b"".join(right["bits"]), np.uint64).reshape(len(right), -1)
-            rn, rc, rid = (right[c].to_numpy(np.int64) for c in ("n", "comp", "node"))
-            for node, comp, n, own in zip(left["node"].tolist(), left["comp"].tolist(), left["n"].tolist(), left["bits"]):
-                mine = np.frombuffer(own, np.uint64)
-                need = -(-num * (n + rn) // (num + den))
-                most = np.minimum(n - np.bitwise_count(mine & ~bits).sum(1), rn - np.bitwise_count(bits & ~mine).sum(1))
-                hit = (rc != comp) & (most >= need) & (np.minimum(n, rn) >= need)
-                if i == j:
-                    hit &= rid > node
-                a += [node] * int(hit.sum())
-                b += rid[hit].tolist()
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return tiles.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
+        seen: set[tuple[int, int]] = set()
+
+        def tiles_of(pdf: pd.DataFrame, upto: int) -> pd.DataFrame:
+            key, i, j, own, node, comp, n = (pdf[c].to_numpy() for c in ("key", "i", "j", "own", "node", "comp", "n"))
+            bits = pdf["bits"].tolist()
+            same = (key[1:upto] == key[: upto - 1]) & (i[1:upto] == i[: upto - 1]) & (j[1:upto] == j[: upto - 1])
+            starts = [0, *(np.flatnonzero(~same) + 1).tolist(), upto]
+            out: list[tuple[int, int]] = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                if b - a > 1:
+                    x, y = compare_block(i[a], j[a], own[a:b], node[a:b], comp[a:b], n[a:b], bits[a:b], num, den)
+                    out += zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())
+            fresh = set(out) - seen
+            if len(seen) < 1_000_000:
+                seen.update(fresh)
+            return pd.DataFrame(list(fresh), columns=["a", "b"]).astype(np.int64)
+
+        for pdf in batches:
+            pdf = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
+            if len(pdf):
+                last = pdf[["key", "i", "j"]].to_numpy()
+                upto = int(np.flatnonzero((last != last[-1]).any(1))[-1]) + 1 if (last != last[-1]).any() else 0
+                carry = pdf.iloc[upto:]
+                if upto:
+                    yield tiles_of(pdf, upto)
+        if carry is not None and len(carry):
+            yield tiles_of(carry.reset_index(drop=True), len(carry))
+
+    dealt = tiles.repartition(common.parts(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def linked_components(members: DataFrame, arrays: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (node, component) of all nodes with a link. members: (key, node, anchor), where anchor is the
-    key's smallest node; arrays: (node, s); info: (node, n, bits).
+    """Rows (node, component) of all nodes with a link. members: (key, node, size), where size tells how
+    common the key is; arrays: (node, s); info: (node, n, bits).
 
-    Members are verified against their anchor first. Keys whose members are then still in different
-    components have them compared with each other in blocks.
+    In each key the member that meets most others over all its keys is the anchor, as an original among
+    its edited copies does, and the members are verified against it first. Keys whose members are then
+    still in different components have them compared with each other in tiles.
     """
-    stars = members.where("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct()
+    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    first = members.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top"))
+    anchored = members.select("key", "node").join(first.select("key", F.col("top.node").alias("anchor")), "key")
+    pair = anchored.where("node <> anchor").select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"))
+    stars = common.materialize(pair.distinct(), "ngram-stars")
     edges = common.materialize(_verified(stars, arrays, num, den), "ngram-edges")
     linked = common.materialize(common.connected_components(edges), "ngram-first")
     known = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
@@ -242,8 +301,8 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> Dat
     seen = common.materialize(described(docs, k, num, den), "ngram-sets")
     held = seen.where("node is not null")
     keyed = held.select(F.explode("keys").alias("key"), "node").repartition(common.parts(spark), "key")
-    groups = keyed.groupBy("key").agg(F.min("node").alias("anchor"), F.max("node").alias("last"))
-    shared = groups.where("anchor < last").select("key", "anchor")
+    groups = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size"))
+    shared = groups.where("first < last").select("key", "size")
     members = common.materialize(keyed.join(shared, "key").distinct(), "ngram-members")
     nodes = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = members.select("node").distinct().join(nodes, "node")
