@@ -1,0 +1,120 @@
+"""Recorded requests: routing decisions, rates, windows, latency and agreement, as batch expressions that the
+streaming queries use, too."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def route(out_of_domain: Column, local_error: Column, malformed: Column, score: Column, threshold: Column) -> Column:
+    """out_of_domain, fallback (the local answer failed or is malformed), escalated (the score reaches the threshold)
+    or local; a null score keeps the request local."""
+    return (
+        F.when(F.coalesce(out_of_domain, F.lit(False)), "out_of_domain")
+        .when(local_error.isNotNull() | malformed.isNotNull(), "fallback")
+        .when(F.coalesce(score >= threshold, F.lit(False)), "escalated")
+        .otherwise("local")
+    )
+
+
+def served_by(route: Column, frontier_ok: Column, local_error: Column) -> Column:
+    """frontier, local or none: a route away from local that the frontier can't serve falls back on the local answer."""
+    ok = F.coalesce(frontier_ok, F.lit(False))
+    return F.when((route != "local") & ok, "frontier").when(local_error.isNull(), "local").otherwise("none")
+
+
+def from_events(events: DataFrame) -> DataFrame:
+    """The event table read as recorded requests: (request_id, task, ts, latency_ms, route, tokens)."""
+    kind = F.col("event_type")
+    taken = (
+        F.when(kind == "error", "fallback").when(kind == "purchase", "escalated").when(kind == "signup", "out_of_domain").otherwise("local")
+    )
+    return events.select(
+        F.col("event_id").alias("request_id"), F.col("user_id"), F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string")).alias("task"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"), taken.alias("route"),
+        F.get_json_object("props", "$.k").cast("long").alias("tokens"),
+    )
+
+
+RATES = {
+    "requests": lambda: F.count("*"),
+    "escalated": lambda: F.avg((F.col("route") == "escalated").cast("int")),
+    "fallback": lambda: F.avg((F.col("route") == "fallback").cast("int")),
+    "out_of_domain": lambda: F.avg((F.col("route") == "out_of_domain").cast("int")),
+    "mean_ms": lambda: F.avg("latency_ms"),
+}
+
+
+def route_rates(requests: DataFrame) -> DataFrame:
+    """Rates by task and, with a null task, over all: one pass with grouping sets."""
+    return requests.rollup("task").agg(*[f().alias(n) for n, f in RATES.items()])
+
+
+def latency(requests: DataFrame, target_ms: float = 50.0) -> DataFrame:
+    """Per task: n, interpolated p50 and p95, share within the target, mean time per token where there are several."""
+    per_token = F.when(F.col("tokens") > 1, F.col("latency_ms") / (F.col("tokens") - 1))
+    p = F.percentile("latency_ms", [0.5, 0.95])
+    return requests.groupBy("task").agg(
+        F.count("*").alias("n"), p[0].alias("p50"), p[1].alias("p95"),
+        F.avg((F.col("latency_ms") <= target_ms).cast("int")).alias("within_target"), F.avg(per_token).alias("ms_per_token"),
+    )
+
+
+def windows(requests: DataFrame, start_s: Column, duration: float, width: float) -> DataFrame:
+    """Rows (window, requests, span_s, per_s): starts clamped to the run, cut into windows, the last one shorter."""
+    last = int((duration - 1e-9) // width)
+    at = F.greatest(F.lit(0.0), F.least(start_s, F.lit(duration)))
+    w = F.least(F.floor(at / width), F.lit(last)).cast("long")
+    counted = requests.groupBy(w.alias("window")).agg(F.count("*").alias("requests"))
+    span = F.least(F.lit(width), F.lit(duration) - F.col("window") * width)
+    return counted.select("window", "requests", span.alias("span_s"), (F.col("requests") / span).alias("per_s"))
+
+
+def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Rows (user_id, start, end, requests): runs of a user's requests with no gap as long as `gap`."""
+    s = requests.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("requests"))
+    return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
+
+
+def admissions(times: list[float], per_minute: int, per_day: int) -> list[str]:
+    """For each call `granted`, `day` or `minute`: at most per_minute grants within 60 s, and per_day within a day that
+    starts with the first call and anew with the first call after it lapsed. The day is looked at first."""
+    out, recent, day, used = [], [], None, 0
+    for t in times:
+        if day is None or t - day >= 86400:
+            day, used = t, 0
+        recent = [x for x in recent if t - x < 60]
+        if used >= per_day:
+            out.append("day")
+        elif len(recent) >= per_minute:
+            out.append("minute")
+        else:
+            out.append("granted")
+            recent.append(t)
+            used += 1
+    return out
+
+
+def rate_budget(requests: DataFrame, account: str, per_minute: int, per_day: int) -> DataFrame:
+    """`requests` (request_id, account, ts) with `decision` by a budget for each account, in time order."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "request_id"])
+        return pdf.assign(decision=admissions(pdf["t"].tolist(), per_minute, per_day))[["request_id", "account", "decision"]]
+
+    narrow = requests.select("request_id", F.col(account).cast("string").alias("account"), F.col("ts").cast("double").alias("t"))
+    return narrow.groupBy("account").applyInPandas(run, "request_id long, account string, decision string")
+
+
+def agreement(live: DataFrame, recorded: DataFrame) -> DataFrame:
+    """live: (pair_id, task, route, http_error); recorded: (pair_id, task, escalated). Per task: requests, errors,
+    escalation_rate and how often the decision was the recorded one, both over answered requests."""
+    both = live.join(recorded, ["pair_id", "task"])
+    ok = F.col("http_error").isNull()
+    up = F.col("route") == "escalated"
+    return both.groupBy("task").agg(
+        F.count("*").alias("requests"), F.count_if(~ok).alias("errors"), F.avg(F.when(ok, up.cast("int"))).alias("escalation_rate"),
+        F.avg(F.when(ok, (up == F.col("escalated")).cast("int"))).alias("same_decision"),
+    )
