@@ -30,6 +30,8 @@ RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 #: Runs that a worker remembers before it starts anew: bounds its memory.
 CACHE = 400_000
+#: Characters of a batch: each one walks the active ranks once, so few large ones are best.
+BATCH_CHARS = 4_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -205,13 +207,13 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        for pdf in common.small_batches(batches):
+        for pdf in common.small_batches(batches, most=BATCH_CHARS):
             texts = ["" if t is None else t for t in pdf["text"]]
             ids = c.encode_batch(texts)
             decoded = [c.decode(x) for x in ids]
             out = pd.DataFrame(
                 {
-                    "doc_id": pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None),
+                    "doc_id": common.ids(pdf),
                     "n_tokens": [len(x) // 4 for x in ids],
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                     "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded],
@@ -223,6 +225,4 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text:
                 out["decoded"] = decoded
             yield out
 
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return common.id_and_text(docs).mapInPandas(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: The white space that the contracts name: space and \x09 to \x0D.
 BLANKS = b" \t\n\v\f\r"
 
@@ -52,6 +53,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, no_id, text): pandas would turn a nullable id into a float, so a null one becomes 0 with a mark."""
+    key = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("no_id"), "text")
+
+
+def ids(pdf: pd.DataFrame) -> pd.Series:
+    """The ids of a batch of id_and_text, null where they were."""
+    return pdf["doc_id"].astype("Int64").mask(pdf["no_id"].astype(bool)).reset_index(drop=True)
+
+
 def small_batches(batches: Iterator[pd.DataFrame], column: str = "text", most: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
     """Cut batches so that each holds at most `most` characters of `column`, or a single row."""
     for pdf in batches:
@@ -65,6 +77,53 @@ def small_batches(batches: Iterator[pd.DataFrame], column: str = "text", most: i
                 total, start = 0, i
             total += size
         yield pdf.iloc[start:]
+    trim()
+
+
+def trim() -> None:
+    """Give free memory of a Python worker back: it stays around for the next task beside Spark's own heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(docs: DataFrame, make, new: dict[str, str], gone: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` with columns made from batches of its rows: make(batch) gives a list for each name in `new`, whose
+    values are types. Columns of those names are replaced, those in `gone` dropped, and all others pass
+    through as they are, whatever their type. A batch holds BATCH_CHARS characters or a single row.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = [f for f in docs.schema.fields if f.name not in gone and f.name not in new]
+    out = StructType(fields)
+    for name, kind in new.items():
+        out = out.add(name, kind)
+    order = [f.name for f in docs.schema.fields if f.name not in gone] + [n for n in new if n not in docs.columns]
+    types = {f.name: f.type for f in to_arrow_schema(out)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+            start, total = 0, 0
+            for i, size in enumerate([*sizes, BATCH_CHARS + 1]):
+                if i > start and total + size > BATCH_CHARS:
+                    part = batch.slice(start, i - start)
+                    made = make(part)
+                    columns = [pa.array(made[n], types[n]) if n in new else part.column(n) for n in order]
+                    yield pa.RecordBatch.from_arrays(columns, names=order)
+                    start, total = i, 0
+                total += size
+        trim()
+
+    schema = StructType([next(f for f in out.fields if f.name == n) for n in order])
+    return docs.mapInArrow(run, schema)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

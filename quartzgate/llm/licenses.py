@@ -12,10 +12,8 @@ import functools
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -222,8 +220,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         for pdf in common.small_batches(batches):
             out = pd.DataFrame([scan_text(t, phrases, ready) for t in pdf["text"]], columns=names)
             out["first_word"], out["last_word"] = out["first_word"].astype("Int64"), out["last_word"].astype("Int64")
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out.replace({np.nan: None})
+            out.insert(0, "doc_id", common.ids(pdf))
+            yield out
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return common.id_and_text(docs).mapInPandas(run, schema)

@@ -146,22 +146,25 @@ def removals(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Data
     return suspects, common.materialize(removal.where(F.col("n_docs") >= min_docs), "removal")
 
 
-def _rewritten(pdf: pd.DataFrame, dropped_in) -> tuple[list[str], list[int], list[int], list[str]]:
-    """For each row: the text that stays, lines before, lines dropped, SHA-256 of what stays."""
-    texts, n_lines, n_dropped, shas = [], [], [], []
-    for i, text in enumerate(pdf["text"]):
+def _rewritten(texts: list[str | None], chars: list[int] | None, dropped_in) -> dict[str, list]:
+    """The columns of a batch: the text that stays, n_chars where there, and what became of the lines."""
+    out: dict[str, list] = {"text": [], "n_lines": [], "n_dropped": [], "kept_sha256": []}
+    if chars is not None:
+        out["n_chars"] = []
+    for i, text in enumerate(texts):
         lines, keys = line_keys(text)
         gone = dropped_in(i, keys)
-        if gone:
-            kept = [x for x, k in zip(lines, keys) if k is None or k not in gone]
-        else:
-            kept = lines
+        kept = [x for x, k in zip(lines, keys) if k is None or k not in gone] if gone else lines
         joined = b"\n".join(kept)
-        n_lines.append(len(lines))
-        n_dropped.append(len(lines) - len(kept))
-        shas.append(hashlib.sha256(joined).hexdigest())
-        texts.append(joined.decode("utf-8", "surrogatepass"))
-    return texts, n_lines, n_dropped, shas
+        n = len(lines) - len(kept)
+        new = joined.decode("utf-8", "surrogatepass") if n else text
+        out["text"].append(new)
+        out["n_lines"].append(len(lines))
+        out["n_dropped"].append(n)
+        out["kept_sha256"].append(hashlib.sha256(joined).hexdigest())
+        if chars is not None:
+            out["n_chars"].append(len(new) if n else chars[i])
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -177,56 +180,44 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int =
     """
     suspects, removal = removals(docs, min_docs)
     spark = docs.sparkSession
-    extra = ["n_lines", "n_dropped", "kept_sha256"]
-    docs = docs.drop(*extra)
-    fields = [f for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    out_schema = f"{schema}, n_lines long, n_dropped long, kept_sha256 string"
-
-    def result(pdf: pd.DataFrame, dropped_in) -> pd.DataFrame:
-        texts, n_lines, n_dropped, shas = _rewritten(pdf, dropped_in)
-        out = pdf.drop(columns="_gone", errors="ignore").copy()
-        out["text"] = [None if a is None and not b else t for a, b, t in zip(pdf["text"], n_dropped, texts)]
-        if "n_chars" in out:
-            out["n_chars"] = [n if not d else len(t) for n, d, t in zip(pdf["n_chars"], n_dropped, texts)]
-        return out.assign(n_lines=n_lines, n_dropped=n_dropped, kept_sha256=shas)
+    new = {"text": "string", "n_lines": "long", "n_dropped": "long", "kept_sha256": "string"}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = docs.schema["n_chars"].dataType
+    chars = lambda batch: batch.column("n_chars").to_pylist() if "n_chars" in new else None
 
     if removal.count() <= broadcast_rows:
         table = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in removal.select("key", "keep").collect()})
 
-        def by_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keep = table.value
-            for pdf in common.small_batches(batches):
-                ids = pdf["doc_id"].tolist()
+        def by_table(batch) -> dict[str, list]:
+            keep, ids = table.value, batch.column("doc_id").to_pylist()
 
-                def gone(i: int, keys) -> set:
-                    if ids[i] is None or ids[i] != ids[i]:
-                        return set()
-                    found = {k: keep.get(xxhash.xxh3_128_digest(k)) for k in keys if k is not None}
-                    return {k for k, v in found.items() if v is not None and v != ids[i]}
+            def gone(i: int, keys) -> set:
+                if ids[i] is None:
+                    return set()
+                found = {k: keep.get(xxhash.xxh3_128_digest(k)) for k in keys if k is not None}
+                return {k for k, v in found.items() if v is not None and v != ids[i]}
 
-                yield result(pdf, gone)
+            return _rewritten(batch.column("text").to_pylist(), chars(batch), gone)
 
-        return docs.mapInPandas(by_table, out_schema)
+        return common.map_rows(docs, by_table, new)
 
     drops = (
         suspects.join(removal.select("key", "keep"), "key")
         .where("doc_id <> keep")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set("key").alias("_gone"))
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.collect_set("key").alias("__gone"))
     )
 
-    def by_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in common.small_batches(batches):
-            lists = pdf["_gone"].tolist()
+    def by_join(batch) -> dict[str, list]:
+        lists = batch.column("__gone").to_pylist()
 
-            def gone(i: int, keys) -> set:
-                if lists[i] is None:
-                    return set()
-                named = {bytes(x) for x in lists[i]}
-                return {k for k in keys if k is not None and xxhash.xxh3_128_digest(k) in named}
+        def gone(i: int, keys) -> set:
+            if lists[i] is None:
+                return set()
+            named = set(lists[i])
+            return {k for k in keys if k is not None and xxhash.xxh3_128_digest(k) in named}
 
-            yield result(pdf, gone)
+        return _rewritten(batch.column("text").to_pylist(), chars(batch), gone)
 
-    joined = docs.join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    return joined.mapInPandas(by_join, out_schema)
+    joined = docs.join(drops, F.col("doc_id") == F.col("__id"), "left")
+    return common.map_rows(joined, by_join, new, gone=("__id", "__gone"))

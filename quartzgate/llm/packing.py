@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,19 +164,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in common.small_batches(batches):
-            rows = []
+        for pdf in common.small_batches(batches, most=2_000_000):
+            rows, owner = [], []
             encoded = encode_batch(["" if t is None else t for t in pdf["text"]], path)
-            for doc_id, ids in zip(pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), encoded):
+            for i, ids in enumerate(encoded):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
-                    row = (doc_id, k // 4 // capacity, k // 4, len(part) // 4, zlib.crc32(part))
+                    owner.append(i)
+                    row = (k // 4 // capacity, k // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            yield pd.DataFrame(rows, columns=names).astype({"piece": np.int32})
+            names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+            out = pd.DataFrame(rows, columns=names).astype({"piece": np.int32})
+            out.insert(0, "doc_id", common.ids(pdf).take(owner).reset_index(drop=True))
+            yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return common.id_and_text(docs).mapInPandas(run, schema)
 
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> list[int]:
@@ -263,28 +267,26 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in others) + ", sequence_id long, offset long"
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, starts = sent.value
         length, first = table["length"].to_numpy(), table["first"].to_numpy()
         bins, copies, offset = (table[c].to_numpy() for c in ("bin", "copies", "offset"))
         span = np.int64(1) << 40
         keys = length * span + first
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            mine = pdf["length"].to_numpy(np.int64)
-            ordinal = pdf["_rank"].to_numpy(np.int64) - 1
-            ordinal += np.fromiter((starts[k] for k in zip(mine.tolist(), pdf["_salt"].tolist())), np.int64, len(pdf))
+        for batch in batches:
+            mine, salts, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_salt", "_rank"))
+            base = np.fromiter((starts[k] for k in zip(mine.tolist(), salts.tolist())), np.int64, len(mine))
+            ordinal = rank.astype(np.int64) - 1 + base
             at = np.searchsorted(keys, mine * span + ordinal, side="right") - 1
             within = ordinal - first[at]
-            yield pdf[others].assign(
-                sequence_id=bins[at] + within // copies[at], offset=offset[at] + within % copies[at] * mine
-            )
+            made = [bins[at] + within // copies[at], offset[at] + within % copies[at] * mine]
+            kept = [batch.column(c) for c in others] + [pa.array(x, pa.int64()) for x in made]
+            yield pa.RecordBatch.from_arrays(kept, names=[*others, "sequence_id", "offset"])
 
     ranked = salted.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
     )
-    return ranked.mapInPandas(place, schema)
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -223,20 +223,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model |
     return fit_sequences(np.concatenate(each).astype(float), np.array([len(e) for e in each]), found["good"].to_numpy())
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with `quality_score`, replacing a column of that name. Null text counts as empty: one empty
+def scored(docs: DataFrame, model: Model | None, column: str = "quality_score") -> DataFrame:
+    """`docs` with a score in `column`, replacing a column of that name. Null text counts as empty: one empty
     line. Without a model all score 1.0. Repeated rows score alike. Empty table: empty result."""
-    docs = docs.drop("quality_score")
     if model is None:
-        return docs.withColumn("quality_score", F.lit(1.0))
+        return docs.drop(column).withColumn(column, F.lit(1.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in common.small_batches(batches):
-            yield pdf.assign(quality_score=sent.value.score(["" if t is None else t for t in pdf["text"]]))
+    def run(batch) -> dict[str, list]:
+        return {column: sent.value.score(["" if t is None else t for t in batch.column("text").to_pylist()])}
 
-    return docs.mapInPandas(run, schema + ", quality_score double")
+    return common.map_rows(docs, run, {column: "double"})
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -252,5 +249,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that the classifier doesn't reject, with their columns as they were."""
-    out = scored(docs, train(docs, labels))
-    return out.where(F.col("quality_score") >= threshold).select(*docs.columns)
+    out = scored(docs, train(docs, labels), "__score")
+    return out.where(F.col("__score") >= threshold).select(*[f"`{c}`" for c in docs.columns])
