@@ -73,8 +73,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, spearman, pearson; null for a constant column."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     r = ranking.average_rank(ranking.average_rank(both, a, "_ra"), b, "_rb")
-    varies = (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return r.agg(F.count("*").alias("n"), F.when(varies, F.corr("_ra", "_rb")).alias("spearman"), F.when(varies, F.corr(a, b)).alias("pearson"))
+    corr = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return r.agg(F.count("*").alias("n"), corr("_ra", "_rb").alias("spearman"), corr(a, b).alias("pearson"))
 
 
 def grade_agreement(df: DataFrame, teacher: str, student: str, low: int = 1, high: int = 5) -> DataFrame:
@@ -101,7 +101,7 @@ def paired_comparison(df: DataFrame, a: str, b: str, least: int = 10) -> DataFra
     t = per.agg(F.sum("c").alias("k"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w_plus"), F.sum(c * c * c - c).alias("ties"))
     k = F.col("k").cast("double")
     var = k * (k + 1) * (2 * k + 1) / 24 - F.col("ties") / 48
-    z = (F.col("w_plus") - k * (k + 1) / 4) / F.sqrt(var)
+    z = F.try_divide(F.col("w_plus") - k * (k + 1) / 4, F.sqrt(var))
     enough = F.col("k") >= least
     return shares.crossJoin(t).select(
         "n", "mean_diff", "higher", "lower", "tied", F.when(enough, F.col("w_plus")).alias("w_plus"), F.when(enough, z).alias("z")
