@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import relational, routing, sampling, spans, statistics, stream  # noqa: E402,F401
+from . import records, relational, routing, sampling, spans, statistics, stream  # noqa: E402,F401
