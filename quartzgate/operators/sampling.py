@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 SEED = 20260909
 VALIDATION, EVALUATION = 0.15, 0.20
 
@@ -53,17 +55,21 @@ def three_way(df: DataFrame, key: str, golden: int, label: str | None = None, se
         if golden % classes:
             raise ValueError(f"{golden} rows don't divide into {classes} classes")
         per = golden // classes
-    # the threshold hash is found first, so no rank over all rows is needed
     base = df.withColumn("_key", order_key(key, seed))
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    first = base.withColumn("_r", F.row_number().over(w.orderBy("_key", key))).where(F.col("_r") <= per)
+    if label:
+        w = Window.partitionBy(label).orderBy("_key", key)
+        first = base.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per)
+    else:
+        first = base.orderBy("_key", key).limit(per)
     gold = first.select(F.col(key)).withColumn("_gold", F.lit(True))
     marked = base.join(gold, key, "left")
     rest = marked.where("_gold is null")
     n = int(rest.count() * VALIDATION)
-    cut = rest.select("_key").orderBy("_key").limit(n).agg(F.max("_key")).first()[0]
-    val = F.lit(False) if cut is None else F.col("_key") <= cut
-    return marked.withColumn("split", F.when(F.col("_gold"), "golden").when(val, "val").otherwise("train")).drop("_key", "_gold")
+    # 52 bits of the hash order the rest exactly without gathering it
+    number = -F.conv(F.substring("_key", 1, 13), 16, 10).cast("double")
+    ranked = ranking.ranked(rest.withColumn("_h", number), "_h", key)
+    val = ranked.withColumn("split", F.when(F.col("rank") <= n, "val").otherwise("train")).drop("_h", "rank")
+    return val.unionByName(marked.where("_gold").withColumn("split", F.lit("golden"))).drop("_key", "_gold")
 
 
 def grouped_split(df: DataFrame, group: str, key: str, golden: int, seed: int = SEED) -> DataFrame:
