@@ -100,10 +100,10 @@ def cache_compaction(spark, d):
     return logs.removed_by_compaction(_log(spark, d), "key")
 
 
-@query(f"WITH l AS ({LOG}) SELECT seq, key FROM l WHERE key NOT IN (SELECT key FROM l WHERE event_type = 'error')")
+@query(f"WITH l AS ({LOG}) SELECT seq, key FROM l WHERE key NOT IN (SELECT key FROM l WHERE event_type = 'error' AND value > 50)")
 def resume_unfinished(spark, d):
     log = _log(spark, d)
-    return logs.unfinished(log.select("seq", "key"), log.where("event_type = 'error'"), "key")
+    return logs.unfinished(log.select("seq", "key"), log.where("event_type = 'error' and value > 50"), "key")
 
 
 def _log(spark, d):
