@@ -27,8 +27,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: Bits of a filter for each line, and the least and most bits of a filter: 128 MB at most.
 BITS_PER_LINE, LEAST_BITS, MOST_BITS = 32, 1 << 18, 1 << 30
-#: Bits of a segment: one task merges whole segments.
-SEGMENT = 1 << 16
+#: Segments of a filter at most; one task merges whole ones. Positions that a task holds before it sends them.
+SEGMENTS, MOST_HELD = 1024, 4_000_000
 #: Rows of the removal table that are broadcast at most (16 bytes of key and 8 of id each: 48 MB);
 #: a larger table is joined.
 BROADCAST_ROWS = 2_000_000
@@ -66,44 +66,60 @@ def suspects_filter(docs: DataFrame, bits: int, positions=_line_positions) -> by
     once, or twice where it saw it twice; the merging tasks hold two bit arrays of their segments.
     """
 
+    segments = min(SEGMENTS, max(1, bits >> 16))
+    width = bits // segments
+
+    def packed(at: np.ndarray) -> bytes:
+        """Positions of a segment: their lower halves, then their upper halves, which compress to little."""
+        return (at & 0xFFFF).astype("<u2").tobytes() + (at >> 16).astype("<u2").tobytes()
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        low, high = np.split(np.frombuffer(raw, "<u2").astype(np.int64), 2)
+        return low + (high << 16)
+
+    def sent(held: list[np.ndarray]) -> pd.DataFrame:
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        found = found.astype(np.int64)
+        segment = found // width
+        cuts = np.flatnonzero(np.diff(segment)) + 1
+        inside, twice = np.split(found % width, cuts), np.split(counts > 1, cuts)
+        return pd.DataFrame(
+            {
+                "segment": segment[np.concatenate([[0], cuts])],
+                "seen": [packed(x) for x in inside],
+                "again": [packed(a[b]) for a, b in zip(inside, twice)],
+            }
+        )
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
         for pdf in common.small_batches(batches):
-            at = positions(pdf["text"].tolist(), bits).ravel()
-            if not len(at):
-                continue
-            found, counts = np.unique(at, return_counts=True)
-            segment = (found // SEGMENT).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(segment)) + 1
-            inside, twice = (found % SEGMENT).astype("<u2"), counts > 1
-            yield pd.DataFrame(
-                {
-                    "segment": segment[np.concatenate([[0], cuts])],
-                    "seen": [x.tobytes() for x in np.split(inside, cuts)],
-                    "again": [a[b].tobytes() for a, b in zip(np.split(inside, cuts), np.split(twice, cuts))],
-                }
-            )
+            held.append(positions(pdf["text"].tolist(), bits).ravel())
+            if sum(map(len, held)) > MOST_HELD:
+                yield sent(held)
+                held = []
+        if sum(map(len, held)):
+            yield sent(held)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             for segment, seen, again in pdf.itertuples(index=False):
                 if segment not in state:
-                    state[segment] = (np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool))
+                    state[segment] = (np.zeros(width, bool), np.zeros(width, bool))
                 once, twice = state[segment]
-                at = np.frombuffer(seen, "<u2")
+                at = unpacked(seen)
                 twice[at[once[at]]] = True
                 once[at] = True
-                twice[np.frombuffer(again, "<u2")] = True
+                twice[unpacked(again)] = True
         rows = [(s, zlib.compress(np.packbits(twice).tobytes(), 1)) for s, (_, twice) in state.items() if twice.any()]
         yield pd.DataFrame(rows, columns=["segment", "twice"])
 
     spark = docs.sparkSession
-    sent = docs.select("text").mapInPandas(local, "segment long, seen binary, again binary")
-    merged = sent.repartition(min(common.parts(spark), max(1, bits // SEGMENT)), "segment").mapInPandas(
-        merge, "segment long, twice binary"
-    )
+    dealt = docs.select("text").mapInPandas(local, "segment long, seen binary, again binary")
+    merged = dealt.repartition(min(common.parts(spark), segments), "segment").mapInPandas(merge, "segment long, twice binary")
     out = bytearray(bits // 8)
-    step = SEGMENT // 8
+    step = width // 8
     for row in merged.collect():  # bits / 8 bytes in all, at most MOST_BITS / 8
         out[row["segment"] * step : (row["segment"] + 1) * step] = zlib.decompress(row["twice"])
     return bytes(out)
