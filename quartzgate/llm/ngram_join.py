@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common, line_dedup, shingles
 
 #: Shingle length and threshold of near-duplicate stages where no contract says otherwise.
 WORDS, NUM, DEN = 5, 80, 100
@@ -33,8 +33,12 @@ WORDS, NUM, DEN = 5, 80, 100
 SEEDS = 4
 #: Least and most bytes of the bitmap with which blocks are compared, and members of a block.
 BITMAP, MOST_BITMAP, BLOCK = 64, 16384, 1024
+#: Elements of two sets up to which they are intersected at once.
+SMALL = 128
 #: Bits of the filter that names the documents whose sets are read again: fixed at 16 MB.
 NEEDED_BITS = 1 << 27
+#: Bits of the filter of keys: 64 MB at most; a fuller one lets more keys through.
+LEAST_KEY_BITS, MOST_KEY_BITS = 1 << 18, 1 << 29
 #: Ids of documents that go that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -76,7 +80,7 @@ def bitmap(s: np.ndarray) -> bytes:
     """A bit for each element's hash, about four bits an element; a power of two bytes."""
     size = min(MOST_BITMAP, max(BITMAP, 1 << int(len(s) // 2).bit_length()))
     bits = np.zeros(size * 8, bool)
-    bits[(s & np.uint64(size * 8 - 1)).astype(np.int64)] = True
+    bits[(s & s.dtype.type(size * 8 - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -91,27 +95,48 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def set_keys(s: np.ndarray, high: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The keys of a set in its band's tile and in the one below; high: the bands' ends, as far as the set's."""
+    b = int(np.searchsorted(high, len(s)))
+    return np.concatenate([part_keys(s, t, *cuts(int(high[t]), num, den)) for t in (b, b - 1) if t >= 0])
+
+
 def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, n, node, bits, keys). Without words or doc_id, node is null and keys are empty."""
+    """Rows (doc_id, n, node, bits, keys): the keys are those that some other document seems to have, too, by a
+    "seen twice" filter. Without words or doc_id, node is null and keys are empty."""
+    held = docs.select(F.col("doc_id").cast("long"), "text")
+    words = (held.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    keys = max(1.0, words * 2 * (den - num) / num)
+    bits = min(MOST_KEY_BITS, max(LEAST_KEY_BITS, 1 << int(np.ceil(np.log2(keys * 4)))))
+
+    def positions(texts, bits: int) -> np.ndarray:
+        found = [s for s in shingles.sets(texts, k) if len(s)]
+        high = bands(num, den, max(map(len, found), default=1))
+        every = [set_keys(s, high, num, den) for s in found]
+        return np.concatenate(every) & np.uint64(bits - 1) if every else np.zeros(0, np.uint64)
+
+    texts = held.where("doc_id is not null")
+    twice = docs.sparkSession.sparkContext.broadcast(line_dedup.suspects_filter(texts, bits, positions))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        high = bands(num, den, 1 << 10)
+        filled = np.frombuffer(twice.value, np.uint8)
         for pdf in common.small_batches(batches):
-            rows = []
-            for doc_id, s in zip(pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), shingles.sets(pdf["text"].tolist(), k)):
-                if not len(s) or doc_id is None:
-                    rows.append((doc_id, len(s), None, None, np.zeros(0, np.int64)))
+            found = shingles.sets(pdf["text"].tolist(), k)
+            high = bands(num, den, max(map(len, found)))
+            ids, rows, nodes = common.ids(pdf), [], []
+            for known, s in zip(ids.notna(), found):
+                if not len(s) or not known:
+                    rows.append((len(s), None, np.zeros(0, np.int64)))
+                    nodes.append(None)
                     continue
-                if len(s) > high[-1]:
-                    high = bands(num, den, 2 * len(s))
-                b = int(np.searchsorted(high, len(s)))
-                keys = [part_keys(s, t, *cuts(int(high[t]), num, den)) for t in (b, b - 1) if t >= 0]
-                rows.append((doc_id, len(s), _node(s), bitmap(s), np.concatenate(keys).view(np.int64)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "bits", "keys"])
-            yield out.astype({"node": "Int64", "doc_id": "Int64"})
+                keys = set_keys(s, high, num, den)
+                keys = keys[passes(filled, (keys & np.uint64(bits - 1)).astype(np.int64))]
+                rows.append((len(s), bitmap(s), keys.view(np.int64)))
+                nodes.append(_node(s))
+            out = pd.DataFrame(rows, columns=["n", "bits", "keys"])
+            yield out.assign(doc_id=ids, node=pd.array(nodes, dtype="Int64"))[["doc_id", "n", "node", "bits", "keys"]]
 
-    schema = "doc_id long, n long, node long, bits binary, keys array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return common.id_and_text(docs).mapInPandas(run, "doc_id long, n long, node long, bits binary, keys array<long>")
 
 
 def filter_of(places: DataFrame) -> bytes:
@@ -166,22 +191,25 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return arrays.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "s")
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked: bit counts first, then the sorted arrays."""
+def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int, kind=np.uint64) -> DataFrame:
+    """The pairs (a, b) whose sets, sorted arrays of `kind`, are linked: bit counts first, then the arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             linked = []
             for x, y in zip(pdf["s"], pdf["t"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
                 need = -(-num * (len(x) + len(y)) // (num + den))
                 if min(len(x), len(y)) < need:
                     linked.append(False)
                     continue
+                if len(x) + len(y) <= SMALL:
+                    linked.append(len(set(x.tolist()).intersection(y.tolist())) >= need)
+                    continue
                 size = 1 << max(9, int(2 * min(len(x), len(y))).bit_length())
                 p, q = np.zeros(size, bool), np.zeros(size, bool)
-                p[(x & np.uint64(size - 1)).astype(np.int64)] = True
-                q[(y & np.uint64(size - 1)).astype(np.int64)] = True
+                p[(x & kind(size - 1)).astype(np.int64)] = True
+                q[(y & kind(size - 1)).astype(np.int64)] = True
                 most = min(len(x) - np.count_nonzero(p & ~q), len(y) - np.count_nonzero(q & ~p))
                 linked.append(most >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need)
             yield pdf.loc[np.array(linked, bool), ["a", "b"]]
@@ -217,16 +245,42 @@ def compare_block(i: int, j: int, own, node, comp, n, bits, num: int, den: int)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+def spanning(pairs: list[tuple[int, int]], sets: dict[int, set], num: int, den: int) -> list[tuple[int, int]]:
+    """Of the pairs whose sets are linked, enough to connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in pairs:
+        p, q = find(a), find(b)
+        if p != q:
+            both = len(sets[a] & sets[b])
+            if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                root[p] = q
+                out.append((a, b))
+    return out
+
+
+def _blocks(members: DataFrame, num: int, den: int, kind=None) -> DataFrame:
     """Pairs (a, b) of members (key, node, comp, n, bits, size) that share a key but no component, may be
-    linked by size, and pass the bound of their bitmaps; compared in tiles of about BLOCK by BLOCK."""
+    linked by size, and pass the bound of their bitmaps; compared in tiles of about BLOCK by BLOCK.
+
+    With `kind` members also have their sets, s, as arrays of it, and a tile gives links enough to
+    connect what is linked in it.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     placed = members.withColumn("blocks", blocks).withColumn("own", mine)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = placed.withColumn("other", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits"
-    )
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits",
+        *(["s"] if kind else []),
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = None
@@ -235,13 +289,19 @@ def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
         def tiles_of(pdf: pd.DataFrame, upto: int) -> pd.DataFrame:
             key, i, j, own, node, comp, n = (pdf[c].to_numpy() for c in ("key", "i", "j", "own", "node", "comp", "n"))
             bits = pdf["bits"].tolist()
+            whole = pdf["s"].tolist() if kind else []
             same = (key[1:upto] == key[: upto - 1]) & (i[1:upto] == i[: upto - 1]) & (j[1:upto] == j[: upto - 1])
             starts = [0, *(np.flatnonzero(~same) + 1).tolist(), upto]
             out: list[tuple[int, int]] = []
             for a, b in zip(starts[:-1], starts[1:]):
                 if b - a > 1:
                     x, y = compare_block(i[a], j[a], own[a:b], node[a:b], comp[a:b], n[a:b], bits[a:b], num, den)
-                    out += zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())
+                    found = list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+                    if kind and found:
+                        named = {v for pair in found for v in pair}
+                        sets = {v: set(np.frombuffer(w, kind).tolist()) for v, w in zip(node[a:b].tolist(), whole[a:b]) if v in named}
+                        found = spanning(found, sets, num, den)
+                    out += found
             fresh = set(out) - seen
             if len(seen) < 1_000_000:
                 seen.update(fresh)
@@ -262,26 +322,33 @@ def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def linked_components(members: DataFrame, arrays: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+def linked_components(
+    members: DataFrame, arrays: DataFrame, info: DataFrame, num: int, den: int, kind=np.uint64
+) -> DataFrame:
     """Rows (node, component) of all nodes with a link. members: (key, node, size), where size tells how
     common the key is; arrays: (node, s); info: (node, n, bits).
 
     In each key the member that meets most others over all its keys is the anchor, as an original among
-    its edited copies does, and the members are verified against it first. Keys whose members are then
-    still in different components have them compared with each other in tiles.
+    its edited copies does. Each member is verified against the best of its keys' anchors first. Keys
+    whose members are then still in different components have them compared with each other in tiles.
     """
     degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
     first = members.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top"))
-    anchored = members.select("key", "node").join(first.select("key", F.col("top.node").alias("anchor")), "key")
-    pair = anchored.where("node <> anchor").select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"))
+    anchored = members.select("key", "node").join(first, "key").where("node <> top.node")
+    best = anchored.groupBy("node").agg(F.max("top").alias("top"))
+    pair = best.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
     stars = common.materialize(pair.distinct(), "ngram-stars")
-    edges = common.materialize(_verified(stars, arrays, num, den), "ngram-edges")
+    edges = common.materialize(_verified(stars, arrays, num, den, kind), "ngram-edges")
     linked = common.materialize(common.connected_components(edges), "ngram-first")
     known = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     sizes = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("one"), F.max("comp").alias("other"))
     open_groups = sizes.where("one < other").select("key", "size")
     still = known.join(open_groups, "key").join(info, "node")
-    more = common.materialize(_verified(_blocks(still, num, den), arrays, num, den), "ngram-more")
+    if kind is np.uint64:
+        more = common.materialize(_verified(_blocks(still, num, den), arrays, num, den), "ngram-more")
+    else:  # sets that are small enough to travel with the tiles
+        more = common.materialize(_blocks(still.join(arrays, "node"), num, den, kind), "ngram-more")
+    del known, sizes, open_groups, still
     if more.isEmpty():
         return linked
     merged = edges.unionByName(more)

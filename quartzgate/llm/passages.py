@@ -13,6 +13,7 @@ several documents the one with the smallest doc_id keeps its passage.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from . import common, line_dedup, ngram_join, shingles
 
 LENGTH, WINDOW, SEED_WORDS = 36, 15, 3
-#: Bands of two rows each: a pair at similarity 0.8 meets with 1 - (1 - 0.64)^3 = 0.95, an equal one always.
-BANDS, ROWS = 3, 2
+#: Four bands of three rows: a pair at similarity 0.8 meets with 1 - (1 - 0.8^3)^4 = 0.94, one at 0.2 with 0.03 and
+#: an equal one always.
+BANDS, ROWS = 4, 3
 WORDS, NUM, DEN = 5, 80, 100
 #: Bits of the filter of band keys: 32 MB at most.
 LEAST_BITS, MOST_BITS = 1 << 18, 1 << 28
@@ -83,11 +85,15 @@ class Paragraphs:
         """An (n, BANDS) array."""
         out = np.zeros((len(self.at), BANDS), np.uint64)
         if len(self.at):
+            halves = []
+            for salt in range(-(-BANDS * ROWS // 2)):
+                h = shingles.mix(self.run, 11 + salt)  # its two halves order shingles independently
+                halves += [(h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)]
             for band in range(BANDS):
                 key = np.full(len(self.at), np.uint64(band + 1))
-                for row in range(ROWS):
-                    mins = _sliding(shingles.mix(self.run, 11 + band * ROWS + row), LENGTH - WORDS + 1, np.minimum)
-                    key = shingles.mix(key * shingles.GOLDEN + mins[self.at])
+                for half in halves[band * ROWS : (band + 1) * ROWS]:
+                    mins = _sliding(half, LENGTH - WORDS + 1, np.minimum)[self.at]
+                    key = shingles.mix(key * shingles.GOLDEN + mins.astype(np.uint64))
                 out[:, band] = key
         return out
 
@@ -99,15 +105,21 @@ class Paragraphs:
         return out.view(np.int64)
 
     def sets(self) -> list[np.ndarray]:
+        """The shingles of each paragraph, sorted, by the upper halves of their hashes: 32 bits tell 32 apart."""
         width = LENGTH - WORDS + 1
-        return [np.unique(self.run[a : a + width]) for a in self.at]
+        return [np.unique((self.run[a : a + width] >> np.uint64(32)).astype(np.uint32)) for a in self.at]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         return self.begins[self.at], self.ends[self.at + LENGTH - 1]
 
 
 def _positions(texts, bits: int) -> np.ndarray:
-    return Paragraphs(texts).band_keys() & np.uint64(bits - 1)
+    """Filter positions of the band keys, once for each text that holds a key."""
+    p = Paragraphs(texts)
+    keys = p.band_keys()
+    owned = shingles.mix(keys ^ shingles.mix(p.owner.astype(np.uint64), 3)[:, None])
+    _, first = np.unique(owned.ravel(), return_index=True)
+    return keys.ravel()[first] & np.uint64(bits - 1)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -135,27 +147,38 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     seen = held.mapInPandas(pick, "key long, node long, doc_id long, word int").repartition(common.parts(spark), "key")
     groups = seen.groupBy("key").agg(
-        F.min("node").alias("anchor"), F.max("node").alias("last"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other")
-    )
-    shared = groups.where("one < other").select("key", "anchor", (F.col("anchor") < F.col("last")).alias("mixed"))
+        F.min("node").alias("first"), F.max("node").alias("last"), F.min("doc_id").alias("one"),
+        F.max("doc_id").alias("other"), F.count("*").alias("size"), F.max("word").alias("word"),
+    )
+    # `word` is named so that both readers of `seen` need the same columns and share one exchange
+    shared = groups.where("one < other and word >= 0").select("key", "size", (F.col("first") < F.col("last")).alias("mixed"))
     found = common.materialize(seen.join(shared, "key"), "passages")
-    mixed = found.where("mixed").select("key", "node", "anchor").distinct()
+    mixed = found.where("mixed").select("key", "node", "size").distinct()
     holders = found.where("mixed").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     holders = common.materialize(holders, "passage-holders")
 
+    low_bits = F.pmod(F.col("node").bitwiseXOR(F.col("doc_id")), F.lit(ngram_join.NEEDED_BITS))
+    needed = spark.sparkContext.broadcast(ngram_join.filter_of(holders.select(low_bits.alias("at"))))
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filled = np.frombuffer(zlib.decompress(needed.value), np.uint8)
         for pdf in common.small_batches(batches):
             p = Paragraphs(pdf["text"].tolist())
+            nodes = p.nodes()
+            doc_ids = pdf["doc_id"].to_numpy(np.int64)[p.owner]
+            some = ngram_join.passes(filled, (nodes ^ doc_ids) & (ngram_join.NEEDED_BITS - 1))
+            _, first = np.unique(nodes[some], return_index=True)
+            p.at, nodes = p.at[some][first], nodes[some][first]
             sets = p.sets()
             yield pd.DataFrame(
-                {"node": p.nodes(), "n": [len(s) for s in sets], "bits": [ngram_join.bitmap(s) for s in sets], "s": [s.tobytes() for s in sets]}
+                {"node": nodes, "n": [len(s) for s in sets], "bits": [ngram_join.bitmap(s) for s in sets], "s": [s.tobytes() for s in sets]}
             )
 
     where = ngram_join.among(held, holders.select("doc_id").distinct())
     arrays = where.mapInPandas(describe, "node long, n long, bits binary, s binary")
     arrays = arrays.join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"])
     arrays = common.materialize(arrays, "passage-arrays")
-    linked = ngram_join.linked_components(mixed, arrays.select("node", "s"), arrays.select("node", "n", "bits"), NUM, DEN)
+    linked = ngram_join.linked_components(mixed, arrays.select("node", "s"), arrays.select("node", "n", "bits"), NUM, DEN, np.uint32)
 
     each = found.select("node", "doc_id", "word").distinct().join(linked, "node", "left")
     each = each.select(F.coalesce("component", "node").alias("cluster"), "doc_id", "word")
@@ -203,28 +226,27 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     empty texts stay as they are; rows with a null doc_id stay whole; repeated rows of a doc_id lose
     the same passages; n_chars, where there, follows the new text. Empty table: empty result.
     """
-    gone = occurrences(docs).where("keep < doc_id").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("word").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    names = docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in common.small_batches(batches):
-            pdf = pdf.copy()
-            texts = []
-            for text, words in zip(pdf["text"], pdf["_gone"]):
-                if words is not None and text:
-                    spans: list[list[int]] = []
-                    for w in sorted(int(x) for x in words):
-                        if spans and w <= spans[-1][1]:
-                            spans[-1][1] = w + LENGTH
-                        else:
-                            spans.append([w, w + LENGTH])
-                    text = without_spans(text, [(a, b) for a, b in spans])
-                texts.append(text)
-            if "n_chars" in names:
-                pdf["n_chars"] = [n if a == b or b is None else len(b) for n, a, b in zip(pdf["n_chars"], pdf["text"], texts)]
-            pdf["text"] = texts
-            yield pdf[names]
-
-    return joined.mapInPandas(run, schema)
+    gone = occurrences(docs).where("keep < doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("word").alias("__gone"))
+    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
+    new = {"text": "string"}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = docs.schema["n_chars"].dataType
+
+    def run(batch) -> dict[str, list]:
+        texts = batch.column("text").to_pylist()
+        out = list(texts)
+        for i, words in enumerate(batch.column("__gone").to_pylist()):
+            if words and texts[i]:
+                spans: list[list[int]] = []
+                for w in sorted(words):
+                    if spans and w <= spans[-1][1]:
+                        spans[-1][1] = w + LENGTH
+                    else:
+                        spans.append([w, w + LENGTH])
+                out[i] = without_spans(texts[i], [(a, b) for a, b in spans])
+        if "n_chars" not in new:
+            return {"text": out}
+        chars = batch.column("n_chars").to_pylist()
+        return {"text": out, "n_chars": [n if a == b else len(b) for n, a, b in zip(chars, texts, out)]}
+
+    return common.map_rows(joined, run, new, gone=("__id", "__gone"))

@@ -15,9 +15,17 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _random(n: int, salt: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN, salt)
+
+
+#: A random number for each byte, and an odd one for each place in a word.
+BYTES, PLACES = _random(256, 1), _random(1 << 14, 2) | np.uint64(1)
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, byte after the last, number per text) of all words, A-Z lower-cased, cut at white
-    space (space and \\x09 to \\x0D). Bytes count within all texts joined by one byte each."""
+    space (space, tab, line breaks, vertical tab and form feed). Bytes count within all texts joined by one byte each."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     codes = np.frombuffer(b"\n".join(raw).lower() + b"\n", np.uint8)
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
@@ -30,17 +38,21 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         return np.zeros(0, np.uint64), begins, ends, counts
     offset = np.cumsum(size) - size
     within = np.arange(int(size.sum())) - np.repeat(offset, size)
-    h = codes[~blank].astype(np.uint64) << np.uint64(32) | within.astype(np.uint64)
-    return mix(np.add.reduceat(mix(h * GOLDEN), offset) + size.astype(np.uint64)), begins, ends, counts
+    if size.max() > len(PLACES):
+        place = PLACES[within % len(PLACES)] + (within // len(PLACES)).astype(np.uint64) * np.uint64(2)
+    else:
+        place = PLACES[within]
+    return mix(np.add.reduceat(BYTES[codes[~blank]] * place, offset) + size.astype(np.uint64)), begins, ends, counts
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k words, without regard to where texts end: entry i covers i to i + k - 1."""
     n = max(0, len(h) - k + 1)
     out = np.full(n, np.uint64(k))
+    odd = _random(k, 3) | np.uint64(1)
     for j in range(k):
-        out = mix(out * GOLDEN + h[j : j + n])
-    return out
+        out += h[j : j + n] * odd[j]
+    return mix(out)
 
 
 def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
