@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut and any executor may be lost."""
     spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that nothing refers to any more
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
