@@ -67,15 +67,17 @@ class Paragraphs:
                 inside[room[: len(inside)] < WINDOW] = 0
                 least[WINDOW - 1 : WINDOW - 1 + len(inside)] = inside
                 chosen = (_sliding(least, WINDOW, np.maximum)[:n] == g) & (room > 0)
+            # in a run of adjacent places of one hash, as a repeated word gives, its first place and every WINDOW-th
+            # from its last are enough: a shared run that isn't all of that word holds the same end of it in both texts
+            last = np.flatnonzero(np.concatenate([g[1:] != g[:-1], [True]]))
+            size = np.diff(last, prepend=-1)
+            enough = (np.repeat(last, size) - np.arange(n)) % WINDOW == 0
+            enough[last - size + 1] = True
+            chosen &= enough
             for i in np.flatnonzero((counts >= LENGTH) & (counts < LENGTH + WINDOW - 1)):
                 start = upto[i] - counts[i]
                 chosen[start + np.argmin(g[start : start + counts[i] - LENGTH + 1])] = True
-            at = np.flatnonzero(chosen)
-            # in a run of equal hashes, as repeated words give, every WINDOW-th place is enough
-            same = np.zeros(len(at), bool)
-            same[1:] = (g[at[1:]] == g[at[:-1]]) & (owner[at[1:]] == owner[at[:-1]])
-            since = np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-            self.at = at[since % WINDOW == 0]
+            self.at = np.flatnonzero(chosen)
             self.owner = owner[self.at]
         else:
             self.owner = np.zeros(0, np.int64)

@@ -216,6 +216,25 @@ def test_paragraphs_align_in_any_shared_run():
         assert set(p.nodes().tolist()) & set(q.nodes().tolist())
 
 
+def test_paragraphs_align_where_a_phrase_recurs():
+    rnd = random.Random(12)
+    for period in range(1, 16):
+        for _ in range(60):
+            head = [f"h{rnd.randrange(9)}" for _ in range(min(period, 3))]
+            row = lambda: [*head, *(f"w{rnd.randrange(10**6)}" for _ in range(period - len(head)))]
+            rows = lambda n: [w for _ in range(-(-n // period)) for w in row()]
+            if period == 1:  # one word again and again, within the shared run or beyond its ends
+                edge = [f"w{rnd.randrange(10**6)}" for _ in range(50)]
+                at, n = rnd.randrange(50), rnd.randrange(51)
+                shared = [*edge[:at], *head * n, *edge[at:]][:50]
+            else:
+                shared = rows(50)[:50]
+            a, b = (" ".join([*rows(rnd.randint(0, 400)), *shared, *rows(rnd.randint(0, 400))]) for _ in range(2))
+            p, q = passages.Paragraphs([a]), passages.Paragraphs([b])
+            assert set(p.nodes().tolist()) & set(q.nodes().tolist()), (period, shared)
+    assert len(passages.Paragraphs(["x " * 3000]).at) < 250
+
+
 def test_nearest_neighbours_recall_and_odd_vectors(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(3000, 24)) * rnd.uniform(0.5, 2, (3000, 1))
