@@ -5,6 +5,9 @@ starts at each word whose hash (over SEED_WORDS words) is the least of some WIND
 and has LENGTH words. Any run of WINDOW + LENGTH - 1 = 50 words that two texts share holds a
 paragraph that starts at the same place of the run in both.
 
+Natural paragraphs of LENGTH words or more are units, too, whatever their length: each line, and in texts
+with blank lines each block between them. So copies that are edited here and there are found as wholes.
+
 MinHash bands over five-word shingles find candidates; a "seen twice" filter of band keys decides
 which paragraphs shuffle at all. Candidates are verified by exact Jaccard similarity, equal
 paragraphs being one node, and clusters are the connected components. In each cluster that spans
@@ -27,6 +30,8 @@ LENGTH, WINDOW, SEED_WORDS = 36, 15, 3
 #: Four bands of three rows: a pair at similarity 0.8 meets with 1 - (1 - 0.8^3)^4 = 0.94, one at 0.2 with 0.03 and
 #: an equal one always.
 BANDS, ROWS = 4, 3
+#: Bands of natural paragraphs, of three rows as well: a pair at similarity 0.8 meets with 0.997.
+NATURAL_BANDS = 8
 WORDS, NUM, DEN = 5, 80, 100
 #: Bits of the filter of band keys: 32 MB at most.
 LEAST_BITS, MOST_BITS = 1 << 18, 1 << 28
@@ -43,8 +48,8 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Paragraphs:
-    """All paragraphs of a batch of texts: owner (index of the text), word (index in it), first and last byte
-    (within the batch), and the hashes of words and shingles."""
+    """All paragraphs of a batch of texts: owner (index of the text), word (index in it), size (words), natural or
+    cut by content, and the hashes of words and shingles. Natural ones come last, so `at` alone doesn't ascend."""
 
     def __init__(self, texts: list[str | None]) -> None:
         self.hash, self.begins, self.ends, counts = shingles.words(texts)
@@ -77,59 +82,117 @@ class Paragraphs:
             for i in np.flatnonzero((counts >= LENGTH) & (counts < LENGTH + WINDOW - 1)):
                 start = upto[i] - counts[i]
                 chosen[start + np.argmin(g[start : start + counts[i] - LENGTH + 1])] = True
-            self.at = np.flatnonzero(chosen)
+            at = np.flatnonzero(chosen)
+            whole, size = self._natural(texts, upto)
+            self.at = np.concatenate([at, whole])
+            self.size = np.concatenate([np.full(len(at), LENGTH), size])
+            self.natural = np.arange(len(self.at)) >= len(at)
             self.owner = owner[self.at]
         else:
-            self.owner = np.zeros(0, np.int64)
+            self.owner = self.size = np.zeros(0, np.int64)
+            self.natural = np.zeros(0, bool)
         self.word = self.at - (upto - counts)[self.owner]
 
-    def band_keys(self) -> np.ndarray:
-        """An (n, BANDS) array."""
-        out = np.zeros((len(self.at), BANDS), np.uint64)
-        if len(self.at):
-            halves = []
-            for salt in range(-(-BANDS * ROWS // 2)):
-                h = shingles.mix(self.run, 11 + salt)  # its two halves order shingles independently
-                halves += [(h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)]
-            for band in range(BANDS):
-                key = np.full(len(self.at), np.uint64(band + 1))
-                for half in halves[band * ROWS : (band + 1) * ROWS]:
-                    mins = _sliding(half, LENGTH - WORDS + 1, np.minimum)[self.at]
-                    key = shingles.mix(key * shingles.GOLDEN + mins.astype(np.uint64))
-                out[:, band] = key
-        return out
+    def _natural(self, texts: list[str | None], upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, words) of each line, and of each block between blank lines in texts that have some."""
+        raw = np.frombuffer(b"\n".join((t or "").encode("utf-8", "surrogatepass") for t in texts), np.uint8)
+        line = np.searchsorted(np.flatnonzero(raw == 10), self.begins)
+        n = len(self.begins)
+        fresh = np.zeros(n + 1, bool)  # where texts start
+        fresh[np.concatenate([[0], upto])] = True
+        step = np.diff(line, prepend=line[0])
+        found = []
+        for least in (1, 2):  # lines, blocks
+            start = np.flatnonzero(fresh[:n] | (step >= least))
+            found.append(np.stack([start, np.diff(start, append=n)], 1))
+        blocks = found[1]
+        text = np.searchsorted(upto, blocks[:, 0], "right")
+        found[1] = blocks[np.bincount(text, minlength=len(upto))[text] > 1]
+        both = np.concatenate(found)
+        both = np.unique(both[both[:, 1] >= LENGTH], axis=0)
+        return both[:, 0], both[:, 1]
+
+    def keep(self, some: np.ndarray) -> None:
+        """Leave out all paragraphs but `some`."""
+        self.at, self.size, self.natural, self.owner, self.word = (
+            x[some] for x in (self.at, self.size, self.natural, self.owner, self.word)
+        )
+
+    def _inside(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the shingles of natural paragraphs one after another, where each paragraph's start among them)."""
+        width = self.size[self.natural] - WORDS + 1
+        first = np.cumsum(width) - width
+        return np.arange(int(width.sum())) + np.repeat(self.at[self.natural] - first, width), first
+
+    def band_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, index of the paragraph that each belongs to)."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        halves = []
+        for salt in range(-(-BANDS * ROWS // 2)):
+            h = shingles.mix(self.run, 11 + salt)  # its two halves order shingles independently
+            halves += [(h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)]
+        keys, rows = [], []
+
+        def band(number: int, row: np.ndarray, mins: list[np.ndarray]) -> None:
+            key = np.full(len(row), np.uint64(number + 1))
+            for m in mins:
+                key = shingles.mix(key * shingles.GOLDEN + m.astype(np.uint64))
+            keys.append(key)
+            rows.append(row)
+
+        row = np.flatnonzero(~self.natural)
+        for k in range(BANDS):
+            own = halves[k * ROWS : (k + 1) * ROWS]
+            band(k, row, [_sliding(half, LENGTH - WORDS + 1, np.minimum)[self.at[row]] for half in own])
+        row = np.flatnonzero(self.natural)
+        if len(row):
+            places, first = self._inside()
+            run = self.run[places]
+            for k in range(NATURAL_BANDS):
+                mins = []
+                for salt in range(ROWS):
+                    h = shingles.mix(run, 31 + k * ROWS + salt).astype(np.uint32)
+                    mins.append(np.minimum.reduceat(h, first))
+                band(BANDS + k, row, mins)
+        return np.concatenate(keys), np.concatenate(rows)
 
     def nodes(self) -> np.ndarray:
-        """A hash of each paragraph's words."""
-        out = np.full(len(self.at), np.uint64(LENGTH))
+        """A hash of each paragraph's words, another one for natural ones."""
+        out = np.zeros(len(self.at), np.uint64)
+        at = self.at[~self.natural]
+        cut = np.full(len(at), np.uint64(LENGTH))
         for k in sorted({*range(0, LENGTH - WORDS + 1, WORDS), LENGTH - WORDS}):
-            out = shingles.mix(out * shingles.GOLDEN + self.run[self.at + k])
+            cut = shingles.mix(cut * shingles.GOLDEN + self.run[at + k])
+        out[~self.natural] = cut
+        if self.natural.any():
+            places, first = self._inside()
+            within = places - np.repeat(self.at[self.natural], self.size[self.natural] - WORDS + 1)
+            each = shingles.mix(self.run[places] + within.astype(np.uint64) * shingles.GOLDEN, 71)
+            out[self.natural] = shingles.mix(np.add.reduceat(each, first) + self.size[self.natural].astype(np.uint64), 72)
         return out.view(np.int64)
 
     def sets(self) -> list[np.ndarray]:
         """The shingles of each paragraph, sorted, by the upper halves of their hashes: 32 bits tell 32 apart."""
-        width = LENGTH - WORDS + 1
-        return [np.unique((self.run[a : a + width] >> np.uint64(32)).astype(np.uint32)) for a in self.at]
-
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.begins[self.at], self.ends[self.at + LENGTH - 1]
+        width = self.size - WORDS + 1
+        return [np.unique((self.run[a : a + w] >> np.uint64(32)).astype(np.uint32)) for a, w in zip(self.at, width)]
 
 
 def _positions(texts, bits: int) -> np.ndarray:
     """Filter positions of the band keys, once for each text that holds a key."""
     p = Paragraphs(texts)
-    keys = p.band_keys()
-    owned = shingles.mix(keys ^ shingles.mix(p.owner.astype(np.uint64), 3)[:, None])
-    _, first = np.unique(owned.ravel(), return_index=True)
-    return keys.ravel()[first] & np.uint64(bits - 1)
+    keys, row = p.band_keys()
+    owned = shingles.mix(keys ^ shingles.mix(p.owner[row].astype(np.uint64), 3))
+    _, first = np.unique(owned, return_index=True)
+    return keys[first] & np.uint64(bits - 1)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Rows (cluster, doc_id, word, keep): paragraphs that repeat across documents. keep is the smallest
-    doc_id of the cluster. Rows with a null doc_id take no part; repeated rows of a doc_id are one document."""
+    """Rows (cluster, doc_id, word, words, keep): paragraphs that repeat across documents, `words` long. keep is the
+    smallest doc_id of the cluster. Rows with a null doc_id take no part; repeated rows of a doc_id are one document."""
     spark = docs.sparkSession
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    n = (held.agg(F.sum(F.length("text"))).first()[0] or 0) / 6 / ((WINDOW + 1) / 2) * BANDS
+    n = (held.agg(F.sum(F.length("text"))).first()[0] or 0) / 6 * (BANDS / ((WINDOW + 1) / 2) + NATURAL_BANDS / LENGTH)
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(1, n) * 4)))))
     twice = spark.sparkContext.broadcast(line_dedup.suspects_filter(held, bits, _positions))
 
@@ -137,23 +200,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
         filled = np.frombuffer(twice.value, np.uint8)
         for pdf in common.small_batches(batches):
             p = Paragraphs(pdf["text"].tolist())
-            keys = p.band_keys()
-            at = (keys & np.uint64(bits - 1)).astype(np.int64)
-            row, band = np.nonzero(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            keys, row = p.band_keys()
+            some = ngram_join.passes(filled, (keys & np.uint64(bits - 1)).astype(np.int64))
+            keys, row = keys[some], row[some]
             yield pd.DataFrame(
                 {
-                    "key": keys[row, band].view(np.int64), "node": p.nodes()[row],
-                    "doc_id": pdf["doc_id"].to_numpy(np.int64)[p.owner[row]], "word": p.word[row],
+                    "key": keys.view(np.int64), "node": p.nodes()[row],
+                    "doc_id": pdf["doc_id"].to_numpy(np.int64)[p.owner[row]], "word": p.word[row], "words": p.size[row],
                 }
             )
 
-    seen = held.mapInPandas(pick, "key long, node long, doc_id long, word int").repartition(common.parts(spark), "key")
+    seen = held.mapInPandas(pick, "key long, node long, doc_id long, word int, words int").repartition(common.parts(spark), "key")
     groups = seen.groupBy("key").agg(
         F.min("node").alias("first"), F.max("node").alias("last"), F.min("doc_id").alias("one"),
-        F.max("doc_id").alias("other"), F.count("*").alias("size"), F.max("word").alias("word"),
+        F.max("doc_id").alias("other"), F.count("*").alias("size"), F.max("word").alias("word"), F.max("words").alias("words"),
     )
-    # `word` is named so that both readers of `seen` need the same columns and share one exchange
-    shared = groups.where("one < other and word >= 0").select("key", "size", (F.col("first") < F.col("last")).alias("mixed"))
+    # `word` and `words` are named so that both readers of `seen` need the same columns and share one exchange
+    shared = groups.where("one < other and word >= 0 and words > 0").select("key", "size", (F.col("first") < F.col("last")).alias("mixed"))
     found = common.materialize(seen.join(shared, "key"), "passages")
     mixed = found.where("mixed").select("key", "node", "size").distinct()
     holders = found.where("mixed").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -170,7 +233,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
             doc_ids = pdf["doc_id"].to_numpy(np.int64)[p.owner]
             some = ngram_join.passes(filled, (nodes ^ doc_ids) & (ngram_join.NEEDED_BITS - 1))
             _, first = np.unique(nodes[some], return_index=True)
-            p.at, nodes = p.at[some][first], nodes[some][first]
+            p.keep(np.flatnonzero(some)[first])
+            nodes = nodes[some][first]
             sets = p.sets()
             yield pd.DataFrame(
                 {"node": nodes, "n": [len(s) for s in sets], "bits": [ngram_join.bitmap(s) for s in sets], "s": [s.tobytes() for s in sets]}
@@ -182,8 +246,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     arrays = common.materialize(arrays, "passage-arrays")
     linked = ngram_join.linked_components(mixed, arrays.select("node", "s"), arrays.select("node", "n", "bits"), NUM, DEN, np.uint32)
 
-    each = found.select("node", "doc_id", "word").distinct().join(linked, "node", "left")
-    each = each.select(F.coalesce("component", "node").alias("cluster"), "doc_id", "word")
+    each = found.select("node", "doc_id", "word", "words").distinct().join(linked, "node", "left")
+    each = each.select(F.coalesce("component", "node").alias("cluster"), "doc_id", "word", "words")
     keep = each.groupBy("cluster").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("_last"))
     return each.join(keep.where("keep < _last").select("cluster", "keep"), "cluster")
 
@@ -193,12 +257,13 @@ def merged_spans(found: DataFrame) -> DataFrame:
     passage. keep is the smallest doc_id that holds one of its paragraphs; keep = doc_id: nothing goes."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id").orderBy("word")
-    before = F.max(F.col("word") + LENGTH).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    w = Window.partitionBy("doc_id").orderBy("word", "words")
+    end = F.col("word") + F.col("words")
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = found.withColumn("_new", F.when(F.col("word") <= before, 0).otherwise(1))
     run = cut.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy("doc_id", "_run").agg(
-        F.min("word").alias("first_word"), (F.max("word") + LENGTH - F.min("word")).cast("int").alias("n_words"),
+        F.min("word").alias("first_word"), (F.max(end) - F.min("word")).cast("int").alias("n_words"),
         F.min("keep").alias("keep"), F.countDistinct("cluster").alias("n_clusters"),
     ).drop("_run")
 
@@ -228,7 +293,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     empty texts stay as they are; rows with a null doc_id stay whole; repeated rows of a doc_id lose
     the same passages; n_chars, where there, follows the new text. Empty table: empty result.
     """
-    gone = occurrences(docs).where("keep < doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("word").alias("__gone"))
+    gone = occurrences(docs).where("keep < doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("word", "words")).alias("__gone"))
     joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
     new = {"text": "string"}
     if "n_chars" in docs.columns:
@@ -240,11 +305,11 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         for i, words in enumerate(batch.column("__gone").to_pylist()):
             if words and texts[i]:
                 spans: list[list[int]] = []
-                for w in sorted(words):
+                for w, n in sorted((x["word"], x["words"]) for x in words):
                     if spans and w <= spans[-1][1]:
-                        spans[-1][1] = w + LENGTH
+                        spans[-1][1] = max(spans[-1][1], w + n)
                     else:
-                        spans.append([w, w + LENGTH])
+                        spans.append([w, w + n])
                 out[i] = without_spans(texts[i], [(a, b) for a, b in spans])
         if "n_chars" not in new:
             return {"text": out}

@@ -235,6 +235,37 @@ def test_paragraphs_align_where_a_phrase_recurs():
     assert len(passages.Paragraphs(["x " * 3000]).at) < 250
 
 
+def test_edited_natural_paragraphs_are_found(spark):
+    rnd = random.Random(21)
+    texts, pairs = [], 60
+    sizes = [rnd.choice([100, 100, 160, 400]) for _ in range(pairs)]
+    for i, n in enumerate(sizes):
+        line = prose(rnd, n).split()
+        other = list(line)
+        for k in range(n // 50):  # a changed word in each 50 leaves Jaccard 0.81 and no run of 50
+            other[33 * (k + 1) if n == 100 else 25 + 50 * k] = "edited"
+        wrapped = "\n".join([" ".join(other[:20]), " ".join(other[20:])])
+        source = "\n".join([" ".join(line[:70]), " ".join(line[70:])])
+        inner = i % 2 == 1  # a line, or lines between blank ones
+        texts.append((i, f"{prose(rnd, 30)}\n\n{source}\n \n{prose(rnd, 9)}" if inner else f"{prose(rnd, 30)}\n{' '.join(line)}\nend"))
+        texts.append((1000 + i, f"{prose(rnd, 20)}\n\n{wrapped}\n\nlast words" if inner else f"{' '.join(other)}\n{prose(rnd, 25)}"))
+    texts.append((5000, "\n".join(prose(rnd, 40) for _ in range(5))))
+    df = docs_frame(spark, texts)
+    rows = passages.repeated_passages(df).collect()
+    found = {r["doc_id"]: r for r in rows if r["removed"]}
+    hit = []
+    for i, n in enumerate(sizes):  # a passage cut by content may reach a few words beyond the paragraph
+        r, at = found.get(1000 + i), 20 * (i % 2)
+        if r and r["keep"] == i and at - 4 < r["first_word"] <= at and at + n <= r["first_word"] + r["n_words"] < at + n + 8:
+            hit.append(i)
+    assert len(hit) >= 0.95 * pairs
+    assert all(r["doc_id"] < 2000 for r in rows) and all(r["keep"] == r["doc_id"] for r in rows if r["doc_id"] < 1000)
+    out = {r["doc_id"]: r["text"].split() for r in passages.dedup_passages(df).collect()}
+    text = dict(texts)
+    for i in hit:
+        assert len(out[1000 + i]) == len(text[1000 + i].split()) - found[1000 + i]["n_words"] and out[i] == text[i].split()
+
+
 def test_nearest_neighbours_recall_and_odd_vectors(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(3000, 24)) * rnd.uniform(0.5, 2, (3000, 1))
