@@ -376,6 +376,33 @@ def test_url_rules_and_model(spark):
     assert urls.judge(df.where("page_id < 0")).count() == 0
 
 
+def test_url_scores_equal_plain_counts_of_all_labels(spark):
+    rnd = random.Random(7)
+    name = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789-é") for _ in range(n))
+    rows = [(i, f"https://{name(9)}.example.org/en/{name(20)}") for i in range(1500)]
+    rows += [(2000 + i, f"http://{name(9)}.example.com/de/{name(20)}") for i in range(1500)]
+    rows += [(5000 + i, f"http://{name(9)}.example.net/{name(20)}") for i in range(60)]
+    rows += [(7000, rows[0][1]), (7001, rows[-1][1])]
+    seen: dict[str, Counter] = {"allow": Counter(), "block": Counter()}
+    grams = lambda u: [(o, ("\0" * 5 + u)[i + 5 - o : i + 5], u[i]) for i in range(len(u)) for o in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    free = [(i, u) for i, u in rows if got[i]["rule"] is None]
+    for i, u in rows:
+        if got[i]["rule"] is not None:
+            for o, context, c in grams(u):
+                seen[got[i]["verdict"]][o, context, c] += 1
+                seen[got[i]["verdict"]][o, context] += 1
+    assert len(seen["allow"]) > 3 * 32768 and len(free) == 61
+    for i, u in free:
+        gain, p = 0.0, {}
+        for o, context, c in grams(u):
+            for verdict, n in seen.items():
+                p[verdict] = (n[o, context, c] + urls.BACKOFF * (p[verdict] if o else 1 / 256)) / (n[o, context] + urls.BACKOFF)
+            gain += np.log(p["allow"] / p["block"]) if o == 5 else 0
+        assert np.isclose(got[i]["score"], gain / len(u))
+
+
 def test_quality_marginals_equal_enumeration():
     rnd = np.random.default_rng(2)
     e, step, counts = rnd.normal(size=7), rnd.normal(size=(2, 2)), np.array([4, 1, 2])
