@@ -49,6 +49,46 @@ def nearest_mean(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
     return top.groupBy("id").agg((F.sum("s") / k).alias("similarity"))
 
 
+def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
+    """queries, rows: (id, v). Rows (id, similarity): the mean cosine of the k nearest among all other ids, ties by id.
+    Blocks of queries meet blocks of rows, and each meeting gives at most k rows for a query. Null vectors and ids, and
+    vectors that are zero or not finite, take no part; a query with fewer neighbours has the mean of those."""
+    import numpy as np
+    import pandas as pd
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        held = df.where("id is not null and v is not null").select("id", "v")
+        n = max(1, -(-held.count() // block))
+        return held.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)))
+
+    def unit(ids: pd.Series, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        v = np.stack([np.asarray(x, float) for x in vectors])
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            v = v / np.sqrt((v * v).sum(1, keepdims=True))
+        good = np.isfinite(v).all(1)
+        return ids.to_numpy(np.int64)[good], v[good]
+
+    def meet(key, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "t": [], "s": []})]
+        if len(mine) and len(others):
+            (ids, q), (ts, v) = unit(mine["id"], mine["v"]), unit(others["t"], others["u"])
+            for i, s in zip(ids, q @ v.T):
+                s, t = s[ts != i], ts[ts != i]
+                best = np.lexsort((t, -s))[:k]
+                out.append(pd.DataFrame({"id": i, "t": t[best], "s": s[best]}))
+        return pd.concat(out)
+
+    asked, held = blocks(queries, "_q"), blocks(rows, "_r")
+    own = lambda df, *names: df.select(*[F.col(a).alias(b) for a, b in names])
+    q, r = (own(df, (c, "_b")).distinct() for df, c in ((asked, "_q"), (held, "_r")))
+    # each block is sent once for each block of the other side
+    left = own(asked.crossJoin(F.broadcast(r)), ("id", "id"), ("v", "v"), ("_q", "_i"), ("_b", "_j")).groupBy("_i", "_j")
+    right = own(held.crossJoin(F.broadcast(q)), ("id", "t"), ("v", "u"), ("_b", "_k"), ("_r", "_l")).groupBy("_k", "_l")
+    near = left.cogroup(right).applyInPandas(meet, "id long, t long, s double")
+    w = Window.partitionBy("id").orderBy(F.desc("s"), "t")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("id").agg(F.avg("s").alias("similarity"))
+
+
 def domain_thresholds(scores: DataFrame, share: float = 0.05) -> DataFrame:
     """One row: similarity (the lower quantile) and words (the upper one)."""
     return scores.agg(F.percentile("similarity", share).alias("similarity"), F.percentile("words", 1 - share).alias("words"))

@@ -158,6 +158,15 @@ def embedding_similarity(spark, d):
     return s.withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("id").agg(F.avg("s").alias("similarity"))
 
 
+def embedding_similarity_all(spark, d):
+    """embedding_similarity without its ids: every vector against all others."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return features.nearest_vectors(e, e)
+
+
+query()(embedding_similarity_all)
+
+
 @query("""WITH g AS (SELECT item_id AS id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM benchmark), g2 AS (SELECT * FROM g WHERE term <> ''),
 q AS (SELECT conv_id * 100 + turn AS id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM conversations), q2 AS (SELECT * FROM q WHERE term <> ''),
 idf AS (SELECT term, ln((1e0 + (SELECT count(*) FROM benchmark)) / (1e0 + count(DISTINCT id))) + 1 AS idf FROM g2 GROUP BY term HAVING count(DISTINCT id) >= 2),

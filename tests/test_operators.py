@@ -253,3 +253,25 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"k": 1, "v": "x"}\n{"k": 1, "v": "y"}\n')
     log = logs.read_log(spark, f"file://{tmp_path}/log.jsonl", "k int, v string")
     assert logs.last_write(log, "k", "_at").first()["v"] == "y" and logs.first_write(log, "k", "_at").first()["v"] == "x"
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_embedding_similarity_all_equals_brute_force(spark):
+    import numpy as np
+
+    from quartzgate.operators import features
+    from quartzgate.plans import registry
+
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    want = dict(zip(ids.tolist(), np.sort(s, 1)[:, -5:].mean(1)))
+    got = {r["id"]: r["similarity"] for r in registry.QUERIES["embedding_similarity_all"](spark, SMALL).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    e = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids.tolist(), x)] + [(-1, None), (-2, [0.0] * x.shape[1])], "id long, v array<double>")
+    small = {r["id"]: r["similarity"] for r in features.nearest_vectors(e.where("id % 50 = 0 or id < 0"), e, block=150).collect()}
+    assert small.keys() == {i for i in want if i % 50 == 0} and all(abs(small[i] - want[i]) < 1e-9 for i in small)
