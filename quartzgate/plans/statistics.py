@@ -185,10 +185,14 @@ def knn_similarity(spark, d):
 
 
 def char_gram_similarity(spark, d):
+    """Rows (conv_id, turn, similarity) of all turns; 0 without a known gram."""
     grams = lambda df, key: df.select(key.alias("id"), features.char_grams(F.col("text")).alias("terms"))
     weights, idf = features.tf_idf(grams(table(spark, d, "benchmark"), F.col("item_id")))
-    asked = grams(table(spark, d, "conversations").where("role = 'system'"), F.col("conv_id"))
-    return features.nearest_mean(features.tf_idf(asked, idf)[0], weights)
+    turn = F.struct("conv_id", "turn")
+    asked = table(spark, d, "conversations")
+    near = features.nearest_mean(features.tf_idf(grams(asked, turn), idf)[0], weights)
+    every = asked.select(turn.alias("id")).distinct().join(near, "id", "left")
+    return every.select("id.conv_id", "id.turn", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 query()(char_gram_similarity)

@@ -275,3 +275,12 @@ def test_embedding_similarity_all_equals_brute_force(spark):
     e = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids.tolist(), x)] + [(-1, None), (-2, [0.0] * x.shape[1])], "id long, v array<double>")
     small = {r["id"]: r["similarity"] for r in features.nearest_vectors(e.where("id % 50 = 0 or id < 0"), e, block=150).collect()}
     assert small.keys() == {i for i in want if i % 50 == 0} and all(abs(small[i] - want[i]) < 1e-9 for i in small)
+
+
+def test_char_gram_similarity_asks_every_turn(spark):
+    from quartzgate.plans import registry
+
+    turns = {tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn").collect()}
+    got = registry.QUERIES["char_gram_similarity"](spark, SMALL).collect()
+    assert {(r["conv_id"], r["turn"]) for r in got} == turns and len(got) == len(turns)
+    assert all(0 <= r["similarity"] <= 1 + 1e-9 for r in got) and any(r["similarity"] > 0 for r in got)
