@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_CHARS = 1_000_000
 #: The white space that the contracts name: space and \x09 to \x0D.
 BLANKS = b" \t\n\v\f\r"
+#: Spark's setting that lets it delete a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,24 +32,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage is cut and any executor may be lost."""
+    """Write `df` to the shared folder and read it back: lineage is cut and any executor may be lost.
+
+    Spark deletes the shuffle files of the write when it is done."""
     spark = df.sparkSession
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that nothing refers to any more
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_at = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialised step that nothing reads any more."""
-    path = getattr(df, "_materialized_at", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def release(*steps: DataFrame) -> None:
+    """Delete the files of materialised steps that nothing reads any more."""
+    for df in steps:
+        path = getattr(df, "_materialized_at", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -83,6 +90,23 @@ def small_batches(batches: Iterator[pd.DataFrame], column: str = "text", most: i
     trim()
 
 
+def text_slices(batches, most: int = BATCH_CHARS) -> Iterator:
+    """Cut Arrow batches so that each slice holds at most `most` characters of the column text, or a single row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        total, start = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
+            if i > start and total + size > most:
+                yield batch.slice(start, i - start)
+                total, start = 0, i
+            total += size
+        yield batch.slice(start)
+    trim()
+
+
 def trim() -> None:
     """Give free memory of a Python worker back: it stays around for the next task beside Spark's own heap."""
     import ctypes
@@ -100,7 +124,6 @@ def map_rows(docs: DataFrame, make, new: dict[str, str], gone: tuple[str, ...] =
     through as they are, whatever their type. A batch holds BATCH_CHARS characters or a single row.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -112,18 +135,10 @@ def map_rows(docs: DataFrame, make, new: dict[str, str], gone: tuple[str, ...] =
     types = {f.name: f.type for f in to_arrow_schema(out)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
-            start, total = 0, 0
-            for i, size in enumerate([*sizes, BATCH_CHARS + 1]):
-                if i > start and total + size > BATCH_CHARS:
-                    part = batch.slice(start, i - start)
-                    made = make(part)
-                    columns = [pa.array(made[n], types[n]) if n in new else part.column(n) for n in order]
-                    yield pa.RecordBatch.from_arrays(columns, names=order)
-                    start, total = i, 0
-                total += size
-        trim()
+        for part in text_slices(batches):
+            made = make(part)
+            columns = [pa.array(made[n], types[n]) if n in new else part.column(n) for n in order]
+            yield pa.RecordBatch.from_arrays(columns, names=order)
 
     schema = StructType([next(f for f in out.fields if f.name == n) for n in order])
     return docs.mapInArrow(run, schema)

@@ -5,10 +5,11 @@ tile holds a band and the one above it. In a tile the hash space is cut into mor
 sets can differ in elements, so linked sets agree on at least one part: sets that share a part are
 the tile's candidates, and all other pairs need no look. Equal sets are one node from the start.
 
-Each shared part links its members to the one that meets most others first; the components that arise
-leave few open questions, namely parts whose members are still in different ones. Their members meet
-in tiles of bounded size, where bit counts of hashed bitmaps bound the overlap from above. What
-passes the bound is decided by intersecting the exact sorted arrays.
+Parts meet as packed postings, and those that the same sets share count as one. Each is linked first
+to the member that meets most others; the components that arise leave few open questions, namely
+parts whose members are still in different ones. Their members meet in tiles of bounded size. In both
+steps bit counts of hashed bitmaps bound the overlap from above, and only what passes the bound has
+its exact sorted arrays brought together and intersected.
 
 No pair that could be linked is skipped unless both ends are connected already, so components are
 exact. A set whose parts are too often empty for the argument above is cut anew with other seeds.
@@ -21,24 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, line_dedup, shingles
+from . import common, postings, shingles
 
 #: Shingle length and threshold of near-duplicate stages where no contract says otherwise.
 WORDS, NUM, DEN = 5, 80, 100
+#: Sets whose keys are made at once, and bits of an element's hash within one of them.
+ROWS, HASH = 1 << 20, 44
 #: Seeds that a set tries before its empty parts count, too.
 SEEDS = 4
 #: Least and most bytes of the bitmap with which blocks are compared, and members of a block.
 BITMAP, MOST_BITMAP, BLOCK = 64, 16384, 1024
-#: Elements of two sets up to which they are intersected at once.
-SMALL = 128
 #: Bits of the filter that names the documents whose sets are read again: fixed at 16 MB.
 NEEDED_BITS = 1 << 27
-#: Bits of the filter of keys: 64 MB at most; a fuller one lets more keys through.
-LEAST_KEY_BITS, MOST_KEY_BITS = 1 << 18, 1 << 29
+#: Members of a part up to which parts with the same members are made one, and members in a row of a larger one.
+FEW, IN_ROW = 64, 4096
+#: Sets that a task remembers, so that their copies there are not sent again.
+REMEMBERED = 1_000_000
 #: Ids of documents that go that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -52,28 +56,57 @@ def bands(num: int, den: int, upto: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def cuts(high: int, num: int, den: int) -> tuple[int, int]:
-    """(parts, most elements in which linked sets can differ) of a tile whose smaller sets reach `high`."""
+def cuts(high: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, most elements in which linked sets can differ) of tiles whose smaller sets reach `high`."""
     differ = high * (den - num) // num
-    return differ + 1 + (0 if differ < 4 else 1 + differ // 50), differ
-
-
-def part_keys(s: np.ndarray, tile: int, parts: int, differ: int) -> np.ndarray:
-    """The keys under which a set meets others in a tile: one for each part that isn't empty."""
-    out = []
+    return differ + 1 + np.where(differ < 4, 0, 1 + differ // 50), differ
+
+
+def set_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, index of the set that each belongs to): the keys under which sets meet others, one for each part that
+    isn't empty, in their band's tile and in the one below."""
+    size = np.array([len(s) for s in sets], np.int64)
+    high = bands(num, den, int(max(size, default=1)))
+    band = np.searchsorted(high, size)
+    keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(sets), ROWS):
+        own = slice(start, start + ROWS)
+        for k, r in _keys_of(sets[own], size[own], band[own], high, num, den):
+            keys.append(k)
+            rows.append(r + start)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _keys_of(sets, size, band, high, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    whole = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    row = np.repeat(np.arange(len(sets)), size)
+    tiles = [(band - d, *cuts(high[np.maximum(band - d, 0)], num, den), (band >= d) & (size > 0)) for d in (0, 1)]
+    low = np.uint64((1 << HASH) - 1)
     for seed in range(SEEDS):
-        h = np.sort(shingles.mix(s, seed + 1))
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        whole = np.add.reduceat(shingles.mix(h, 77), first)
-        tag = np.uint64((tile * SEEDS + seed) << 40) + part[first]
-        out.append(shingles.mix(whole ^ shingles.mix(tag, 5)))
-        empty = parts - len(first)
-        if empty < parts - differ:
-            return np.concatenate(out)
-    gone = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-    out.append(shingles.mix(shingles.mix(np.uint64((tile * SEEDS + SEEDS) << 40) + gone, 9)))
-    return np.concatenate(out)
+        todo = tiles[0][3] | tiles[1][3]
+        if not todo.any():
+            return
+        some = todo[row]
+        # sorted by set, then by hash: both in one number
+        both = np.sort((row[some].astype(np.uint64) << np.uint64(HASH)) | (shingles.mix(whole[some], seed + 1) >> np.uint64(64 - HASH)))
+        r, h = (both >> np.uint64(HASH)).astype(np.int64), both & low
+        each, top = shingles.mix(h, 77), h >> np.uint64(HASH - 32)
+        for tile, parts, differ, open_ in tiles:
+            part = (top * parts[r].astype(np.uint64)) >> np.uint64(32)
+            new = np.concatenate([[True], (part[1:] != part[:-1]) | (r[1:] != r[:-1])])
+            first = np.flatnonzero(new)
+            content = np.add.reduceat(each, first)
+            own, part = r[first], part[first]
+            wanted = open_[own]
+            tag = ((tile[own] * SEEDS + seed).astype(np.uint64) << np.uint64(40)) + part
+            yield shingles.mix(content ^ shingles.mix(tag, 5))[wanted], own[wanted]
+            enough = np.bincount(own, minlength=len(sets)) > differ
+            if seed == SEEDS - 1:
+                for i in np.flatnonzero(open_ & ~enough).tolist():
+                    gone = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[own == i])
+                    tag = (np.uint64(int(tile[i]) * SEEDS + SEEDS) << np.uint64(40)) + gone
+                    yield shingles.mix(shingles.mix(tag, 9)), np.full(len(gone), i)
+            open_ &= ~enough
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -95,48 +128,111 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def set_keys(s: np.ndarray, high: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set in its band's tile and in the one below; high: the bands' ends, as far as the set's."""
-    b = int(np.searchsorted(high, len(s)))
-    return np.concatenate([part_keys(s, t, *cuts(int(high[t]), num, den)) for t in (b, b - 1) if t >= 0])
-
-
 def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, n, node, bits, keys): the keys are those that some other document seems to have, too, by a
-    "seen twice" filter. Without words or doc_id, node is null and keys are empty."""
+    """Rows of two kinds. Documents: doc_id, n, node, with key null; without words or doc_id, node is null. Parts that
+    several nodes share: key, nodes, how many parts of these nodes the row stands for (times), and whether
+    it is all of these parts (whole); rows of one key that isn't are parts of one list."""
     held = docs.select(F.col("doc_id").cast("long"), "text")
-    words = (held.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
-    keys = max(1.0, words * 2 * (den - num) / num)
-    bits = min(MOST_KEY_BITS, max(LEAST_KEY_BITS, 1 << int(np.ceil(np.log2(keys * 4)))))
-
-    def positions(texts, bits: int) -> np.ndarray:
-        found = [s for s in shingles.sets(texts, k) if len(s)]
-        high = bands(num, den, max(map(len, found), default=1))
-        every = [set_keys(s, high, num, den) for s in found]
-        return np.concatenate(every) & np.uint64(bits - 1) if every else np.zeros(0, np.uint64)
-
-    texts = held.where("doc_id is not null")
-    twice = docs.sparkSession.sparkContext.broadcast(line_dedup.suspects_filter(texts, bits, positions))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled = np.frombuffer(twice.value, np.uint8)
-        for pdf in common.small_batches(batches):
-            found = shingles.sets(pdf["text"].tolist(), k)
-            high = bands(num, den, max(map(len, found)))
-            ids, rows, nodes = common.ids(pdf), [], []
-            for known, s in zip(ids.notna(), found):
-                if not len(s) or not known:
-                    rows.append((len(s), None, np.zeros(0, np.int64)))
-                    nodes.append(None)
-                    continue
-                keys = set_keys(s, high, num, den)
-                keys = keys[passes(filled, (keys & np.uint64(bits - 1)).astype(np.int64))]
-                rows.append((len(s), bitmap(s), keys.view(np.int64)))
-                nodes.append(_node(s))
-            out = pd.DataFrame(rows, columns=["n", "bits", "keys"])
-            yield out.assign(doc_id=ids, node=pd.array(nodes, dtype="Int64"))[["doc_id", "n", "node", "bits", "keys"]]
-
-    return common.id_and_text(docs).mapInPandas(run, "doc_id long, n long, node long, bits binary, keys array<long>")
+    spark = docs.sparkSession
+    count = postings.segments(spark, postings.text_length(held) / 6 * 2 * (den - num) / num)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = postings.Sender(count), set()
+        for at, part in enumerate(common.text_slices(batches)):
+            sets = shingles.sets(part.column("text").to_pylist(), k)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            ids = part.column("doc_id")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            nodes = np.array([_node(s) for s in sets], np.int64)
+            about = [ids.fill_null(0).to_numpy(), known, sizes, nodes]
+            packed = b"".join(np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(about, ABOUT))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at % count], pa.int32()), pa.array([-len(sets)], pa.int32()), pa.array([packed], pa.binary())],
+                names=["segment", "n", "packed"],
+            )
+            fresh = []
+            for i in np.flatnonzero(known & (sizes > 0)).tolist():
+                if int(nodes[i]) not in seen:
+                    seen.add(int(nodes[i]))
+                    fresh.append(i)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            keys, row = set_keys([sets[i] for i in fresh], num, den)
+            yield from out.add(keys, nodes[np.array(fresh, np.int64)][row])
+        yield out.flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aside: list[pa.RecordBatch] = []
+
+        def parts_only() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.column("n").to_numpy()
+                for i in np.flatnonzero(n < 0).tolist():
+                    aside.append(_documents(batch.column("packed")[i].as_py(), -int(n[i])))
+                yield batch.filter(pa.array(n > 0))
+
+        for found in postings.shared(parts_only(), [np.uint64, np.int64], once=True):
+            yield from aside
+            aside.clear()
+            yield from _parts(found)
+        yield from aside
+
+    sent = held.mapInArrow(send, postings.SCHEMA)
+    return postings.dealt(sent, count).mapInArrow(meet, DESCRIBED)
+
+
+#: A document in a packed row: doc_id, whether it has one, size of its set, node.
+ABOUT = [np.int64, np.uint8, np.int64, np.int64]
+DESCRIBED = "doc_id long, n long, node long, key long, times long, whole boolean, nodes array<long>"
+_NAMES = ["doc_id", "n", "node", "key", "times", "whole", "nodes"]
+_TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+
+
+def _documents(packed: bytes, count: int) -> pa.RecordBatch:
+    at, columns = 0, []
+    for kind in map(np.dtype, ABOUT):
+        columns.append(np.frombuffer(packed, kind, count, at))
+        at += count * kind.itemsize
+    ids, known, n, node = columns
+    known = known.astype(bool)
+    made = [pa.array(ids, mask=~known), pa.array(n), pa.array(node, mask=~known | (n == 0))]
+    return pa.RecordBatch.from_arrays([*made, *(pa.nulls(count, t) for t in _TYPES[3:])], names=_NAMES)
+
+
+def _parts(found: postings.Shared) -> Iterator[pa.RecordBatch]:
+    """Small parts under a hash of their members, each once with how many of them there are; others in rows."""
+    key, node = found.columns
+    small = found.whole & (found.sizes <= FEW)
+    whose = np.repeat(small, found.sizes)
+    blocks = []
+    if small.any():
+        nodes, sizes = node[whose], found.sizes[small]
+        first = np.cumsum(sizes) - sizes
+        name = shingles.mix(np.add.reduceat(shingles.mix(nodes.view(np.uint64), 21), first) + sizes.astype(np.uint64), 22)
+        name, at, times = np.unique(name, return_index=True, return_counts=True)
+        sizes = sizes[at]
+        inner = np.arange(int(sizes.sum())) + np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes)
+        blocks.append((name, times, np.ones(len(name), bool), sizes, nodes[inner]))
+    if not small.all():
+        key, node = key[~whose], node[~whose]
+        sizes = found.sizes[~small]
+        rows = -(-sizes // IN_ROW)
+        within = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+        cut = np.minimum(IN_ROW, np.repeat(sizes, rows) - within * IN_ROW)
+        first = np.cumsum(sizes) - sizes
+        blocks.append((np.repeat(key[first], rows), np.ones(len(cut), np.int64), np.zeros(len(cut), bool), cut, node))
+    for name, times, whole, sizes, nodes in blocks:
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes))
+        made = [pa.array(name.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(whole), lists]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(name), t) for t in _TYPES[:3]), *made], names=_NAMES)
+
+
+def members_of(parts: DataFrame) -> DataFrame:
+    """Rows (key, node, times) of shared parts (key, times, whole, nodes), those with the same members as one."""
+    one = parts.where("whole").groupBy("key").agg(F.sum("times").alias("times"), F.first("nodes").alias("nodes"))
+    rest = parts.where("not whole").select("key", "times", "nodes")
+    return one.unionByName(rest).select("key", F.explode("nodes").alias("node"), "times")
 
 
 def filter_of(places: DataFrame) -> bytes:
@@ -180,43 +276,61 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (node, s): the sorted arrays of the documents in `wanted` (doc_id, node)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in common.small_batches(batches):
-            found = shingles.sets(pdf["text"].tolist(), k)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [_node(s) for s in found], "s": [s.tobytes() for s in found]})
-
-    arrays = among(docs, wanted.select("doc_id")).mapInPandas(run, "doc_id long, node long, s binary")
-    return arrays.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "s")
-
-
-def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int, kind=np.uint64) -> DataFrame:
-    """The pairs (a, b) whose sets, sorted arrays of `kind`, are linked: bit counts first, then the arrays."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            linked = []
-            for x, y in zip(pdf["s"], pdf["t"]):
-                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+    """Rows (node, n, bits, s), s the sorted array, of the documents in `wanted` (doc_id, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.text_slices(batches):
+            found = shingles.sets(part.column("text").to_pylist(), k)
+            made = {
+                "doc_id": part.column("doc_id"), "node": pa.array([_node(s) for s in found], pa.int64()),
+                "n": pa.array([len(s) for s in found], pa.int64()), "bits": pa.array([bitmap(s) for s in found], pa.binary()),
+                "s": pa.array([s.tobytes() for s in found], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(made)
+
+    found = among(docs, wanted.select("doc_id")).mapInArrow(run, "doc_id long, node long, n long, bits binary, s binary")
+    return found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "bits", "s")
+
+
+def bounded(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bit counts of info (node, n, bits) don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            need = -(-num * (x + y) // (num + den))
+            open_ = np.minimum(x, y) >= need
+            for i in np.flatnonzero(open_).tolist():
+                p, q = batch.column("bits")[i].as_py(), batch.column("others")[i].as_py()
+                size = min(len(p), len(q))
+                p, q = (np.frombuffer(folded(v, size), np.uint64) for v in (p, q))
+                apart = np.bitwise_count(p & ~q).sum(), np.bitwise_count(q & ~p).sum()
+                open_[i] = min(x[i] - int(apart[0]), y[i] - int(apart[1])) >= need[i]
+            yield batch.select(["a", "b"]).filter(pa.array(open_))
+
+    described = info.select("node", "n", "bits")
+    one = pairs.join(described.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others")), "b")
+    both = one.join(described.withColumnRenamed("node", "a"), "a").select("a", "b", "n", "bits", "m", "others")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int, kind=np.uint64) -> DataFrame:
+    """The pairs (a, b) whose sets, sorted arrays (node, s) of `kind`, are linked. The array of b is brought to a's, so
+    a should be the one with many partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column("s"), batch.column("t"))):
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 need = -(-num * (len(x) + len(y)) // (num + den))
-                if min(len(x), len(y)) < need:
-                    linked.append(False)
-                    continue
-                if len(x) + len(y) <= SMALL:
-                    linked.append(len(set(x.tolist()).intersection(y.tolist())) >= need)
-                    continue
-                size = 1 << max(9, int(2 * min(len(x), len(y))).bit_length())
-                p, q = np.zeros(size, bool), np.zeros(size, bool)
-                p[(x & kind(size - 1)).astype(np.int64)] = True
-                q[(y & kind(size - 1)).astype(np.int64)] = True
-                most = min(len(x) - np.count_nonzero(p & ~q), len(y) - np.count_nonzero(q & ~p))
-                linked.append(most >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need)
-            yield pdf.loc[np.array(linked, bool), ["a", "b"]]
+                both = np.sort(np.concatenate([x, y]))
+                linked[i] = np.count_nonzero(both[1:] == both[:-1]) >= need
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     one = pairs.join(arrays.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     both = one.join(arrays.select(F.col("node").alias("a"), "s"), "a").select("a", "b", "s", "t")
-    return both.mapInPandas(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def compare_block(i: int, j: int, own, node, comp, n, bits, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,37 +436,39 @@ def _blocks(members: DataFrame, num: int, den: int, kind=None) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def linked_components(
-    members: DataFrame, arrays: DataFrame, info: DataFrame, num: int, den: int, kind=np.uint64
-) -> DataFrame:
-    """Rows (node, component) of all nodes with a link. members: (key, node, size), where size tells how
-    common the key is; arrays: (node, s); info: (node, n, bits).
+def linked_components(members: DataFrame, described: DataFrame, num: int, den: int, kind=np.uint64) -> DataFrame:
+    """Rows (node, component) of all nodes with a link. members: (key, node, times), times telling how many keys the
+    row stands for; described: (node, n, bits, s).
 
     In each key the member that meets most others over all its keys is the anchor, as an original among
-    its edited copies does. Each member is verified against the best of its keys' anchors first. Keys
+    its edited copies does. Each member is compared with the best of its keys' anchors first. Keys
     whose members are then still in different components have them compared with each other in tiles.
     """
-    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    sizes = members.groupBy("key").agg((F.count("*") * F.first("times")).alias("weight"))
+    degrees = members.join(sizes, "key").groupBy("node").agg(F.sum("weight").alias("degree"))
     first = members.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top"))
     anchored = members.select("key", "node").join(first, "key").where("node <> top.node")
     best = anchored.groupBy("node").agg(F.max("top").alias("top"))
-    pair = best.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
-    stars = common.materialize(pair.distinct(), "ngram-stars")
-    edges = common.materialize(_verified(stars, arrays, num, den, kind), "ngram-edges")
+    stars = common.materialize(best.select(F.col("top.node").alias("a"), F.col("node").alias("b")), "ngram-stars")
+    near = common.materialize(bounded(stars, described, num, den), "ngram-near")
+    edges = common.materialize(verified(near, described, num, den, kind), "ngram-edges")
+    common.release(stars, near)
     linked = common.materialize(common.connected_components(edges), "ngram-first")
     known = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     sizes = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("one"), F.max("comp").alias("other"))
     open_groups = sizes.where("one < other").select("key", "size")
-    still = known.join(open_groups, "key").join(info, "node")
+    still = known.join(open_groups, "key").distinct()
     if kind is np.uint64:
-        more = common.materialize(_verified(_blocks(still, num, den), arrays, num, den), "ngram-more")
+        near = common.materialize(_blocks(still.join(described.select("node", "n", "bits"), "node"), num, den), "ngram-tiles")
+        more = common.materialize(verified(near, described, num, den), "ngram-more")
+        common.release(near)
     else:  # sets that are small enough to travel with the tiles
-        more = common.materialize(_blocks(still.join(arrays, "node"), num, den, kind), "ngram-more")
-    del known, sizes, open_groups, still
-    if more.isEmpty():
-        return linked
-    merged = edges.unionByName(more)
-    return common.materialize(common.connected_components(merged), "ngram-components")
+        more = common.materialize(_blocks(still.join(described, "node"), num, den, kind), "ngram-more")
+    if not more.isEmpty():
+        common.release(linked)
+        linked = common.materialize(common.connected_components(edges.unionByName(more)), "ngram-components")
+    common.release(edges, more)
+    return linked
 
 
 def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -364,25 +480,23 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> Dat
     linked with nothing. Rows with a null doc_id have a null component and link nothing; repeated
     rows of a doc_id all take part. Other columns are not read. Empty table: empty result.
     """
-    spark = docs.sparkSession
     seen = common.materialize(described(docs, k, num, den), "ngram-sets")
-    held = seen.where("node is not null")
-    keyed = held.select(F.explode("keys").alias("key"), "node").repartition(common.parts(spark), "key")
-    groups = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size"))
-    shared = groups.where("first < last").select("key", "size")
-    members = common.materialize(keyed.join(shared, "key").distinct(), "ngram-members")
-    nodes = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = members.select("node").distinct().join(nodes, "node")
+    each = seen.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    parts = seen.where("key is not null").select("key", "times", "whole", "nodes")
+    members = common.materialize(members_of(parts), "ngram-members")
+    least = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = members.select("node").distinct().join(least, "node")
+    wanted = common.materialize(wanted, "ngram-wanted")
     arrays = common.materialize(_sets_of(docs, wanted, k), "ngram-arrays")
+    components = linked_components(members, arrays, num, den)
+    common.release(members, wanted, arrays)
 
-    info = held.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    components = linked_components(members, arrays, info, num, den)
-
-    each = seen.select("doc_id", F.col("n").alias("n_shingles"), "node").join(components, "node", "left")
-    each = each.withColumn("_class", F.coalesce("component", "node"))
-    least = each.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    out = each.join(least, "_class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    # what a class is named by is made for nodes first, of which exact copies are one
+    classes = least.join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class"))
+    names = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(names, "class").select("node", "component_id")
+    alone = each.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return each.join(named, "node").select(*alone.columns).unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -391,4 +505,4 @@ def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) ->
     ids = join(docs, k, num, den).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     ids = common.materialize(ids, "ngram-gone")
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
