@@ -137,19 +137,15 @@ def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     count = postings.segments(spark, postings.text_length(held) / 6 * 2 * (den - num) / num)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = postings.Sender(count), set()
+        out, seen = postings.Sender(1, count), set()
         for at, part in enumerate(common.text_slices(batches)):
             sets = shingles.sets(part.column("text").to_pylist(), k)
             sizes = np.array([len(s) for s in sets], np.int64)
             ids = part.column("doc_id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             nodes = np.array([_node(s) for s in sets], np.int64)
-            about = [ids.fill_null(0).to_numpy(), known, sizes, nodes]
-            packed = b"".join(np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(about, ABOUT))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at % count], pa.int32()), pa.array([-len(sets)], pa.int32()), pa.array([packed], pa.binary())],
-                names=["segment", "n", "packed"],
-            )
+            about = postings.packed(ids.fill_null(0).to_numpy(), known.view(np.uint8), sizes, nodes)
+            yield postings.row(0, at % count, len(sets), about)
             fresh = []
             for i in np.flatnonzero(known & (sizes > 0)).tolist():
                 if int(nodes[i]) not in seen:
@@ -159,23 +155,20 @@ def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 seen.clear()
             keys, row = set_keys([sets[i] for i in fresh], num, den)
             yield from out.add(keys, nodes[np.array(fresh, np.int64)][row])
-        yield out.flush()
+        yield from out.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aside: list[pa.RecordBatch] = []
-
-        def parts_only() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = batch.column("n").to_numpy()
-                for i in np.flatnonzero(n < 0).tolist():
-                    aside.append(_documents(batch.column("packed")[i].as_py(), -int(n[i])))
-                yield batch.filter(pa.array(n > 0))
-
-        for found in postings.shared(parts_only(), [np.uint64, np.int64], once=True):
-            yield from aside
-            aside.clear()
-            yield from _parts(found)
-        yield from aside
+        received = postings.Receiver([np.uint64, np.int64], once=True)
+        for batch in batches:
+            for kind, n, raw in zip(*(batch.column(c).to_pylist() for c in ("kind", "n", "packed"))):
+                if kind == 0:
+                    yield _documents(raw, n)
+                else:
+                    for found in received.add(n, raw):
+                        yield from shared_parts(found, _TYPES[:3], _NAMES)
+        for found in received.finish():
+            yield from shared_parts(found, _TYPES[:3], _NAMES)
+        common.trim()
 
     sent = held.mapInArrow(send, postings.SCHEMA)
     return postings.dealt(sent, count).mapInArrow(meet, DESCRIBED)
@@ -188,19 +181,16 @@ _NAMES = ["doc_id", "n", "node", "key", "times", "whole", "nodes"]
 _TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
 
 
-def _documents(packed: bytes, count: int) -> pa.RecordBatch:
-    at, columns = 0, []
-    for kind in map(np.dtype, ABOUT):
-        columns.append(np.frombuffer(packed, kind, count, at))
-        at += count * kind.itemsize
-    ids, known, n, node = columns
+def _documents(raw: bytes, count: int) -> pa.RecordBatch:
+    ids, known, n, node = postings.unpacked(raw, count, ABOUT)
     known = known.astype(bool)
     made = [pa.array(ids, mask=~known), pa.array(n), pa.array(node, mask=~known | (n == 0))]
     return pa.RecordBatch.from_arrays([*made, *(pa.nulls(count, t) for t in _TYPES[3:])], names=_NAMES)
 
 
-def _parts(found: postings.Shared) -> Iterator[pa.RecordBatch]:
-    """Small parts under a hash of their members, each once with how many of them there are; others in rows."""
+def shared_parts(found: postings.Shared, others: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Small parts under a hash of their members, each once with how many of them there are; others in rows. Columns:
+    nulls of the types `others`, then key, times, whole, nodes."""
     key, node = found.columns
     small = found.whole & (found.sizes <= FEW)
     whose = np.repeat(small, found.sizes)
@@ -225,7 +215,7 @@ def _parts(found: postings.Shared) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes))
         made = [pa.array(name.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(whole), lists]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(name), t) for t in _TYPES[:3]), *made], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(name), t) for t in others), *made], names=names)
 
 
 def members_of(parts: DataFrame) -> DataFrame:
@@ -258,28 +248,26 @@ def passes(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) of `docs` whose doc_id is in `ids` (doc_id), and a few that aren't.
-
-    A filter of fixed size picks them before their text is looked at, so texts don't move.
-    """
+def among(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
+    """make(slices), `schema`, over Arrow slices (doc_id, text) of the rows whose doc_id is in `ids` (doc_id), and a few
+    that aren't: a filter of fixed size picks them before their text is looked at, so texts don't move."""
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select(spread.alias("at"))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.frombuffer(zlib.decompress(sent.value), np.uint8)
-        for pdf in batches:
-            yield pdf.loc[passes(filled, pdf["at"].to_numpy(np.int64)), ["doc_id", "text"]]
+        some = (b.filter(pa.array(passes(filled, b.column("at").to_numpy()))) for b in batches)
+        yield from make(common.text_slices(some))
 
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("at", spread)
-    return read.mapInPandas(run, "doc_id long, text string")
+    return read.mapInArrow(run, schema)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Rows (node, n, bits, s), s the sorted array, of the documents in `wanted` (doc_id, node)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.text_slices(batches):
+    def run(slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices:
             found = shingles.sets(part.column("text").to_pylist(), k)
             made = {
                 "doc_id": part.column("doc_id"), "node": pa.array([_node(s) for s in found], pa.int64()),
@@ -288,7 +276,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict(made)
 
-    found = among(docs, wanted.select("doc_id")).mapInArrow(run, "doc_id long, node long, n long, bits binary, s binary")
+    found = among(docs, wanted.select("doc_id"), run, "doc_id long, node long, n long, bits binary, s binary")
     return found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "bits", "s")
 
 

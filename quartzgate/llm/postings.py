@@ -22,7 +22,8 @@ from . import common
 SENT, SORTED = 1_000_000, 1_000_000
 #: Entries that a segment has on average at most, and segments for each task.
 IN_SEGMENT, FOR_TASK = 250_000, 4
-SCHEMA = "segment int, n int, packed binary"
+SCHEMA = "kind int, segment int, n int, packed binary"
+_NAMES, _TYPES = ["kind", "segment", "n", "packed"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def segments(spark, entries: float) -> int:
@@ -36,11 +37,16 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
+def row(kind: int, segment: int, n: int, packed: bytes) -> pa.RecordBatch:
+    """One row of SCHEMA, for what travels along with the entries."""
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, segment, n, packed), _TYPES)], names=_NAMES)
+
+
 class Sender:
-    """Gathers entries, columns of equal length of which key (uint64) and owner come first, and packs them."""
+    """Gathers entries of one kind, columns of equal length of which key (uint64) and owner come first, and packs them."""
 
-    def __init__(self, count: int) -> None:
-        self.shift = np.uint64(64 - int(count).bit_length() + 1)
+    def __init__(self, kind: int, count: int) -> None:
+        self.kind, self.shift = kind, np.uint64(64 - int(count).bit_length() + 1)
         self.held: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
@@ -49,12 +55,12 @@ class Sender:
             self.held.append(columns)
             self.n += len(columns[0])
         if self.n >= SENT:
-            yield self.flush()
+            yield from self.flush()
 
-    def flush(self) -> pa.RecordBatch:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         """Rows of SCHEMA, one for each segment that has entries."""
         if not self.n:
-            return pa.RecordBatch.from_pydict({"segment": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
+            return
         columns = [np.concatenate(c) for c in zip(*self.held)]
         self.held, self.n = [], 0
         segment = (columns[0] >> self.shift).astype(np.int32)
@@ -63,9 +69,8 @@ class Sender:
         first = np.flatnonzero(np.diff(segment, prepend=-1))
         last = np.append(first[1:], len(segment))
         packed = [b"".join(_planes(c[a:b]) for c in columns) for a, b in zip(first.tolist(), last.tolist())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(segment[first]), pa.array((last - first).astype(np.int32)), pa.array(packed, pa.binary())], names=["segment", "n", "packed"]
-        )
+        made = [np.full(len(first), self.kind, np.int32), segment[first], (last - first).astype(np.int32), packed]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, _TYPES)], names=_NAMES)
 
 
 def dealt(sent: DataFrame, count: int) -> DataFrame:
@@ -73,80 +78,93 @@ def dealt(sent: DataFrame, count: int) -> DataFrame:
     return sent.repartition(max(common.parts(sent.sparkSession), count // FOR_TASK), "segment")
 
 
-def _unpacked(raw: bytes, n: int, kinds: list[np.dtype]) -> list[np.ndarray]:
+def unpacked(raw: bytes, n: int, types: list) -> list[np.ndarray]:
+    """The columns of a packed row."""
     out, at = [], 0
-    for kind in kinds:
-        size = n * kind.itemsize
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    for t in map(np.dtype, types):
+        size = n * t.itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(t).ravel())
         at += size
     return out
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    return b"".join(_planes(c) for c in columns)
+
+
 class Shared:
     """Entries whose key has two owners: columns sorted by key and owner, the first of each key, and how many.
     `whole` tells that nothing of the keys left before and nothing follows. Entries of keys that were passed on
     before have one of those with them, marked in `old`."""
 
-    def __init__(self, columns: list[np.ndarray], old: np.ndarray, first: np.ndarray, last: bool) -> None:
-        self.columns, self.old, self.first = columns, old, first
+    def __init__(self, columns: list[np.ndarray], old: np.ndarray, first: np.ndarray, whole: np.ndarray) -> None:
+        self.columns, self.old, self.first, self.whole = columns, old, first, whole
         self.sizes = np.diff(first, append=len(old))
-        self.whole = ~np.logical_or.reduceat(old, first) if last else np.zeros(len(first), bool)
+
+    def distinct(self, column: int) -> Shared | None:
+        """(key, that column): its values for each key, once, where there are several."""
+        value = self.columns[column]
+        group = np.repeat(np.arange(len(self.first)), self.sizes)
+        order = np.lexsort((value, group))
+        group, value, key = group[order], value[order], self.columns[0][order]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])])
+        several = np.bincount(group[new], minlength=len(self.first)) > 1
+        some = new & several[group]
+        if not some.any():
+            return None
+        group = group[some]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        return Shared([key[some], value[some]], np.zeros(len(group), bool), first, self.whole[group[first]])
 
 
-def shared(batches: Iterator[pa.RecordBatch], kinds: list, once: bool) -> Iterator[Shared]:
-    """What the rows of one task share. kinds: numpy types of the columns; once: an owner's repeats of a key go."""
-    kinds = [np.dtype(k) for k in kinds]
-    held: list[list[np.ndarray]] = []
-    n = 0
+class Receiver:
+    """Takes the packed rows of one kind and gives what they share. types: of the columns; once: an owner's repeats
+    of a key go."""
 
-    def settle(last: bool) -> Shared | None:
-        nonlocal held, n
-        *columns, old = [np.concatenate(c) for c in zip(*held)]
-        held, n = [], 0
+    def __init__(self, types: list, once: bool) -> None:
+        self.types, self.once = types, once
+        self.held: list[list[np.ndarray]] = []
+        self.n, self.limit = 0, SORTED
+
+    def add(self, n: int, raw: bytes) -> Iterator[Shared]:
+        self.held.append([*unpacked(raw, n, self.types), np.zeros(n, bool)])
+        self.n += n
+        if self.n >= self.limit:
+            yield from self._settle(False)
+            self.limit = self.n + SORTED
+
+    def finish(self) -> Iterator[Shared]:
+        if self.n:
+            yield from self._settle(True)
+
+    def _settle(self, last: bool) -> Iterator[Shared]:
+        *columns, old = [np.concatenate(c) for c in zip(*self.held)]
+        self.held, self.n = [], 0
         order = np.lexsort((~old, columns[1], columns[0]))
         columns, old = [c[order] for c in columns], old[order]
         key, owner = columns[:2]
-        if once:
+        if self.once:
             some = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
             columns, old = [c[some] for c in columns], old[some]
             key, owner = columns[:2]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(first, append=len(key))
-        left = np.logical_or.reduceat(old, first)
-        both = owner[first] != owner[first + size - 1]
-        fresh = size > np.add.reduceat(old.astype(np.int64), first)
-        out = (both | left) & fresh
+        known = np.logical_or.reduceat(old, first) | (owner[first] != owner[first + size - 1])
+        out = known & (size > np.add.reduceat(old.astype(np.int64), first))
         if not last:
-            # one entry stays for a key that has been passed on, and all of a key with one owner
-            stays = np.repeat(~(both | left), size)
-            lead = first[both | left]
+            # one entry stays of a key that has been passed on, and all of a key with one owner
+            stays = np.repeat(~known, size)
+            stays[first[known]] = True
             marked = old.copy()
-            marked[lead] = True
-            stays[lead] = True
-            held = [[*(c[stays] for c in columns), marked[stays]]]
-            n = int(stays.sum())
-        if not out.any():
-            return None
-        some = np.repeat(out, size)
-        starts = np.cumsum(size[out]) - size[out]
-        return Shared([c[some] for c in columns], old[some], starts, last)
-
-    limit = SORTED
-    for batch in batches:
-        for count, raw in zip(batch.column("n").to_pylist(), batch.column("packed")):
-            held.append([*_unpacked(raw.as_buffer().to_pybytes(), count, kinds), np.zeros(count, bool)])
-            n += count
-            if n >= limit:
-                found = settle(False)
-                limit = n + SORTED
-                if found:
-                    yield found
-    if n:
-        found = settle(True)
-        if found:
-            yield found
-    common.trim()
+            marked[first[known]] = True
+            self.held = [[*(c[stays] for c in columns), marked[stays]]]
+            self.n = int(stays.sum())
+        if out.any():
+            some = np.repeat(out, size)
+            first = np.cumsum(size[out]) - size[out]
+            whole = ~np.logical_or.reduceat(old[some], first) & last
+            yield Shared([c[some] for c in columns], old[some], first, whole)
 
 
 def text_length(docs: DataFrame) -> int:

@@ -265,6 +265,88 @@ def test_edited_natural_paragraphs_are_found(spark):
         assert len(out[1000 + i]) == len(text[1000 + i].split()) - found[1000 + i]["n_words"] and out[i] == text[i].split()
 
 
+def test_edited_passages_inside_lines_are_found(spark):
+    rnd = random.Random(31)
+    texts, pairs = [], 80
+    for i in range(pairs):
+        passage = prose(rnd, rnd.randint(200, 400), 10**6).split()
+        other = list(passage)
+        for k in range(25, len(other), 50):  # no 50 words in a row are left as they were
+            other[k] = "edited"
+        texts += [(i, f"{prose(rnd, 40)} {' '.join(passage)} {prose(rnd, 30)}"), (1000 + i, f"{prose(rnd, 90)} {' '.join(other)} {prose(rnd, 60)}")]
+    texts += [(5000 + i, prose(rnd, 300, 10**6)) for i in range(40)]
+    rows = passages.repeated_passages(docs_frame(spark, texts)).collect()
+    assert {r["doc_id"] for r in rows if r["removed"]} <= set(range(1000, 1000 + pairs))
+    assert len({r["doc_id"] for r in rows if r["removed"] and r["keep"] == r["doc_id"] - 1000}) >= 0.9 * pairs
+
+
+def test_clusters_hold_all_pairs_of_long_and_natural_paragraphs(spark):
+    """Against all pairs: of the paragraphs at Jaccard 0.8 or more, at least 0.98 are in one cluster, and none else."""
+    rnd = random.Random(17)
+    texts = []
+    for i in range(25):
+        lines = [prose(rnd, rnd.choice([40, 60, 110]), 10**6).split() for _ in range(3)]
+        for c in range(3):
+            copy = [list(x) for x in lines]
+            for x in copy:
+                for _ in range(rnd.randint(0, 3)):
+                    x[rnd.randrange(len(x))] = f"e{rnd.randrange(10**6)}"
+            texts.append((10 * i + c, "\n".join(" ".join(x) for x in copy)))
+    texts.append((900, texts[0][1]))
+    p = passages.Paragraphs([t for _, t in texts])
+    cut = np.where(p.group == p.LONGS, passages.MARGIN, 0)
+    places = {i: (texts[p.owner[i]][0], int(p.word[i] + cut[i]), int(p.size[i] - 2 * cut[i])) for i in np.flatnonzero(p.banded).tolist()}
+    sets = {i: set(p.set_of(i).tolist()) for i in places}
+    rows = passages.occurrences(docs_frame(spark, texts)).where(f"words <> {passages.LENGTH}").collect()
+    got = {(r["doc_id"], r["word"], r["words"]): r["cluster"] for r in rows}
+    assert {k[0] for k in got} <= {k[0] for k in places.values()} and len(got) > 50
+    cluster = {i: got.get(k) for i, k in places.items()}
+    near, hit = 0, 0
+    for a in sets:
+        for b in sets:
+            if places[a][0] < places[b][0] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                if sets[a] == sets[b] and p.group[a] == p.LONGS:  # their short ones meet word for word
+                    continue
+                near += 1
+                hit += cluster[a] is not None and cluster[a] == cluster[b]
+    assert near > 50 and hit >= 0.98 * near
+    mates = components(sets, 80, 100)
+    for a in sets:
+        for b in sets:
+            assert cluster[a] is None or cluster[a] != cluster[b] or mates[a] == mates[b]
+
+
+def test_postings_share_the_same_in_small_and_large_buffers(monkeypatch):
+    from quartzgate.llm import postings
+
+    rnd = np.random.default_rng(4)
+    key = shingles.mix(rnd.integers(0, 400, 3000).astype(np.uint64))
+    owner = rnd.integers(0, 900, 3000)
+    word = np.arange(3000, dtype=np.int32)
+    owners: dict[int, set] = {}
+    for k, o in zip(key.tolist(), owner.tolist()):
+        owners.setdefault(k, set()).add(o)
+    want = sorted((k, o, w) for k, o, w in zip(key.tolist(), owner.tolist(), word.tolist()) if len(owners[k]) > 1)
+    for most in (50, 700, 10**6):
+        monkeypatch.setattr(postings, "SORTED", most)
+        sender, got, linked = postings.Sender(1, 8), [], {}
+        receiver = postings.Receiver([np.uint64, np.int64, np.int32], once=False)
+        batches = [b for i in range(0, 3000, 100) for b in (*sender.add(key[i : i + 100], owner[i : i + 100], word[i : i + 100]), *sender.flush())]
+        rows = [r for b in batches for r in b.to_pylist()]
+        for found in [*(f for r in rows for f in receiver.add(r["n"], r["packed"])), *receiver.finish()]:
+            k, o, w = found.columns
+            got += [(a, b, c) for a, b, c, old in zip(k.tolist(), o.tolist(), w.tolist(), found.old) if not old]
+            for at, n in zip(found.first.tolist(), found.sizes.tolist()):
+                linked.setdefault(int(k[at]), []).append(set(o[at : at + n].tolist()))
+        assert sorted(got) == want
+        for k, groups in linked.items():  # what left in several parts hangs together by one owner
+            reached = groups[0]
+            for g in groups[1:]:
+                assert reached & g
+                reached = reached | g
+            assert reached == owners[k]
+
+
 def test_nearest_neighbours_recall_and_odd_vectors(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(3000, 24)) * rnd.uniform(0.5, 2, (3000, 1))
