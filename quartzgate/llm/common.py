@@ -144,6 +144,14 @@ def map_rows(docs: DataFrame, make, new: dict[str, str], gone: tuple[str, ...] =
     return docs.mapInArrow(run, schema)
 
 
+def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """`docs` with the columns of lists (__id, __gone), null where there is none. Rows without a doc_id, which may be
+    many, stay out of the shuffle."""
+    found = docs.where("doc_id is not null").join(lists, F.col("doc_id") == F.col("__id"), "left")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in lists.schema.fields]
+    return found.unionByName(docs.where("doc_id is null").select(*[f"`{c}`" for c in docs.columns], *none))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows (node, component) for every node of `edges` (a, b); component is the smallest node reachable.
 

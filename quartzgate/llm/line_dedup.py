@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ MIN_DOCS = 3
 #: Bits of a filter for each line, and the least and most bits of a filter: 128 MB at most.
 BITS_PER_LINE, LEAST_BITS, MOST_BITS = 32, 1 << 18, 1 << 30
 #: Segments of a filter at most; one task merges whole ones. Positions that a task holds before it sends them.
-SEGMENTS, MOST_HELD = 1024, 4_000_000
+SEGMENTS, MOST_HELD = 1024, 1_000_000
 #: Rows of the removal table that are broadcast at most (16 bytes of key and 8 of id each: 48 MB);
 #: a larger table is joined.
 BROADCAST_ROWS = 2_000_000
@@ -91,15 +92,15 @@ def suspects_filter(docs: DataFrame, bits: int, positions=_line_positions) -> by
             }
         )
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for pdf in common.small_batches(batches):
-            held.append(positions(pdf["text"].tolist(), bits).ravel())
+        for part in common.text_slices(batches):
+            held.append(positions(part.column("text").to_pylist(), bits).ravel())
             if sum(map(len, held)) > MOST_HELD:
-                yield sent(held)
+                yield pa.RecordBatch.from_pandas(sent(held), preserve_index=False)
                 held = []
         if sum(map(len, held)):
-            yield sent(held)
+            yield pa.RecordBatch.from_pandas(sent(held), preserve_index=False)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -116,7 +117,7 @@ def suspects_filter(docs: DataFrame, bits: int, positions=_line_positions) -> by
         yield pd.DataFrame(rows, columns=["segment", "twice"])
 
     spark = docs.sparkSession
-    dealt = docs.select("text").mapInPandas(local, "segment long, seen binary, again binary")
+    dealt = docs.select("text").mapInArrow(local, "segment long, seen binary, again binary")
     merged = dealt.repartition(min(common.parts(spark), segments), "segment").mapInPandas(merge, "segment long, twice binary")
     out = bytearray(bits // 8)
     step = width // 8
@@ -142,21 +143,21 @@ def removals(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     twice = spark.sparkContext.broadcast(suspects_filter(docs, bits))
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.frombuffer(twice.value, np.uint8)
-        for pdf in common.small_batches(batches):
+        for part in common.text_slices(batches):
             out_keys, out_ids = [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 keys = list({k for k in line_keys(text)[1] if k is not None})
                 if keys:
                     at = _positions(keys, bits).astype(np.int64)
                     hit = ((filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
                     out_keys += [xxhash.xxh3_128_digest(keys[i]) for i in np.flatnonzero(hit)]
                     out_ids += [doc_id] * int(hit.sum())
-            yield pd.DataFrame({"key": out_keys, "doc_id": np.array(out_ids, np.int64)})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(out_keys, pa.binary()), "doc_id": pa.array(out_ids, pa.int64())})
 
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    suspects = common.materialize(held.mapInPandas(pick, "key binary, doc_id long"), "suspects")
+    suspects = common.materialize(held.mapInArrow(pick, "key binary, doc_id long"), "suspects")
     each = suspects.distinct()
     removal = each.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep"))
     return suspects, common.materialize(removal.where(F.col("n_docs") >= min_docs), "removal")
@@ -183,6 +184,30 @@ def _rewritten(texts: list[str | None], chars: list[int] | None, dropped_in) ->
     return out
 
 
+def _sorted_keys(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first halves of the keys, ascending, second halves, keep) of an Arrow table (key, keep)."""
+    halves = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint64).reshape(-1, 2)
+    order = np.argsort(halves[:, 0])
+    return halves[order, 0], halves[order, 1], rows.column("keep").to_numpy()[order]
+
+
+def _looked_up(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keep, whether there) for each key."""
+    first, second, keep = table
+    halves = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+    at = np.searchsorted(first, halves[:, 0])
+    out, known = np.zeros(len(halves), np.int64), np.zeros(len(halves), bool)
+    todo = np.arange(len(halves))
+    while len(todo):
+        todo = todo[at[todo] < len(first)]
+        todo = todo[first[at[todo]] == halves[todo, 0]]
+        hit = todo[second[at[todo]] == halves[todo, 1]]
+        out[hit], known[hit] = keep[at[hit]], True
+        todo = todo[~known[todo]]
+        at[todo] += 1
+    return out, known
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All columns of `docs` with the text that stays, and n_lines, n_dropped, kept_sha256.
 
@@ -202,16 +227,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int =
     chars = lambda batch: batch.column("n_chars").to_pylist() if "n_chars" in new else None
 
     if removal.count() <= broadcast_rows:
-        table = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in removal.select("key", "keep").collect()})
+        table = spark.sparkContext.broadcast(_sorted_keys(removal.select("key", "keep").toArrow()))
+        common.release(suspects, removal)
 
         def by_table(batch) -> dict[str, list]:
-            keep, ids = table.value, batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id").to_pylist()
 
             def gone(i: int, keys) -> set:
-                if ids[i] is None:
-                    return set()
-                found = {k: keep.get(xxhash.xxh3_128_digest(k)) for k in keys if k is not None}
-                return {k for k, v in found.items() if v is not None and v != ids[i]}
+                named = [] if ids[i] is None else list({k for k in keys if k is not None})
+                keep, known = _looked_up(table.value, [xxhash.xxh3_128_digest(k) for k in named])
+                return {k for k, v, x in zip(named, keep.tolist(), known.tolist()) if x and v != ids[i]}
 
             return _rewritten(batch.column("text").to_pylist(), chars(batch), gone)
 
@@ -235,5 +260,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int =
 
         return _rewritten(batch.column("text").to_pylist(), chars(batch), gone)
 
-    joined = docs.join(drops, F.col("doc_id") == F.col("__id"), "left")
-    return common.map_rows(joined, by_join, new, gone=("__id", "__gone"))
+    return common.map_rows(common.with_lists(docs, drops), by_join, new, gone=("__id", "__gone"))

@@ -5,7 +5,8 @@ one row for each length up to the capacity. Per bin it takes the largest length
 bitset subset-sum programme over the lengths still available, the fullest combination beside it; the
 combination is removed, and used again as often as the counts allow. That gives patterns with
 multiplicities, a few for each length. Every piece then finds its place from its ordinal among the
-pieces of its length, which is counted in salted groups, so no group grows with the corpus alone.
+pieces of its length, which is counted in groups by a salt of the row; a length has as many groups as its
+pieces ask for. Pieces that fill a sequence need no place.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from . import common
 CAPACITY = 4096
 #: Id that ends every document.
 END_ID = 1
-#: Salted groups of one length: at most CAPACITY * SALTS groups are counted.
-SALTS = 64
+#: Pieces of one length that are ranked together on average, and the range of the salts that part them.
+IN_GROUP, SALTS = 50_000, 1 << 30
 #: Units that a worker remembers before it starts anew.
 CACHE = 1_500_000
 #: Python counts these as white space, Unicode doesn't; "<|" may start a special token.
@@ -256,23 +257,27 @@ def places(patterns: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`cut` (doc_id, piece, length, ...) with sequence_id and offset; offsets in a sequence have no gaps.
 
-    `cut` must give the same rows whenever it is read, as a written table does. Ties among pieces
-    of one length fall by doc_id, then piece; null doc_id comes first; repeated rows get places of
-    their own. Empty table: empty result.
+    Ties among pieces of one length fall anyhow; repeated rows get places of their own. Empty table:
+    empty result.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    salted = cut.withColumn("_salt", salt)
+    spark = cut.sparkSession
+    row = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    cut = common.materialize(cut.withColumn("_salt", F.pmod(row, F.lit(SALTS)).cast("int")), "pieces")
+    full, rest = cut.where(F.col("length") == capacity), cut.where(F.col("length") < capacity)
+    counts = rest.groupBy("length").count().collect()  # fewer than capacity rows
+    ways = [(r["length"], -(-r["count"] // IN_GROUP)) for r in counts]
+    ways = F.broadcast(spark.createDataFrame(ways, "length long, _ways int"))
+    salted = rest.join(ways, "length").withColumn("_salt", F.pmod("_salt", "_ways").cast("int")).drop("_ways")
     sizes = salted.groupBy("length", "_salt").count()
-    found = [tuple(r) for r in sizes.collect()]  # at most capacity * SALTS rows
+    found = [tuple(r) for r in sizes.collect()]  # capacity rows and one for IN_GROUP pieces at most
     histogram: dict[int, int] = {}
     starts: dict[tuple[int, int], int] = {}
     for length, s, n in sorted(found):
         starts[length, s] = histogram.get(length, 0)
         histogram[length] = starts[length, s] + n
     table = places(plan(histogram, capacity)).sort_values(["length", "first"])
-    spark = cut.sparkSession
     sent = spark.sparkContext.broadcast((table, starts))  # bounded like `found`
-    others = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    others = [c for c in cut.columns if c not in ("sequence_id", "offset", "_salt")]
     fields = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in others) + ", sequence_id long, offset long"
 
@@ -295,7 +300,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
     )
-    return ranked.mapInArrow(place, schema)
+    alone = (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    return ranked.mapInArrow(place, schema).unionByName(full.select(*[f"`{c}`" for c in others], *alone))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -305,4 +311,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_id
     counts as empty; null doc_id and repeated rows are packed like others; columns beside doc_id
     and text are not read.
     """
-    return pack(common.materialize(pieces(docs, path, capacity, with_ids), "pieces"), capacity)
+    return pack(pieces(docs, path, capacity, with_ids), capacity)

@@ -338,7 +338,6 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     the same passages; n_chars, where there, follows the new text. Empty table: empty result.
     """
     gone = occurrences(docs).where("keep < doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("word", "words")).alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
     new = {"text": "string"}
     if "n_chars" in docs.columns:
         new["n_chars"] = docs.schema["n_chars"].dataType
@@ -360,4 +359,4 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         chars = batch.column("n_chars").to_pylist()
         return {"text": out, "n_chars": [n if a == b else len(b) for n, a, b in zip(chars, texts, out)]}
 
-    return common.map_rows(joined, run, new, gone=("__id", "__gone"))
+    return common.map_rows(common.with_lists(docs, gone), run, new, gone=("__id", "__gone"))

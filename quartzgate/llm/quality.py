@@ -21,6 +21,8 @@ from . import common
 TRAIN_DOCS = 4000
 #: Lines that one training sequence holds at most; longer documents become several sequences.
 TRAIN_LINES = 64
+#: Lines of one training document at most, in stretches of TRAIN_LINES.
+MOST_LINES = 1024
 STEPS, RATE, PENALTY = 250, 0.08, 1e-3
 #: Score from which on a document is predicted to be good.
 THRESHOLD = 0.3
@@ -194,6 +196,14 @@ def fit_sequences(stats: np.ndarray, counts: np.ndarray, labels: np.ndarray) ->
     return Model(theta[:-4], theta[-4:].reshape(2, 2), mean, spread)
 
 
+def stretches(lines: np.ndarray) -> np.ndarray:
+    """At most MOST_LINES of the lines: stretches of TRAIN_LINES at even distances."""
+    if len(lines) <= MOST_LINES:
+        return lines
+    starts = np.linspace(0, len(lines) - TRAIN_LINES, MOST_LINES // TRAIN_LINES).astype(int)
+    return np.concatenate([lines[a : a + TRAIN_LINES] for a in starts])
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all ids that training never sees; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
@@ -202,7 +212,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model | None:
     """The model of at most `most` labelled documents outside the held-out fifth; None without both labels.
 
-    Of a doc_id with several labels the lower one counts; repeated rows of a document all count.
+    Of a doc_id with several labels the lower one counts, and of several rows of a document one. A document with
+    more than MOST_LINES lines gives that many, stretches of TRAIN_LINES spread over the whole text; so the driver gets
+    most * MOST_LINES rows of FEATURES numbers at most.
     """
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -212,11 +224,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model |
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in common.small_batches(batches):
             stats, _, counts = line_statistics(["" if t is None else t for t in pdf["text"]])
-            cut = np.split(stats.astype(np.float32), np.cumsum(counts)[:-1])
+            cut = [stretches(c) for c in np.split(stats.astype(np.float32), np.cumsum(counts)[:-1])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "good": (pdf["quality"] > 0).astype(int), "stats": [c.tobytes() for c in cut]})
 
-    found = rows.mapInPandas(describe, "doc_id long, good int, stats binary").toPandas()
-    found = found.sort_values(["doc_id", "stats"])
+    found = rows.mapInPandas(describe, "doc_id long, good int, stats binary")
+    found = found.groupBy("doc_id").agg(F.min("stats").alias("stats"), F.min("good").alias("good")).toPandas()
+    found = found.sort_values("doc_id")
     if found["good"].nunique() < 2:
         return None
     each = [np.frombuffer(s, np.float32).reshape(-1, FEATURES) for s in found["stats"]]
