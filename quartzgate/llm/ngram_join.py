@@ -134,7 +134,7 @@ def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     it is all of these parts (whole); rows of one key that isn't are parts of one list."""
     held = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    count = postings.segments(spark, postings.text_length(held) / 6 * 2 * (den - num) / num)
+    count = postings.segments(spark, postings.words(held) * 2 * (den - num) / num)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen = postings.Sender(1, count), set()
@@ -249,8 +249,12 @@ def passes(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def among(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
-    """make(slices), `schema`, over Arrow slices (doc_id, text) of the rows whose doc_id is in `ids` (doc_id), and a few
-    that aren't: a filter of fixed size picks them before their text is looked at, so texts don't move."""
+    """make(slices), `schema`, over Arrow slices (doc_id, text) of the rows whose doc_id is in `ids` (doc_id), and maybe
+    a few that aren't. Texts don't move: up to BROADCAST_IDS ids are sent to them, of more a filter of fixed size."""
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    if ids.count() <= BROADCAST_IDS:
+        found = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+        return found.mapInArrow(lambda batches: make(common.text_slices(batches)), schema)
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select(spread.alias("at"))))
 
@@ -259,25 +263,24 @@ def among(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
         some = (b.filter(pa.array(passes(filled, b.column("at").to_numpy()))) for b in batches)
         yield from make(common.text_slices(some))
 
-    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("at", spread)
-    return read.mapInArrow(run, schema)
+    return known.withColumn("at", spread).mapInArrow(run, schema)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (node, n, bits, s), s the sorted array, of the documents in `wanted` (doc_id, node)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, column: str) -> DataFrame:
+    """Rows (node, n, column) of the documents in `wanted` (doc_id, node): bits, the bitmap, or s, the sorted array."""
 
     def run(slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices:
             found = shingles.sets(part.column("text").to_pylist(), k)
             made = {
                 "doc_id": part.column("doc_id"), "node": pa.array([_node(s) for s in found], pa.int64()),
-                "n": pa.array([len(s) for s in found], pa.int64()), "bits": pa.array([bitmap(s) for s in found], pa.binary()),
-                "s": pa.array([s.tobytes() for s in found], pa.binary()),
+                "n": pa.array([len(s) for s in found], pa.int64()),
+                column: pa.array([bitmap(s) if column == "bits" else s.tobytes() for s in found], pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(made)
 
-    found = among(docs, wanted.select("doc_id"), run, "doc_id long, node long, n long, bits binary, s binary")
-    return found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "bits", "s")
+    found = among(docs, wanted, run, f"doc_id long, node long, n long, {column} binary")
+    return found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", column)
 
 
 def bounded(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
@@ -424,39 +427,46 @@ def _blocks(members: DataFrame, num: int, den: int, kind=None) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def linked_components(members: DataFrame, described: DataFrame, num: int, den: int, kind=np.uint64) -> DataFrame:
+def linked_components(members: DataFrame, info: DataFrame, arrays_of, num: int, den: int, kind=np.uint64) -> DataFrame:
     """Rows (node, component) of all nodes with a link. members: (key, node, times), times telling how many keys the
-    row stands for; described: (node, n, bits, s).
+    row stands for; info: (node, n, bits); arrays_of(nodes) gives (node, s) of the rows (node), sorted arrays of `kind`.
 
     In each key the member that meets most others over all its keys is the anchor, as an original among
     its edited copies does. Each member is compared with the best of its keys' anchors first. Keys
     whose members are then still in different components have them compared with each other in tiles.
     """
+    info = info.select("node", "n", "bits")
     sizes = members.groupBy("key").agg((F.count("*") * F.first("times")).alias("weight"))
     degrees = members.join(sizes, "key").groupBy("node").agg(F.sum("weight").alias("degree"))
     first = members.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top"))
     anchored = members.select("key", "node").join(first, "key").where("node <> top.node")
     best = anchored.groupBy("node").agg(F.max("top").alias("top"))
-    stars = common.materialize(best.select(F.col("top.node").alias("a"), F.col("node").alias("b")), "ngram-stars")
-    near = common.materialize(bounded(stars, described, num, den), "ngram-near")
-    edges = common.materialize(verified(near, described, num, den, kind), "ngram-edges")
-    common.release(stars, near)
-    linked = common.materialize(common.connected_components(edges), "ngram-first")
-    known = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    stars = best.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return common.materialize(verified(pairs, arrays_of(nodes), num, den, kind), name)
+
+    near = common.materialize(bounded(stars, info, num, den), "ngram-near")
+    edges = linked(near, "ngram-edges")
+    common.release(near)
+    first = common.materialize(common.connected_components(edges), "ngram-first")
+    known = members.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     sizes = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("one"), F.max("comp").alias("other"))
     open_groups = sizes.where("one < other").select("key", "size")
     still = known.join(open_groups, "key").distinct()
     if kind is np.uint64:
-        near = common.materialize(_blocks(still.join(described.select("node", "n", "bits"), "node"), num, den), "ngram-tiles")
-        more = common.materialize(verified(near, described, num, den), "ngram-more")
+        near = common.materialize(_blocks(still.join(info, "node"), num, den), "ngram-tiles")
+        more = linked(near, "ngram-more")
         common.release(near)
     else:  # sets that are small enough to travel with the tiles
-        more = common.materialize(_blocks(still.join(described, "node"), num, den, kind), "ngram-more")
+        arrays = arrays_of(still.select("node").distinct())
+        more = common.materialize(_blocks(still.join(info, "node").join(arrays.select("node", "s"), "node"), num, den, kind), "ngram-more")
     if not more.isEmpty():
-        common.release(linked)
-        linked = common.materialize(common.connected_components(edges.unionByName(more)), "ngram-components")
+        common.release(first)
+        first = common.materialize(common.connected_components(edges.unionByName(more)), "ngram-components")
     common.release(edges, more)
-    return linked
+    return first
 
 
 def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -475,9 +485,17 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> Dat
     least = each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = members.select("node").distinct().join(least, "node")
     wanted = common.materialize(wanted, "ngram-wanted")
-    arrays = common.materialize(_sets_of(docs, wanted, k), "ngram-arrays")
-    components = linked_components(members, arrays, num, den)
-    common.release(members, wanted, arrays)
+    info = common.materialize(_sets_of(docs, wanted, k, "bits"), "ngram-bits")
+    steps = [members, wanted, info]
+
+    def arrays_of(nodes: DataFrame) -> DataFrame:
+        some = common.materialize(wanted.join(nodes, "node", "left_semi"), "ngram-named")
+        arrays = common.materialize(_sets_of(docs, some, k, "s"), "ngram-arrays")
+        steps.extend([some, arrays])
+        return arrays
+
+    components = linked_components(members, info, arrays_of, num, den)
+    common.release(*steps)
 
     # what a class is named by is made for nodes first, of which exact copies are one
     classes = least.join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class"))

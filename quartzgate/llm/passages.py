@@ -191,7 +191,7 @@ def met(held: DataFrame) -> DataFrame:
     node, doc_id, word, words, natural. Bands that several of these, and several
     documents, share: key, times, whole, nodes."""
     each = 2 / (WINDOW + 1) + BANDS * (2 / (LONG_WINDOW + 1) + 1 / LENGTH)
-    count = postings.segments(held.sparkSession, postings.text_length(held) / 6 * each)
+    count = postings.segments(held.sparkSession, postings.words(held) * each)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, band = postings.Sender(_SHORT, count), postings.Sender(_BAND, count)
@@ -281,7 +281,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     holders = others.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members.select("node"), "node", "left_semi")
     holders = common.materialize(holders, "passage-holders")
     arrays = common.materialize(_sets_of(held, holders), "passage-arrays")
-    linked = ngram_join.linked_components(members, arrays, NUM, DEN, np.uint32)
+    linked = ngram_join.linked_components(members, arrays, lambda nodes: arrays, NUM, DEN, np.uint32)
     common.release(members, holders, arrays)
 
     # the long ones that repeat word for word hold short ones that do; a short one that came in several parts is

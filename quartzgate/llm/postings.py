@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries that a map task gathers before it sends them, and that a task of segments sorts at once.
-SENT, SORTED = 1_000_000, 1_000_000
-#: Entries that a segment has on average at most, and segments for each task.
-IN_SEGMENT, FOR_TASK = 250_000, 4
+SENT, SORTED = 1_000_000, 2_000_000
+#: Entries that a segment has on average at most, and segments for each task: a task seldom has to sort more than once.
+IN_SEGMENT, FOR_TASK = 100_000, 4
 SCHEMA = "kind int, segment int, n int, packed binary"
 _NAMES, _TYPES = ["kind", "segment", "n", "packed"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -167,6 +167,6 @@ class Receiver:
             yield Shared([c[some] for c in columns], old[some], first, whole)
 
 
-def text_length(docs: DataFrame) -> int:
-    """Characters of all texts."""
-    return docs.agg(F.sum(F.length("text"))).first()[0] or 0
+def words(docs: DataFrame) -> float:
+    """About how many words all texts have."""
+    return (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 5
