@@ -1,7 +1,7 @@
 """License scans by template-markup matching.
 
 A template is written in a small markup: plain words are mandatory, `[[ ... ]]` is optional and may
-nest, `{{a-b}}` is replaceable by any a to b words. It is compiled once into an automaton over
+nest, `{{a-b}}` is replaceable by any a to b words, `{{#a-b}}` by a to b numbers. It is compiled once into an automaton over
 tokens. A text is accepted where some run of its words leads from the template's opening words to
 the end, so its mandatory wording matches exactly; punctuation, case and layout don't count.
 """
@@ -36,40 +36,68 @@ TEMPLATES = {
     "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
     "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
     "and this permission notice [[ including the next paragraph ]] shall be included in all copies or substantial "
-    "portions of the software",
+    "portions of the software the software is provided as is without warranty of any kind express or implied including "
+    "but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no "
+    "event shall the {{1-5}} be liable for any claim damages or other liability whether in an action of contract tort or "
+    "otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-notice": "released under the {{0-1}} mit license",
     "apache-2": "licensed under the apache license version 2 0 [[ the license ]] you may not use this {{1-3}} except in "
     "compliance with the license [[ you may obtain a copy of the license at {{1-12}} ]] unless required by applicable "
-    "law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    "law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+    "warranties or conditions of any kind either express or implied see the license for the specific language governing "
+    "permissions and limitations under the license",
     "apache-2-notice": "licensed under the apache license version 2 [[ 0 ]]",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that "
     "the following conditions are met [[ 1 ]] redistributions of source code must retain the above copyright notice this "
     "list of conditions and the following disclaimer [[ 2 ]] redistributions in binary form must reproduce the above "
     "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
     "provided with the distribution [[ {{0-1}} neither the name of {{1-20}} nor the names of its contributors may be used "
-    "to endorse or promote products derived from this software without specific prior written permission ]]",
+    "to endorse or promote products derived from this software without specific prior written permission ]] this software "
+    "is provided by {{1-12}} as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-12}} be "
+    "liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business interruption however caused and "
+    "on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in "
+    "any way out of the use of this software even if advised of the possibility of such damage",
     "isc": "permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is "
-    "hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "hereby granted provided that the above copyright notice and this permission notice appear in all copies the software "
+    "is provided as is and {{1-4}} disclaims all warranties with regard to this software including all implied warranties "
+    "of merchantability and fitness in no event shall {{1-4}} be liable for any special direct indirect or consequential "
+    "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+    "negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "zlib": "this software is provided as is without any express or implied warranty in no event will the {{1-3}} be held "
     "liable for any damages arising from the use of this software permission is granted to anyone to use this software "
-    "for any purpose including commercial applications and to alter it and redistribute it freely",
+    "for any purpose including commercial applications and to alter it and redistribute it freely subject to the "
+    "following restrictions [[ 1 ]] the origin of this software must not be misrepresented you must not claim that you "
+    "wrote the original software if you use this software in a product an acknowledgment in the product documentation "
+    "would be appreciated but is not required [[ 2 ]] altered source versions must be plainly marked as such and must not "
+    "be misrepresented as being the original software [[ 3 ]] this notice may not be removed or altered from any source "
+    "distribution",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify "
-    "publish use compile sell or distribute this software",
+    "publish use compile sell or distribute this software either in source code form or as a compiled binary for any "
+    "purpose commercial or non commercial and by any means",
     "gpl": "is free software you can redistribute it and or modify it under the terms of the gnu general "
     "public license as published by the free software foundation either version {{1-2}} of the license or [[ at your "
     "option ]] any later version",
-    "gpl-notice": "licensed under the gnu [[ lesser ]] [[ affero ]] general public license [[ version {{1-2}} ]]",
+    "gpl-notice": "licensed under the gnu general public license",
+    "lgpl-notice": "licensed under the gnu lesser general public license",
+    "agpl-notice": "licensed under the gnu affero general public license",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was "
-    "not distributed with this file you can obtain one at",
-    "cc-by": "licensed under a creative commons attribution [[ sharealike ]] {{0-2}} [[ international ]] license",
-    "cc-by-nc-notice": "licensed under [[ a ]] [[ the ]] [[ creative commons ]] cc by nc [[ sa ]] [[ nd ]] {{1-2}}",
+    "not distributed with this file you can obtain one at {{1-2}} mozilla org mpl 2 0",
+    "cc-by": "licensed under a creative commons attribution {{#0-2}} [[ international ]] license",
+    "cc-by-sa": "licensed under a creative commons attribution sharealike {{#0-2}} [[ international ]] license",
+    "cc-by-nd": "licensed under a creative commons attribution noderivatives {{#0-2}} [[ international ]] license",
+    "cc-by-nc": "licensed under a creative commons attribution noncommercial {{#0-2}} [[ international ]] license",
+    "cc-by-nc-sa": "licensed under a creative commons attribution noncommercial sharealike {{#0-2}} [[ international ]] license",
+    "cc-by-nc-nd": "licensed under a creative commons attribution noncommercial noderivatives {{#0-2}} [[ international ]] license",
+    "cc-by-nc-notice": "licensed under [[ a ]] [[ the ]] [[ creative commons ]] cc by nc",
 }
 WORD = re.compile(rb"[^ ]+")
 
 
 class Template:
-    """One template as an automaton: numbered states, each with steps on a token, steps on any token, and
-    free steps. State 0 follows the opening words, which every match must hold and which are searched."""
+    """One template as an automaton: numbered states, each with steps on a token, on any token or
+    number, and free steps. State 0 follows the opening words, which every match must hold and which are searched."""
 
     def __init__(self, label: str, markup: str) -> None:
         self.label = label
@@ -85,6 +113,7 @@ class Template:
         self.anchor = b" " + b" ".join(self.opening) + b" "
         self.on: list[dict[bytes, int]] = [{}]
         self.any: list[list[int]] = [[]]
+        self.number: list[list[int]] = [[]]
         self.free: list[list[int]] = [[]]
         #: Mandatory words on the way to each state, the opening included.
         self.words = [len(self.opening)]
@@ -96,6 +125,7 @@ class Template:
     def _state(self, words: int) -> int:
         self.on.append({})
         self.any.append([])
+        self.number.append([])
         self.free.append([])
         self.words.append(words)
         return len(self.on) - 1
@@ -115,11 +145,12 @@ class Template:
                 self.free[state].append(after)
                 state = after
             elif head.startswith("{{"):
-                low, high = map(int, head.strip("{}").split("-"))
+                steps = self.number if "#" in head else self.any
+                low, high = map(int, head.strip("{}#").split("-"))
                 ends = [state] if low == 0 else []
                 for k in range(1, high + 1):
                     after = self._state(self.words[state])
-                    self.any[state].append(after)
+                    steps[state].append(after)
                     state = after
                     if k >= low:
                         ends.append(state)
@@ -155,6 +186,8 @@ class Template:
                 if token in self.on[s]:
                     after.add(self.on[s][token])
                 after.update(self.any[s])
+                if token.isdigit():
+                    after.update(self.number[s])
             if not after:
                 break
             states = self._closed(after)

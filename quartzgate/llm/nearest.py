@@ -41,9 +41,22 @@ def clean(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
 
 
 def draw_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """`pivots` different vectors, those with the smallest hashes of their values."""
-    found = rows.groupBy("v").agg(F.lit(1)).orderBy(F.xxhash64("v"), "v").limit(pivots).select("v").collect()
-    return np.array([r[0] for r in found], float)
+    """`pivots` different vectors, those with the smallest hashes of their values. Each pass takes the 2 * pivots smallest
+    hashes that are left, so no pass shuffles the table; only repeated vectors ask for another one."""
+    hashed = rows.select(F.xxhash64("v").alias("h"), "v")
+    found: dict[tuple, None] = {}
+    while len(found) < pivots:
+        batch = hashed.orderBy("h").limit(2 * pivots).collect()
+        found.update((tuple(r["v"]), None) for r in batch)
+        if len(batch) < 2 * pivots:
+            break
+        hashed = hashed.where(F.col("h") > batch[-1]["h"])
+    return np.array(list(found)[:pivots], float)
+
+
+def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in the same order, so that equal vectors score alike."""
+    return np.add.reduce(x * q, axis=1)
 
 
 def _lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -87,7 +100,11 @@ def search_block(ids, x, q_ids, q, pivots, top, prefix=PREFIX, share=SHARE, leas
         else:
             near = np.arange(n)
         near = near[ids[near] != q_ids[i]]
-        score = x[near] @ q[i]
+        rough = x[near] @ q[i]
+        if len(near) > k:
+            least_kept = np.partition(rough, len(near) - k)[len(near) - k] - 1e-9 * top * np.sqrt(q[i] @ q[i])
+            near = near[rough >= least_kept]
+        score = scores(x[near], q[i])
         best = np.lexsort((ids[near], -score))[:k]
         out_q.append(np.full(len(best), q_ids[i]))
         out_v.append(ids[near][best])
@@ -99,16 +116,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, prefix: int = PREFIX
     """Rows (query_id, rank, vec_id, score): each query's k nearest rows but itself, nearest first.
 
     `rows` and `queries` are as from clean(). Ties go to the smaller vec_id; fewer candidates than k
-    give fewer rows; vectors of another dimension than the pivots' take no part; empty tables give
-    an empty result.
+    give fewer rows; of several dimensions the commonest (then the largest) counts and other vectors take no
+    part; rows that repeat an id are candidates each, and queries each; empty tables give an empty result.
     """
     spark = rows.sparkSession
     schema = "query_id long, vec_id long, score double"
-    pivots = draw_pivots(rows) if not rows.isEmpty() else np.zeros((0, 0))
-    if pivots.dtype == object or pivots.ndim != 2 or not len(pivots):
+    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = pivots.shape[1]
-    rows, queries = rows.where(F.size("v") == dim), queries.where(F.size("v") == dim)
+    rows, queries = (x.where(F.size("v") == dims[0]["dim"]) for x in (rows, queries))
+    pivots = draw_pivots(rows)
     norm = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
     n, longest = rows.agg(F.count("*"), F.sqrt(F.max(norm))).first()
     shards = max(1, -(-n // SHARD_ROWS))

@@ -370,6 +370,18 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
     assert nearest.search(few.where("vec_id < 0"), few.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_neighbours_with_repeats_and_mixed_dimensions(spark):
+    rnd = np.random.default_rng(5)
+    one = [float(c) for c in rnd.normal(size=7)]
+    rows = [(i, one) for i in range(40)] + [(100 + i, [float(c) for c in rnd.normal(size=7)]) for i in range(30)]
+    rows += [(200, [1.0, 2.0]), (201, [3.0] * 9), (100, rows[45][1])]
+    clean = nearest.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = nearest.search(clean, clean.where("vec_id = 0 or vec_id = 200")).orderBy("rank").collect()
+    assert {r["query_id"] for r in got} == {0} and len(got) == 20
+    ties = [r["vec_id"] for r in got if r["score"] == got[0]["score"]]
+    assert ties == sorted(ties) and ties[:19] == list(range(1, 20))
+
+
 def test_footrule_by_lists_equals_the_definition():
     rnd = np.random.default_rng(3)
     pivots, x, q = rnd.normal(size=(12, 5)), rnd.normal(size=(40, 5)), rnd.normal(size=(3, 5))
@@ -430,6 +442,75 @@ def test_license_base_phrases_and_templates(spark):
     assert (got[7]["n_base"], got[7]["first_word"]) == (1, 3)
 
 
+def test_license_variants_are_told_apart(spark):
+    texts = [
+        (0, "licensed under the GNU Lesser General Public License, version 3"), (1, "licensed under the GNU Affero General Public License v3"),
+        (2, "Licensed under the GNU General Public License version 2"), (3, "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+        (4, "licensed under a Creative Commons Attribution-NoDerivatives license"), (5, "licensed under a Creative Commons Attribution 4.0 license"),
+        (6, licenses.TEMPLATES["mit"].replace("[[ the software ]]", "").replace("[[ including the next paragraph ]]", "").split("the software is provided as is")[0]),
+        (7, "licensed under cc by nc"), (None, "licensed under cc by nc"), (7, "licensed under cc by nc"), (8, "word " * 200_000 + "cc by nc"),
+    ]
+    got = {}
+    for r in licenses.scan(docs_frame(spark, texts)).collect():
+        got.setdefault(r["doc_id"], []).append(r["labels"])
+    assert got == {0: ["lgpl"], 1: ["agpl"], 2: ["gpl"], 3: ["cc-by-sa"], 4: ["cc-by-nd"], 5: ["cc-by"], 6: [""], 7: ["cc-by-nc"] * 2, None: ["cc-by-nc"], 8: ["cc-by-nc"]}
+
+
+def _template_pattern(markup):
+    """A template as a regular expression over words that are followed by one space each."""
+    out = ""
+    for token in markup.split():
+        if token == "[[":
+            out += "(?:"
+        elif token == "]]":
+            out += ")?"
+        elif token.startswith("{{"):
+            low, high = token.strip("{}#").split("-")
+            out += ("(?:[0-9]+ )" if "#" in token else "(?:[^ ]+ )") + "{%s,%s}?" % (low, high)
+        else:
+            out += token + " "
+    return re.compile("(?<![^ ])" + out)
+
+
+def test_license_scan_equals_brute_force(spark):
+    rnd = random.Random(23)
+    patterns = [(k.removesuffix("-notice"), _template_pattern(v)) for k, v in licenses.TEMPLATES.items()]
+
+    def example(markup):
+        words, depth = [], []
+        for token in markup.split():
+            if token == "[[":
+                depth.append(rnd.random() < 0.5)
+            elif token == "]]":
+                depth.pop()
+            elif all(depth):
+                if token.startswith("{{"):
+                    low, high = map(int, token.strip("{}#").split("-"))
+                    words += [rnd.choice("3 4 5".split()) for _ in range(rnd.randint(low, high))]
+                else:
+                    words.append(token)
+        return words
+
+    texts = []
+    for i in range(400):
+        words = prose(rnd, rnd.randint(0, 20), 50).split() + example(rnd.choice(list(licenses.TEMPLATES.values())))
+        words += rnd.choice(list(licenses.PHRASES)).split() if rnd.random() < 0.3 else []
+        if rnd.random() < 0.4 and words:
+            words[rnd.randrange(len(words))] = rnd.choice(["the", "software", "x"])
+        texts.append((i, "".join(w + rnd.choice([" ", "\n", ", ", " - "]) for w in words)))
+    got = {r["doc_id"]: r for r in licenses.scan(docs_frame(spark, texts)).collect()}
+    for i, text in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        line = "".join(w + " " for w in words)
+        places = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        base = {label for _, label in places}
+        more = {label for label, pattern in patterns if pattern.search(line)}
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places))
+        assert (r["first_word"], r["last_word"]) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | more)), text
+
+
 def test_template_automaton_equals_enumeration():
     rnd = random.Random(0)
     t = licenses.Template("t", "a b [[ c [[ d ]] ]] {{0-2}} e")
