@@ -52,14 +52,17 @@ def locate(text: Column, pairs: Column) -> Column:
     what can't be placed is `repeated_value` where it occurs at all, else `invented`."""
     start = F.struct(empty().alias("placed"), F.array().cast("array<struct<label:string,value:string,why:string>>").alias("unplaced"))
 
+    def free_place(v: Column, placed: Column) -> Column:
+        """The first place from 1, or 0: from each span in the way the search goes on behind it."""
+        return F.aggregate(
+            F.array_sort(placed), F.position(v, text),
+            lambda i, s: F.when((i > 0) & (s["start"] < i - 1 + F.length(v)) & (i - 1 < s["end"]), F.position(v, text, s["end"] + 1)).otherwise(i),
+        )
+
     def step(state: Column, p: Column) -> Column:
         v = p["value"]
-        places = F.filter(
-            F.when(F.length(text) >= F.length(v), F.sequence(F.lit(0), F.length(text) - F.length(v))).otherwise(F.array().cast("array<int>")),
-            lambda i: (F.substring(text, i + 1, F.length(v)) == v)
-            & ~F.exists(state["placed"], lambda s: (s["start"] < i + F.length(v)) & (i < s["end"])),
-        )
-        at = F.get(places, F.lit(0))
+        first = free_place(v, state["placed"])
+        at = F.when(first > 0, first - 1)
         placed = F.concat(state["placed"], F.array(span(at, at + F.length(v), p["label"])))
         why = F.when(F.contains(text, v), "repeated_value").otherwise("invented")
         lost = F.concat(state["unplaced"], F.array(F.struct(p["label"].alias("label"), v.alias("value"), why.alias("why"))))

@@ -1,7 +1,8 @@
 """Exact ranks and running sums over a whole table without gathering it in one task.
 
-Rows are cut into buckets at approximate quantiles of the ordering column, the buckets' totals (at
-most BUCKETS rows per group) give each bucket's offset, and a window inside the bucket does the rest.
+A sample of the ordering column and its tie-breaker gives cut points, so that a value which many rows
+share is cut as well; the buckets' totals give each bucket's offset, and a window inside the bucket does the
+rest. Buckets grow in number with the rows.
 """
 
 from __future__ import annotations
@@ -9,31 +10,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Rows of a bucket to aim at, the least and most buckets, and sampled rows for each of them.
+ROWS, LEAST, MOST, SAMPLED = 200_000, 8, 256, 64
 
 
-def bucketed(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
-    """`df` with `_bucket`, from 0 for the largest values of `column`; nulls and NaN in the last one."""
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.where(F.col(column).isNotNull()).agg(F.percentile_approx(column, shares, 2000)).first()[0] or []
-    value = F.col(column)
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + F.when(value < c, 1).otherwise(0)
-    return df.withColumn("_bucket", F.when(value.isNull() | F.isnan(value.cast("double")), buckets).otherwise(bucket))
+def bucketed(df: DataFrame, column: str, tie: str | None = None) -> DataFrame:
+    """`df` with `_bucket`, ascending in the order of `column` descending, nulls last, then of `tie` ascending. Rows equal
+    in both share a bucket."""
+    rows = df.count()
+    buckets = max(LEAST, min(MOST, rows // ROWS))
+    keys = [column, *([tie] if tie else [])]
+    step = max(1, rows // (buckets * SAMPLED))
+    order = [F.col(column).desc_nulls_last(), *([F.col(tie)] if tie else [])]
+    drawn = df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).orderBy(*order).collect()  # about buckets * SAMPLED rows
+    cuts = [drawn[i] for i in range(SAMPLED, len(drawn), SAMPLED)] if step > 1 else [drawn[len(drawn) * i // buckets] for i in range(1, buckets) if drawn]
+    value, bucket = F.col(column), F.lit(0)
+    for cut in dict.fromkeys(map(tuple, cuts)):
+        if cut[0] is None:
+            after = F.lit(False)
+            equal = value.isNull()
+        else:
+            after = value.isNull() | (value < F.lit(cut[0]))
+            equal = value == F.lit(cut[0])
+        if tie is None:
+            reached = after | equal
+        else:
+            reached = after | (equal & (F.col(tie) >= F.lit(cut[1])))
+        bucket = bucket + F.when(reached, 1).otherwise(0)
+    return df.withColumn("_bucket", bucket)
 
 
 def running(df: DataFrame, column: str, group: list[str], totals: dict[str, Column], tie: list[str] | None = None) -> DataFrame:
     """`df` with, for each name in `totals`, the sum of its expression over all rows of the group up to and with
     this one, in descending order of `column`; ties by `tie`, or together where it is None."""
-    cut = bucketed(df, column)
+    cut = bucketed(df, column, tie[0] if tie else None)
     for name, value in totals.items():
         cut = cut.withColumn(f"_{name}", value)
     sums = cut.groupBy(*group, "_bucket").agg(*[F.sum(f"_{n}").alias(f"_sum_{n}") for n in totals])
     upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     for name in totals:
         sums = sums.withColumn(f"_base_{name}", F.coalesce(F.sum(f"_sum_{name}").over(upto), F.lit(0)))
-    base = F.broadcast(sums.select(*group, "_bucket", *[f"_base_{n}" for n in totals]))  # BUCKETS + 1 rows per group
+    base = sums.select(*group, "_bucket", *[f"_base_{n}" for n in totals])  # MOST rows per group at most
     order = [F.col(column).desc_nulls_last(), *(tie or [])]
     w = Window.partitionBy(*group, "_bucket").orderBy(*order)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if tie else w.rangeBetween(Window.unboundedPreceding, 0)

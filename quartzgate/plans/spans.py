@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import text as T
 from ..operators import pii
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 
 def detected(spark, d):
     """(doc, text, gold): the detector's spans of documents, as gold."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
     return docs.withColumn("gold", pii.detect(F.col("text")))
 
 
@@ -53,26 +53,26 @@ def span_errors(spark, d):
 
 @query()
 def guard_additions(spark, d):
-    s = scored(spark, d).where("size(gold) > 0")
+    s = scored(spark, d)
     out = pii.guard(F.col("text"), S.to_lines(F.col("text"), F.col("predicted")), F.col("gold"))
     return s.select("doc", out.alias("guarded"))
 
 
 @query()
 def cue_relabels(spark, d):
-    s = detected(spark, d).where("size(gold) > 0")
+    s = detected(spark, d)
     return s.select("doc", F.to_json(pii.relabelled(F.col("text"), F.col("gold"))).alias("spans"))
 
 
 @query()
 def redacted_texts(spark, d):
-    s = detected(spark, d).where("size(gold) > 0")
+    s = detected(spark, d)
     return s.select("doc", S.redact(F.col("text"), F.col("gold"), {"EMAIL": "<mail>"}, "<removed>").alias("redacted"), S.remove(F.col("text"), F.col("gold")).alias("blind"))
 
 
 @query()
 def text_paragraphs(spark, d):
-    s = detected(spark, d).where("size(gold) > 0").select("doc", F.explode(S.paragraphs(F.col("text"), F.col("gold"))).alias("p"))
+    s = detected(spark, d).select("doc", F.explode(S.paragraphs(F.col("text"), F.col("gold"))).alias("p"))
     return s.select("doc", "p.start", "p.text", F.size("p.spans").alias("spans"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bootstrap, features, metrics
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import GRADES, PAIRS, PREDICTIONS, TURNS, grades, pairs, predictions, turns
 from .registry import query
 
@@ -141,21 +141,14 @@ def paired_bootstrap(spark, d):
 query()(paired_bootstrap)
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 50), s AS (
-  SELECT q.vec_id AS id, t.vec_id AS t, list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS s FROM q JOIN embeddings t ON t.vec_id <> q.vec_id AND t.vec_id < 400),
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (
+  SELECT q.vec_id AS id, t.vec_id AS t, list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS s FROM q JOIN embeddings t ON t.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, t) AS r FROM s)
 SELECT id, avg(s) AS similarity FROM r WHERE r <= 5 GROUP BY id""")
 def embedding_similarity(spark, d):
-    """A stated query set against a stated reference set: the mean cosine of the five nearest."""
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("id"), F.col("v").alias("q"))
-    both = e.where("vec_id < 400").join(F.broadcast(q), F.col("vec_id") != F.col("id"))  # 50 queries
-    s = both.select("id", "vec_id", (dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("v"), F.col("v")))).alias("s"))
-    w = Window.partitionBy("id").orderBy(F.desc("s"), "vec_id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("id").agg(F.avg("s").alias("similarity"))
+    """The mean cosine of the five nearest of all other vectors, for every 50th id."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return features.nearest_vectors(e, e.where("id % 50 = 0"))
 
 
 def embedding_similarity_all(spark, d):

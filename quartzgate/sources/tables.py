@@ -13,3 +13,10 @@ NAMES = (
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table, by a path that only Spark's readers need to understand."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its scan has fewer partitions than there are cores, as a small file has; otherwise as it is.
+    For work that costs far more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
