@@ -192,3 +192,36 @@ def paragraphs(text: Column, spans: Column) -> Column:
         return F.struct(p["start"].alias("start"), p["text"].alias("text"), moved.alias("spans"))
 
     return F.transform(F.aggregate(lines, state, step)["out"], rebased)
+
+
+def scope(label: Column, inside: list[str], outside: list[str]) -> Column:
+    """in or out by label, else no_mask."""
+    return F.when(label.isin(*inside), "in").when(label.isin(*outside), "out").otherwise("no_mask")
+
+
+def target_lines(text: Column, spans: Column, names: dict[str, str]) -> Column:
+    """`LABEL: value` lines in text order of the spans whose label has a name."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    known = F.filter(spans, lambda s: s["label"].isin(*names))
+    return to_lines(text, F.transform(known, lambda s: span(s["start"], s["end"], F.element_at(table, s["label"]))))
+
+
+def occurrences(text: Column, values: Column, least: int = 2) -> Column:
+    """Spans of every occurrence of the values (label, value), case aside, that no span of an earlier value or place
+    overlaps; in text order. Values under `least` characters have none."""
+    low = F.lower(text)
+
+    def step(taken: Column, p: Column) -> Column:
+        v = F.lower(p["value"])
+        parts = F.split(low, F.concat(F.lit("\\Q"), v, F.lit("\\E")), -1)
+        state = F.struct(F.lit(0).alias("at"), empty().alias("out"))
+
+        def next_(s: Column, part: Column) -> Column:
+            begin = (s["at"] + F.length(part)).cast("int")
+            end = (begin + F.length(v)).cast("int")
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(span(begin, end, p["label"]))).alias("out"))
+
+        found = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), state, next_)["out"]
+        return F.when(F.length(v) >= least, claim(taken, found)).otherwise(taken)
+
+    return F.array_sort(F.aggregate(values, empty(), step))

@@ -106,3 +106,18 @@ def judgment(raw: Column) -> Column:
     value = F.get_json_object(raw, "$.score")
     whole = F.rlike(value, F.lit(r"^[1-5](\.0+)?$"))
     return F.when(whole, F.substring(value, 1, 1).cast("int"))
+
+
+def is_redaction_mark(text: Column) -> Column:
+    """Whether a value is nothing but a mark that stands for something removed."""
+    return F.rlike(F.trim(text), F.lit(r"^(X{2,}|XX/XX/XXXX|\{\$[^}]*\})$"))
+
+
+def token_probability(mean_logprob: Column) -> Column:
+    return F.exp(mean_logprob)
+
+
+def parsed_answer(raw: Column, vocabulary: list[str]) -> Column:
+    """The answer on the first line without full stops at its ends: NONE, a word of the vocabulary, else null."""
+    line = F.trim(first_line(raw), F.lit(". "))
+    return F.when(F.upper(line) == "NONE", "NONE").when(F.lower(line).isin(*[v.lower() for v in vocabulary]), F.lower(line))

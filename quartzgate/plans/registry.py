@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import records, relational, reports, routing, sampling, spans, statistics, stream  # noqa: E402,F401
+from . import judging, pools, records, relational, reports, routing, sampling, spans, statistics, stream  # noqa: E402,F401

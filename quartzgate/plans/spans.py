@@ -76,6 +76,37 @@ def text_paragraphs(spark, d):
     return s.select("doc", "p.start", "p.text", F.size("p.spans").alias("spans"))
 
 
+@query()
+def span_error_summary(spark, d):
+    lost = F.array().cast("array<struct<label:string,value:string,why:string>>")
+    return pii.error_summary(pii.errors(scored(spark, d).withColumn("unplaced", lost)))
+
+
+@query()
+def span_error_check(spark, d):
+    return pii.exact_equals_strict(scored(spark, d))
+
+
+@query()
+def leaks_per_text(spark, d):
+    return pii.leaks_per_text(scored(spark, d), "gold", "predicted").select("doc", "partly", "wholly")
+
+
+@query()
+def leak_score(spark, d):
+    return pii.leak_score(scored(spark, d), "gold", "predicted", ["EMAIL", "CREDITCARDNUMBER", "TELEPHONENUM"])
+
+
+@query()
+def cue_accuracy(spark, d):
+    return pii.cue_accuracy(detected(spark, d), "gold")
+
+
+@query()
+def relabelling_effect(spark, d):
+    return pii.relabelling_effect(scored(spark, d), "gold", "predicted")
+
+
 SCREEN = r"""WITH t AS (SELECT conv_id, turn, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM conversations),
 parts AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(s, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1))) AS p FROM t),
 w AS (SELECT conv_id, turn, bool_or(len(list_filter(regexp_extract_all(p, '[A-Za-z][A-Za-z''\-]*')[2:], lambda x: regexp_matches(x, '^[A-Z]') AND x <> 'I' AND x <> upper(x))) > 0) AS named FROM parts GROUP BY ALL)

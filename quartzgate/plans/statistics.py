@@ -148,7 +148,7 @@ SELECT id, avg(s) AS similarity FROM r WHERE r <= 5 GROUP BY id""")
 def embedding_similarity(spark, d):
     """The mean cosine of the five nearest of all other vectors, for every 50th id."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return features.nearest_vectors(e, e.where("id % 50 = 0"))
+    return features.nearest_vectors(e.where("id % 50 = 0"), e)
 
 
 def embedding_similarity_all(spark, d):
