@@ -25,7 +25,7 @@ CELLS = 256
 #: Neighbouring doc_ids that are dealt to one task together.
 RANGE = 64
 #: Buckets of ranges in which the next range is sought; each is handled by itself.
-BUCKETS = 4096
+BUCKETS = 256
 
 
 def gamma_quantile(u: float) -> float:
@@ -105,14 +105,15 @@ def as_text(fp: Column, samples: int = SAMPLES) -> Column:
 def next_ranges(ranges: DataFrame) -> DataFrame:
     """Rows (g, after): for each range the next lower one that holds a document; the highest after the lowest.
 
-    Ranges are bucketed by their number; in a bucket a window looks one row ahead, and the buckets' ends,
-    BUCKETS rows at most, are matched in one more window.
+    Ranges are bucketed at quantiles of their number; in a bucket a window looks one row ahead, and the buckets'
+    ends, BUCKETS rows at most, are matched in one more window.
     """
-    low, high = ranges.agg(F.min("g"), F.max("g")).first()
-    if low is None:
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    high, cuts = ranges.agg(F.max("g"), F.percentile_approx("g", shares, 10 * BUCKETS)).first()
+    if high is None:
         return ranges.select("g", F.col("g").alias("after"))
-    width = (high - low) // BUCKETS + 1
-    held = ranges.withColumn("bucket", F.floor((F.col("g") - low) / width))
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    held = ranges.withColumn("bucket", F.size(F.filter(cuts, lambda c: c <= F.col("g"))))
     inner = held.withColumn("after", F.lead("g").over(Window.partitionBy("bucket").orderBy(F.desc("g"))))
     ends = held.groupBy("bucket").agg(F.max("g").alias("top"), F.min("g").alias("g"))
     step = ends.withColumn("_after", F.lead("top").over(Window.orderBy(F.desc("bucket")))).select("g", "_after")
