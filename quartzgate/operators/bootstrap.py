@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def drawn(n: Column, replicate: Column, draw: Column, seed: int) -> Column:
     """An index below n."""
@@ -19,11 +21,11 @@ def drawn(n: Column, replicate: Column, draw: Column, seed: int) -> Column:
 def resamples(df: DataFrame, key: str, replicates: int, seed: int, group: list[str] | None = None) -> DataFrame:
     """`df` rows with `replicate`: each replicate holds as many rows of each group as `df` has.
 
-    Without groups rows are indexed over the whole table, which suits evaluation sets of bounded size.
+    Rows are indexed by a numeric key, with or without groups in no single task.
     """
     group = group or []
-    w = Window.partitionBy(*group).orderBy(key) if group else Window.partitionBy(F.lit(0)).orderBy(key)
-    indexed = df.withColumn("_i", F.row_number().over(w).cast("long") - 1)
+    ordered = df.withColumn("_k", -F.col(key).cast("double"))
+    indexed = ranking.ranked(ordered, "_k", key, group, "_i").withColumn("_i", F.col("_i").cast("long") - 1).drop("_k")
     sizes = indexed.groupBy(*group).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = draws.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
@@ -57,3 +59,24 @@ def paired_quality(df: DataFrame, key: str, policies: tuple[str, str], budget: f
         sides.append(ranked.groupBy("replicate").agg(F.avg(outcome).alias(f"q{i}")))
     both = sides[0].join(sides[1], "replicate").withColumn("d", F.col("q0") - F.col("q1"))
     return interval(both, "d")
+
+
+def mean_difference(df: DataFrame, key: str, difference: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """One row: the interval of the mean of a difference that each row has."""
+    r = resamples(df, key, replicates, seed).groupBy("replicate").agg(F.avg(difference).alias("d"))
+    return interval(r, "d")
+
+
+def rank_correlation_difference(df: DataFrame, key: str, truth: str, a: str, b: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """One row: the interval of Spearman's correlation of `a` with the truth less that of `b`; a replicate in which one of
+    them is constant counts for nothing."""
+    drawn_rows = resamples(df, key, replicates, seed)
+
+    def rank(c: str) -> Column:
+        w = Window.partitionBy("replicate")
+        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("replicate", c)) - 1) / 2
+
+    ranks = drawn_rows.select("replicate", *[rank(c).alias(c) for c in (truth, a, b)])
+    pair = lambda c: F.corr(truth, c)
+    each = ranks.groupBy("replicate").agg((pair(a) - pair(b)).alias("d"))
+    return interval(each.select(F.when(~F.isnan("d"), F.col("d")).alias("d")), "d")

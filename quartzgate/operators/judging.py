@@ -175,3 +175,37 @@ def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """rows: (route, tokens); prices: (route, per_million). Per route: tokens and cost; a route without a price has none."""
     sums = rows.groupBy("route").agg(F.sum("tokens").alias("tokens"))
     return sums.join(prices, "route", "left").select("route", "tokens", (F.col("tokens") * F.col("per_million") / 1e6).alias("cost"))
+
+
+def golden_plan(tables: dict[str, DataFrame], text: str, order: str) -> DataFrame:
+    """Rows (item_id, task, text) of every task's golden table, named golden-<task>-<place from 0, four digits> in the order of
+    a key. Golden tables are small by design: a window numbers each task's rows."""
+    from pyspark.sql import Window
+
+    out = []
+    for task, df in tables.items():
+        place = F.row_number().over(Window.partitionBy("task").orderBy(order)) - 1
+        named = df.withColumn("task", F.lit(task)).withColumn("_p", place)
+        out.append(named.select(F.concat(F.lit(f"golden-{task}-"), F.lpad(F.col("_p").cast("string"), 4, "0")).alias("item_id"), "task", F.col(text).alias("text")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def at_cap(rows: DataFrame, group: str, tokens: str, cap: int) -> DataFrame:
+    """Per group: rows and the share whose completion reached the token cap."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), _rate(F.col(tokens) >= cap).alias("at_cap"))
+
+
+def graded_from_two(rows: DataFrame, grades: DataFrame, keys: list[str], sources: dict[str, str]) -> DataFrame:
+    """One row for each answer of either generator (`sources`: name to column) that has a grade: keys, generator, answer, grade."""
+    made = F.array(*[F.struct(F.lit(n).alias("generator"), F.col(c).alias("answer")) for n, c in sources.items()])
+    each = rows.select(*keys, F.explode(made).alias("a")).select(*keys, "a.*")
+    return each.join(grades.select(*keys, "generator", "grade"), [*keys, "generator"]).where("grade is not null")
+
+
+def pinned(pins: DataFrame, recomputed: DataFrame, key: str, value: str, tolerance: float = 1e-9) -> DataFrame:
+    """The pins, once each was computed again within the tolerance; an error otherwise."""
+    both = pins.join(recomputed.select(key, F.col(value).alias("_again")), key, "full")
+    wrong = both.where(F.coalesce(F.abs(F.col(value) - F.col("_again")) > tolerance, F.lit(True))).count()
+    if wrong:
+        raise ValueError(f"{wrong} pinned values are not reproduced")
+    return pins

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ranking
-from .sampling import SEED, head_per_group, order_key
+from .sampling import SEED, hash_place, head_per_group, order_key
 
 CONTEXT, SENTENCE = 512, 15
 
@@ -37,18 +37,12 @@ def capped(df: DataFrame, key: str, cap: int, seed: int = SEED) -> DataFrame:
     return df.orderBy(order_key(key, seed), key).limit(cap)
 
 
-def _numbered(df: DataFrame, key: str, group: list[str], seed: int) -> DataFrame:
-    """`df` with `_place` from 1 by 52 bits of the hash of `key`, in no single task."""
-    number = -F.conv(F.substring(order_key(key, seed), 1, 13), 16, 10).cast("double")
-    return ranking.ranked(df.withColumn("_h", number), "_h", key, group, "_place").drop("_h")
-
-
 def pool(df: DataFrame, key: str, text: str, excluded: DataFrame, sizes: dict[str, int], seed: int = SEED) -> DataFrame:
     """`sizes` rows for each named part, drawn in one hash order: no row whose key is in `excluded` (key), and one of each
     text, that of the smallest key. An error where too few rows are left."""
     free = df.join(excluded.select(key).distinct(), key, "left_anti")
     first = free.groupBy(F.md5(text).alias("_t")).agg(F.min(key).alias(key)).select(key)
-    placed = _numbered(free.join(first, key, "left_semi"), key, [], seed)
+    placed = hash_place(free.join(first, key, "left_semi"), key, [], seed)
     total = sum(sizes.values())
     drawn = placed.where(F.col("_place") <= total)
     if (n := drawn.count()) < total:
@@ -63,7 +57,7 @@ def pool(df: DataFrame, key: str, text: str, excluded: DataFrame, sizes: dict[st
 def balanced(df: DataFrame, label: str, key: str, seed: int = SEED) -> DataFrame:
     """As many rows of each class as the smallest one has, by hash."""
     least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    return _numbered(df, key, [label], seed).where(F.col("_place") <= least).drop("_place")
+    return hash_place(df, key, [label], seed).where(F.col("_place") <= least).drop("_place")
 
 
 def few_of_each(df: DataFrame, key: str, group: str, per: int, total: int) -> DataFrame:

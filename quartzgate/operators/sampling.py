@@ -102,14 +102,19 @@ def length_matched(negatives: DataFrame, positives: DataFrame, key: str, length:
     return ranked.where(F.col("_rank") <= F.col("_n")).drop("_rank", "_n")
 
 
+def hash_place(df: DataFrame, key: str, group: list[str], seed: int = SEED, name: str = "_place") -> DataFrame:
+    """`df` with each row's place from 1 in its group by 52 bits of the hash of `key`, equal ones by key; no task holds a
+    whole group."""
+    number = -F.conv(F.substring(order_key(key, seed), 1, 13), 16, 10).cast("double")
+    return ranking.ranked(df.withColumn("_h", number), "_h", key, group, name).drop("_h")
+
+
 def permuted_labels(df: DataFrame, key: str, labels: list[str], seed: int = SEED) -> DataFrame:
-    """`df` with its label columns dealt anew, together: the row at place i in one hash order gets those at place i
-    in another, within 64 groups of keys, so no single task orders all rows."""
-    group = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(64))
-    both = df.withColumn("_g", group)
-    a = hash_rank(both, key, ["_g"], seed, "_i").drop(*labels)
-    b = hash_rank(both, key, ["_g"], seed + 1, "_i").select("_g", "_i", *labels)
-    return a.join(b, ["_g", "_i"]).drop("_g", "_i")
+    """`df` with its label columns dealt anew, together, over the whole table: the row at place i in one hash order gets
+    those at place i in another."""
+    a = hash_place(df, key, [], seed, "_i").drop(*labels)
+    b = hash_place(df, key, [], seed + 1, "_i").select("_i", *labels)
+    return a.join(b, "_i").drop("_i")
 
 
 def leaks(splits: DataFrame, key: str, split: str) -> DataFrame:

@@ -190,3 +190,33 @@ def token_probabilities(spark, d):
 def parsed_answers(spark, d):
     raw = F.when(F.col("event_type") == "error", " None.\nmore").otherwise(F.concat(F.upper("event_type"), F.lit(".\nsecond line")))
     return table(spark, d, "events").select("event_id", T.parsed_answer(raw, ["click", "view"]).alias("answer"))
+
+
+@query("""WITH t AS (SELECT 'benchmark' AS task, text, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark
+UNION ALL SELECT 'pages', url, row_number() OVER (ORDER BY page_id) - 1 FROM pages) SELECT 'golden-' || task || '-' || lpad(p::VARCHAR, 4, '0') AS item_id, task, text FROM t""")
+def golden_plan(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("item_id"), F.col("url").alias("text"))
+    return judging.golden_plan({"benchmark": table(spark, d, "benchmark"), "pages": pages}, "text", "item_id")
+
+
+@query(f"WITH {TURNS} SELECT turn, count(*) AS n, avg((length(reply) / 4e0 >= 40)::INT) AS at_cap FROM turns GROUP BY turn")
+def share_at_cap(spark, d):
+    return judging.at_cap(turns(spark, d).withColumn("tokens", F.length("reply") / 4), "turn", "tokens", 40)
+
+
+@query(f"""{G}, r AS (SELECT conv_id, turn, 'asked' AS generator, length(request) AS chars FROM turns UNION ALL SELECT conv_id, turn, 'answered', length(reply) FROM turns)
+SELECT r.conv_id, r.turn, generator, chars, CASE generator WHEN 'asked' THEN teacher ELSE student END AS grade FROM r JOIN grades USING (conv_id, turn)
+WHERE generator = 'asked' OR turn % 4 <> 1""")
+def graded_from_two(spark, d):
+    g = grades(spark, d)
+    both = g.select("conv_id", "turn", F.lit("asked").alias("generator"), F.col("teacher").alias("grade")).unionByName(
+        g.select("conv_id", "turn", F.lit("answered").alias("generator"), F.when(F.col("turn") % 4 != 1, F.col("student")).alias("grade"))
+    )
+    out = judging.graded_from_two(turns(spark, d), both, ["conv_id", "turn"], {"asked": "request", "answered": "reply"})
+    return out.select("conv_id", "turn", "generator", F.length("answer").alias("chars"), "grade")
+
+
+@query(f"{P} SELECT task, quantile_cont(n_chars::DOUBLE, 0.9) AS threshold FROM pairs GROUP BY task")
+def pinned_thresholds(spark, d):
+    again = pairs(spark, d).groupBy("task").agg(F.percentile("n_chars", 0.9).alias("threshold"))
+    return judging.pinned(again, again, "task", "threshold")

@@ -133,6 +133,27 @@ def bootstrap_ci(spark, d):
     return bootstrap.ratio_difference(t.withColumn("base", F.col("a") + F.col("b")), "k", "a", "b", "base", replicates=100)
 
 
+RESAMPLED = f"""t AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM rows),
+x AS (SELECT replicate, t.* FROM (SELECT replicate, {DRAWN} % n AS i FROM (SELECT unnest(range(REPLICATES)) AS replicate), (SELECT unnest(range((SELECT count(*) FROM rows))) AS d, (SELECT count(*) FROM rows) AS n)) JOIN t USING (i))"""
+
+
+@query(f"""WITH {TURNS}, {GRADES}, rows AS (SELECT conv_id * 100 + turn AS k, student - teacher AS v FROM grades), {RESAMPLED.replace("REPLICATES", "60")},
+r AS (SELECT replicate, avg(v) AS d FROM x GROUP BY replicate) SELECT count(d) AS replicates, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM r""")
+def mean_difference_ci(spark, d):
+    g = grades(spark, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), (F.col("student") - F.col("teacher")).alias("v"))
+    return bootstrap.mean_difference(g, "k", "v", replicates=60)
+
+
+@query(f"""WITH {TURNS}, {GRADES}, rows AS (SELECT conv_id * 100 + turn AS k, teacher AS y, student AS a, (conv_id % 7)::DOUBLE AS b FROM grades), {RESAMPLED.replace("REPLICATES", "20")},
+q AS (SELECT replicate, rank() OVER (PARTITION BY replicate ORDER BY y) + (count(*) OVER (PARTITION BY replicate, y) - 1) / 2e0 AS y,
+  rank() OVER (PARTITION BY replicate ORDER BY a) + (count(*) OVER (PARTITION BY replicate, a) - 1) / 2e0 AS a,
+  rank() OVER (PARTITION BY replicate ORDER BY b) + (count(*) OVER (PARTITION BY replicate, b) - 1) / 2e0 AS b FROM x),
+r AS (SELECT replicate, corr(y, a) - corr(y, b) AS d FROM q GROUP BY replicate) SELECT count(d) AS replicates, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM r""")
+def rank_correlation_ci(spark, d):
+    g = grades(spark, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.col("teacher").alias("y"), F.col("student").alias("a"), (F.col("conv_id") % 7).cast("double").alias("b"))
+    return bootstrap.rank_correlation_difference(g, "k", "y", "a", "b", replicates=20)
+
+
 def paired_bootstrap(spark, d):
     p = pairs(spark, d).withColumn("c", -F.col("mean_logprob")).withColumn("l", F.col("n_chars").cast("double"))
     return bootstrap.paired_quality(p, "pair_id", ("c", "l"), 0.2, replicates=50)

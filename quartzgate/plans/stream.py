@@ -100,4 +100,4 @@ def rate_budget(spark, d):
 
 @query()
 def stream_budget(spark, d):
-    return live.drained(live.budget(live.read(spark, d), 2, 3), "append", f"budget_{uuid.uuid4().hex}")
+    return live.stored(live.budget(live.read(spark, d), 2, 3), "budget")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +58,26 @@ def budget(requests: DataFrame, per_minute: int, per_day: int) -> DataFrame:
     )
 
 
+def stored(stream: DataFrame, name: str) -> DataFrame:
+    """All rows that an appending stream has given once its input is read, from files in the folder that executors share
+    (spark.checkpoint.dir; where that is unset, as in local tests, a temporary one is set)."""
+    spark = stream.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quartzgate-')}")
+        folder = sc.getCheckpointDir()
+    place = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{place}/rows")
+        .option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """What the stream has given once all its input is read, from an in-memory sink: for results of bounded size."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
