@@ -42,6 +42,12 @@ def customers_without_orders(spark, d):
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+def customers_without_urgent_orders(spark, d):
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
 @query("""SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
 def orders_per_customer(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
@@ -121,6 +127,12 @@ def failed_by_all(spark, d):
     return e.where("not ok").select("user_id")
 
 
+@query("SELECT user_id FROM events GROUP BY user_id HAVING NOT bool_or(event_type = 'purchase' AND value > 95)")
+def purchases_failed_by_all(spark, d):
+    ok = F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 95))
+    return table(spark, d, "events").groupBy("user_id").agg(ok.alias("ok")).where("not ok").select("user_id")
+
+
 @query("SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal < 0")
 def supplier_sets(spark, d):
     li = table(spark, d, "lineitem")

@@ -193,7 +193,7 @@ SELECT id, sum(s) / 5 AS similarity FROM k WHERE r <= 5 GROUP BY id""")
 def knn_similarity(spark, d):
     terms = lambda df, key: df.select(key.alias("id"), T.words(F.lower("text")).alias("terms"))
     train = terms(table(spark, d, "benchmark"), F.col("item_id"))
-    asked = terms(table(spark, d, "conversations"), F.col("conv_id") * 100 + F.col("turn"))
+    asked = terms(spread(table(spark, d, "conversations")), F.col("conv_id") * 100 + F.col("turn"))
     weights, idf = features.tf_idf(train)
     return features.nearest_mean(features.tf_idf(asked, idf)[0], weights)
 
@@ -203,7 +203,7 @@ def char_gram_similarity(spark, d):
     grams = lambda df, key: df.select(key.alias("id"), features.char_grams(F.col("text")).alias("terms"))
     weights, idf = features.tf_idf(grams(table(spark, d, "benchmark"), F.col("item_id")))
     turn = F.struct("conv_id", "turn")
-    asked = table(spark, d, "conversations")
+    asked = spread(table(spark, d, "conversations"))
     near = features.nearest_mean(features.tf_idf(grams(asked, turn), idf)[0], weights)
     every = asked.select(turn.alias("id")).distinct().join(near, "id", "left")
     return every.select("id.conv_id", "id.turn", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
