@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Terms of a block that are held as a matrix at a time.
+COLUMNS = 8192
+
 
 def word_grams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), 1)
@@ -39,14 +42,58 @@ def tf_idf(terms: DataFrame, idf: DataFrame | None = None, min_df: int = 2) -> t
     return raw.join(norm, "id").select("id", "term", (F.col("r") / F.col("norm")).alias("w")), idf
 
 
-def nearest_mean(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
-    """queries, train: weights (id, term, w). Rows (id, similarity): the mean cosine of the k nearest; neighbours that
-    share no term count as 0. A join on terms; only pairs that share one meet."""
-    dot = queries.select("id", "term", "w").join(train.select(F.col("id").alias("t"), "term", F.col("w").alias("v")), "term")
-    sims = dot.groupBy("id", "t").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    w = Window.partitionBy("id").orderBy(F.desc("s"), "t")
-    top = sims.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return top.groupBy("id").agg((F.sum("s") / k).alias("similarity"))
+def nearest_mean(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
+    """queries, train: weights (id, term, w), all positive. Rows (id, similarity): the mean cosine of the k nearest;
+    neighbours that share no term count as 0, and an id that shares none with any has no row. Blocks of queries meet blocks
+    of rows as matrices, some columns at a time, so a term in every row makes no pairs to shuffle. Terms go by 64-bit hashes."""
+    import numpy as np
+    import pandas as pd
+
+    def blocks(df: DataFrame, key: str, terms: str, weights: str) -> tuple[DataFrame, int]:
+        v = F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").cast("double").alias("w")))
+        name = F.to_json(F.struct("id")).alias(key)  # any type of id
+        rows = df.groupBy("id").agg(v.alias("v")).select(name, F.col("v.h").alias(terms), F.col("v.w").alias(weights))
+        return rows, max(1, -(-df.select("id").distinct().count() // block))
+
+    def flat(terms: pd.Series, weights: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        return row, np.concatenate(terms.to_list()).astype(np.int64), np.concatenate(weights.to_list()).astype(float)
+
+    def dense(row: np.ndarray, column: np.ndarray, w: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        out = np.zeros(shape)
+        out[row, column] = w
+        return out
+
+    def meet(key, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(others):
+            return pd.DataFrame({"key": pd.Series(dtype=str), "s": pd.Series(dtype=float)})
+        (qr, qh, qw), (tr, th, tw) = flat(mine["qh"], mine["qw"]), flat(others["th"], others["tw"])
+        known, tc = np.unique(th, return_inverse=True)
+        qc = np.minimum(np.searchsorted(known, qh), len(known) - 1)
+        both = known[qc] == qh
+        qr, qc, qw = qr[both], qc[both], qw[both]
+        s = np.zeros((len(mine), len(others)))
+        for low in range(0, len(known), COLUMNS):
+            n = min(COLUMNS, len(known) - low)
+            q, t = ((c >= low) & (c < low + n) for c in (qc, tc))
+            left = dense(qr[q], qc[q] - low, qw[q], (len(mine), n))
+            s += left @ dense(tr[t], tc[t] - low, tw[t], (len(others), n)).T
+        m = min(k, len(others))
+        best = np.partition(s, len(others) - m, axis=1)[:, len(others) - m :]
+        i, j = np.nonzero(best > 0)
+        return pd.DataFrame({"key": mine["key"].to_numpy()[i], "s": best[i, j]})
+
+    (asked, nq), (held, nt) = blocks(queries, "key", "qh", "qw"), blocks(train, "t", "th", "tw")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    # each block is sent once for each block of the other side
+    left = asked.withColumns({"_i": own("key", nq), "_j": every(nt)}).groupBy("_i", "_j")
+    right = held.withColumns({"_k": every(nq), "_l": own("t", nt)}).groupBy("_k", "_l")
+    near = left.cogroup(right).applyInPandas(meet, "key string, s double")
+    top = near.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s")))).where(F.col("r") <= k)
+    mean = top.groupBy("key").agg((F.sum("s") / k).alias("similarity"))
+    kind = queries.schema["id"].dataType.simpleString()
+    return mean.select(F.from_json("key", f"id {kind}")["id"].alias("id"), "similarity")
 
 
 def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 512) -> DataFrame:

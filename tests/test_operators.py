@@ -284,3 +284,23 @@ def test_char_gram_similarity_asks_every_turn(spark):
     got = registry.QUERIES["char_gram_similarity"](spark, SMALL).collect()
     assert {(r["conv_id"], r["turn"]) for r in got} == turns and len(got) == len(turns)
     assert all(0 <= r["similarity"] <= 1 + 1e-9 for r in got) and any(r["similarity"] > 0 for r in got)
+
+
+def test_nearest_mean_equals_a_join_of_all_pairs(spark, monkeypatch):
+    from quartzgate.operators import features
+
+    monkeypatch.setattr(features, "COLUMNS", 7)
+    r = random.Random(5)
+    draw = lambda n, terms: {i: {f"t{x}": r.random() + 0.01 for x in r.sample(terms, r.randint(1, 9))} for i in range(n)}
+    asked, held = draw(40, range(30)), draw(25, range(20))
+    asked[99] = {"t25": 1.0}  # in no row
+    want = {}
+    for i, q in asked.items():
+        s = sorted((sum(w * t.get(x, 0.0) for x, w in q.items()) for t in held.values()), reverse=True)
+        if s[0] > 0:
+            want[i] = sum(s[:5]) / 5
+    rows = lambda d: spark.createDataFrame([(i, x, w) for i, t in d.items() for x, w in t.items()], "id long, term string, w double")
+    for queries in (rows(asked), rows(asked).withColumn("id", F.struct("id", F.lit("x").alias("turn")))):
+        got = {getattr(r["id"], "id", r["id"]): r["similarity"] for r in features.nearest_mean(queries, rows(held), block=9).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert features.nearest_mean(rows(asked).where("id < 0"), rows(held)).count() == 0
