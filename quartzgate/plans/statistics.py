@@ -195,7 +195,7 @@ def knn_similarity(spark, d):
     train = terms(table(spark, d, "benchmark"), F.col("item_id"))
     asked = terms(spread(table(spark, d, "conversations")), F.col("conv_id") * 100 + F.col("turn"))
     weights, idf = features.tf_idf(train)
-    return features.nearest_mean(features.tf_idf(asked, idf)[0], weights)
+    return features.nearest_mean(features.tf_idf(asked, idf)[0], weights, asked=table(spark, d, "conversations").count())
 
 
 def char_gram_similarity(spark, d):
@@ -204,7 +204,7 @@ def char_gram_similarity(spark, d):
     weights, idf = features.tf_idf(grams(table(spark, d, "benchmark"), F.col("item_id")))
     turn = F.struct("conv_id", "turn")
     asked = spread(table(spark, d, "conversations"))
-    near = features.nearest_mean(features.tf_idf(grams(asked, turn), idf)[0], weights)
+    near = features.nearest_mean(features.tf_idf(grams(asked, turn), idf)[0], weights, asked=table(spark, d, "conversations").count())
     every = asked.select(turn.alias("id")).distinct().join(near, "id", "left")
     return every.select("id.conv_id", "id.turn", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 

@@ -301,6 +301,6 @@ def test_nearest_mean_equals_a_join_of_all_pairs(spark, monkeypatch):
             want[i] = sum(s[:5]) / 5
     rows = lambda d: spark.createDataFrame([(i, x, w) for i, t in d.items() for x, w in t.items()], "id long, term string, w double")
     for queries in (rows(asked), rows(asked).withColumn("id", F.struct("id", F.lit("x").alias("turn")))):
-        got = {getattr(r["id"], "id", r["id"]): r["similarity"] for r in features.nearest_mean(queries, rows(held), block=9).collect()}
+        got = {getattr(r["id"], "id", r["id"]): r["similarity"] for r in features.nearest_mean(queries, rows(held), block=9, asked=50).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
     assert features.nearest_mean(rows(asked).where("id < 0"), rows(held)).count() == 0
