@@ -188,3 +188,83 @@ def logistic(train: DataFrame, test: DataFrame, columns: list[str], label: str,
     ]
     out = Pipeline(stages=steps).fit(weighted).transform(test.withColumn("_weight", F.lit(1.0)))
     return out.withColumn("probability", vector_to_array("_p")[1]).drop("_x", "_z", "_p", "_raw", "_hit", "_weight")
+
+
+def word_runs(text: Column, most: int = 2) -> Column:
+    """The words of a text and all runs of up to `most` of them."""
+    words = word_grams(text)
+    each = [
+        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+        .otherwise(F.array().cast("array<string>"))
+        for n in range(1, most + 1)
+    ]
+    return F.concat(*each)
+
+
+def _slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int")
+
+
+def term_vectors(ids: DataFrame, weights: DataFrame, slots: int) -> DataFrame:
+    """`ids` with `x`, the sparse vector of an id's weights by the hash of the term, so no vocabulary is numbered; terms of one
+    slot add up, and an id without terms has zeros."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    sparse = F.udf(lambda slots_of, w: Vectors.sparse(slots, slots_of or [], w or []), VectorUDT())
+    each = weights.withColumn("_s", _slot(slots)).groupBy("id", "_s").agg(F.sum("w").alias("w"))
+    each = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_s", "w"))).alias("_v"))
+    out = ids.join(each, "id", "left")
+    return out.withColumn("x", sparse(F.col("_v._s"), F.col("_v.w"))).drop("_v")
+
+
+def text_model(train: DataFrame, test: DataFrame, label: str, slots: int = 1 << 16, steps: int = 50) -> tuple[DataFrame, DataFrame]:
+    """train, test: (id, terms, ...). (`test` with the probability of label 1, (term, coefficient) of each term of training):
+    TF-IDF of the training rows and a logistic regression on it whose classes weigh alike."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    weights, idf = tf_idf(train)
+    n, ones = train.agg(F.count("*"), F.sum(F.col(label).cast("int"))).first()
+    if not ones or ones == n:
+        raise ValueError("training needs both labels")
+    share = F.when(F.col(label).cast("int") == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))
+    rows = term_vectors(train.select("id", F.col(label).cast("double").alias("_y"), share.alias("_weight")), weights, slots)
+    fit = LogisticRegression(featuresCol="x", labelCol="_y", weightCol="_weight", regParam=1.0 / n, standardization=False, maxIter=steps, probabilityCol="_p").fit(rows)
+    told = fit.transform(term_vectors(test, tf_idf(test, idf)[0], slots))
+    coefficients = train.sparkSession.createDataFrame([(int(i), float(c)) for i, c in enumerate(fit.coefficients.toArray()) if c], "_s int, coefficient double")
+    by_term = idf.select("term", _slot(slots).alias("_s")).join(coefficients, "_s").select("term", "coefficient")
+    return told.withColumn("probability", vector_to_array("_p")[1]).drop("x", "_p", "rawPrediction", "prediction"), by_term
+
+
+def extremes(coefficients: DataFrame, n: int = 12) -> DataFrame:
+    """Rows (side, term, coefficient): the `n` terms that speak most for the label and the `n` that speak most against it."""
+    c = F.col("coefficient")
+    ends = [coefficients.orderBy(order, "term").limit(n).withColumn("side", F.lit(name)) for name, order in (("for", c.desc()), ("against", c.asc()))]
+    return ends[0].unionByName(ends[1]).select("side", "term", "coefficient")
+
+
+def fold_of(key: Column, folds: int, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(folds)).cast("int")
+
+
+def cross_validated(df: DataFrame, label: str, folds: int = 5, **more: int) -> DataFrame:
+    """df: (id, terms, label) with the probability that the model of all other folds gives a row, and its `fold`."""
+    parts = df.withColumn("fold", fold_of(F.col("id"), folds))
+    told = [text_model(parts.where(F.col("fold") != i), parts.where(F.col("fold") == i), label, **more)[0] for i in range(folds)]
+    out = told[0]
+    for other in told[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def probe(df: DataFrame, texts: dict[str, Column], label: str, folds: int = 5, **more: int) -> DataFrame:
+    """df: (id, label, ...). Per named array of terms: n, accuracy, and the share of the larger class, cross-validated. What a
+    model learns from the lengths alone shows how much the labels are confounded."""
+    out = None
+    for name, terms in texts.items():
+        told = cross_validated(df.select("id", F.col(label).cast("int").alias("_l"), terms.alias("terms")), "_l", folds, **more)
+        hit = (F.col("probability") >= 0.5).cast("int") == F.col("_l")
+        one = told.agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("accuracy"), F.greatest(F.avg("_l"), 1 - F.avg("_l")).alias("majority"))
+        one = one.withColumn("probe", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import routing
+from . import features, metrics, routing
 
 GOOD, WRONG = 4, 3
 
@@ -209,3 +209,35 @@ def pinned(pins: DataFrame, recomputed: DataFrame, key: str, value: str, toleran
     if wrong:
         raise ValueError(f"{wrong} pinned values are not reproduced")
     return pins
+
+
+def served_errors(rows: DataFrame, kind: str, labels: list[str]) -> DataFrame:
+    """`rows` with `served_error`, by the kind of their task: a label that is not the gold one or none of `labels`, a grade of
+    WRONG or less, or a span that is not fully masked (partly); null where what decides is missing."""
+    p = F.col("prediction")
+    wrong = F.when(p.isNull(), F.lit(True)).otherwise((p != F.col("gold")) | ~p.isin(labels))
+    by_kind = F.when(F.col(kind) == "label", wrong).when(F.col(kind) == "grade", F.col("grade") <= WRONG).when(F.col(kind) == "spans", F.col("partly") > 0)
+    return rows.withColumn("served_error", by_kind)
+
+
+def outside_block(rows: DataFrame, group: str, labels: list[str], escalated: Column) -> DataFrame:
+    """rows: gold (null where no label fits) and prediction. Per group: rows, those no label fits, invented predictions, the
+    accuracy where one fits, and how often right and wrong answers were escalated."""
+    gold, p = F.col("gold"), F.col("prediction")
+    right = F.when(gold.isNotNull(), F.coalesce(p == gold, F.lit(False)))
+    return rows.select(group, gold, p, right.alias("_r"), escalated.cast("int").alias("_e")).groupBy(group).agg(
+        F.count("*").alias("n"), F.count_if(gold.isNull()).alias("no_fit"), F.count_if(~p.isin(labels)).alias("invented"),
+        _rate(F.col("_r")).alias("accuracy"), F.avg(F.when(F.col("_r"), F.col("_e"))).alias("escalated_right"),
+        F.avg(F.when(~F.col("_r"), F.col("_e"))).alias("escalated_wrong"),
+    )
+
+
+def evaluated(train: DataFrame, test: DataFrame, columns: list[str], budgets: list[float]) -> tuple[DataFrame, DataFrame]:
+    """train, test: pairs. (the operating curve of `test` under a router fitted on `train`, with `captured`; one row n, base_rate,
+    roc_auc, average_precision of its scores): a model of the local failures gives each pair's score."""
+    fails = lambda df: df.withColumn("_fails", (~F.col("success")).cast("double"))
+    scored = features.logistic(fails(train), fails(test), columns, "_fails", balanced=True)
+    policies = {"model": lambda: F.col("probability"), "oracle": routing.POLICIES["oracle"]}
+    curve = routing.operating_curve(scored.drop("_fails"), policies, budgets)
+    captured = routing.headroom(curve).select("policy", "budget", "captured")
+    return curve.join(captured, ["policy", "budget"], "left"), metrics.ranking_report(scored, "probability", "_fails")

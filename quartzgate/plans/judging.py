@@ -220,3 +220,34 @@ def graded_from_two(spark, d):
 def pinned_thresholds(spark, d):
     again = pairs(spark, d).groupBy("task").agg(F.percentile("n_chars", 0.9).alias("threshold"))
     return judging.pinned(again, again, "task", "threshold")
+
+
+KIND = "CASE n_chars % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'grade' ELSE 'spans' END"
+
+
+@query(f"""{P}, {PREDICTIONS}, r AS (SELECT pair_id, {KIND} AS kind, gold, prediction, n_chars % 5 + 1 AS grade, n_chars % 4 AS partly FROM predictions JOIN pairs USING (pair_id))
+SELECT kind, count(*) AS n, count(*) FILTER (WHERE CASE kind WHEN 'label' THEN prediction <> gold OR prediction NOT IN ('good', 'bad') WHEN 'grade' THEN grade <= 3 ELSE partly > 0 END) AS errors
+FROM r GROUP BY kind""")
+def served_errors(spark, d):
+    chars = pairs(spark, d).select("pair_id", F.expr(KIND).alias("kind"), (F.col("n_chars") % 5 + 1).alias("grade"), (F.col("n_chars") % 4).alias("partly"))
+    rows = judging.served_errors(predictions(spark, d).join(chars, "pair_id"), "kind", ["good", "bad"])
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("served_error").alias("errors"))
+
+
+@query(f"""{P}, {PREDICTIONS}, r AS (SELECT task, CASE WHEN n_chars % 6 <> 0 THEN gold END AS gold, prediction, mean_logprob < -0.5 AS e FROM predictions JOIN pairs USING (pair_id, task)),
+s AS (SELECT *, CASE WHEN gold IS NOT NULL THEN prediction = gold END AS ok FROM r)
+SELECT task, count(*) AS n, count(*) FILTER (WHERE gold IS NULL) AS no_fit, count(*) FILTER (WHERE prediction NOT IN ('good', 'bad')) AS invented, avg(ok::INT) AS accuracy,
+  avg(CASE WHEN ok THEN e::INT END) AS escalated_right, avg(CASE WHEN NOT ok THEN e::INT END) AS escalated_wrong FROM s GROUP BY task""")
+def outside_block(spark, d):
+    p = pairs(spark, d).select("pair_id", "n_chars", "mean_logprob")
+    rows = predictions(spark, d).join(p, "pair_id").withColumn("gold", F.when(F.col("n_chars") % 6 != 0, F.col("gold")))
+    return judging.outside_block(rows, "task", ["good", "bad"], F.col("mean_logprob") < -0.5)
+
+
+def router_evaluation(spark, d):
+    """The curve of a router fitted on the pairs with an even id and asked about the odd ones."""
+    p = pairs(spark, d).withColumn("chars", F.log1p("n_chars"))
+    return judging.evaluated(p.where("pair_id % 2 = 0"), p.where("pair_id % 2 = 1"), ["mean_logprob", "chars"], [0.0, 0.1, 0.2, 0.5, 1.0])[0]
+
+
+query()(router_evaluation)

@@ -230,6 +230,15 @@ def failure_model(spark, d):
     return out.select("pair_id", "probability")
 
 
+def text_probe(spark, d):
+    """How well the words of a turn, and its length alone, tell users from assistants."""
+    c = spread(table(spark, d, "conversations").where("role in ('user', 'assistant') and text is not null"))
+    rows = c.select(F.struct("conv_id", "turn").cast("string").alias("id"), "text", (F.col("role") == "user").alias("label"))
+    length = F.array(F.concat(F.lit("chars"), F.floor(F.log2(F.length("text") + 1)).cast("string")))
+    return features.probe(rows, {"words": features.word_runs(F.col("text")), "length": length}, "label", folds=3, slots=1 << 14, steps=20)
+
+
+query()(text_probe)
 query()(topic_clusters)
 query()(failure_model)
 
