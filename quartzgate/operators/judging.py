@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import features, metrics, routing
+from . import features, metrics, ranking, routing
 
 GOOD, WRONG = 4, 3
 
@@ -178,15 +178,14 @@ def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def golden_plan(tables: dict[str, DataFrame], text: str, order: str) -> DataFrame:
-    """Rows (item_id, task, text) of every task's golden table, named golden-<task>-<place from 0, four digits> in the order of
-    a key. Golden tables are small by design: a window numbers each task's rows."""
-    from pyspark.sql import Window
-
+    """Rows (item_id, task, text) of every task's golden table, named golden-<task>-<place from 0, four digits or more> in the
+    order of a key, a number or a string; rows that share a key fall anyhow."""
     out = []
     for task, df in tables.items():
-        place = F.row_number().over(Window.partitionBy("task").orderBy(order)) - 1
-        named = df.withColumn("task", F.lit(task)).withColumn("_p", place)
-        out.append(named.select(F.concat(F.lit(f"golden-{task}-"), F.lpad(F.col("_p").cast("string"), 4, "0")).alias("item_id"), "task", F.col(text).alias("text")))
+        rows = df.select(F.col(order).alias("_o"), F.col(text).alias("text"), (-F.col(order).try_cast("double")).alias("_k"))
+        placed = ranking.ranked(rows, "_k", "_o", [], "_p")
+        name = F.concat(F.lit(f"golden-{task}-"), F.format_string("%04d", F.col("_p").cast("long") - 1))
+        out.append(placed.select(name.alias("item_id"), F.lit(task).alias("task"), "text"))
     return reduce(DataFrame.unionByName, out)
 
 

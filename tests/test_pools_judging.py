@@ -113,3 +113,10 @@ def test_text_probe_tells_words_from_lengths(spark):
     assert got["length"]["accuracy"] < 0.85
     sides = features.extremes(features.text_model(df.select("id", "label", terms["words"].alias("terms")), df.select("id", terms["words"].alias("terms")), "label", slots=1 << 12, steps=10)[1], 2)
     assert {(x["side"], x["term"].split()[0]) for x in sides.collect()} >= {("for", "please"), ("against", "thanks")}
+
+
+def test_golden_plan_numbers_every_row(spark):
+    numbers = spark.range(10_050).select((F.col("id") * 7 % 10_050).alias("k"), F.concat(F.lit("t"), F.col("id") * 7 % 10_050).alias("text"))
+    names = spark.createDataFrame([("b", "y"), ("a", "x"), ("c", "z")], "k string, text string")
+    got = {r["item_id"]: r["text"] for r in judging.golden_plan({"n": numbers, "s": names}, "text", "k").collect()}
+    assert got == {f"golden-n-{i:04d}": f"t{i}" for i in range(10_050)} | {"golden-s-0000": "x", "golden-s-0001": "y", "golden-s-0002": "z"}
