@@ -120,3 +120,14 @@ def test_golden_plan_numbers_every_row(spark):
     names = spark.createDataFrame([("b", "y"), ("a", "x"), ("c", "z")], "k string, text string")
     got = {r["item_id"]: r["text"] for r in judging.golden_plan({"n": numbers, "s": names}, "text", "k").collect()}
     assert got == {f"golden-n-{i:04d}": f"t{i}" for i in range(10_050)} | {"golden-s-0000": "x", "golden-s-0001": "y", "golden-s-0002": "z"}
+
+
+def test_evaluated_router_finds_what_a_score_separates(spark):
+    rows = [(i, "ab"[i // 2 % 2], i % 10 >= 3, True, (i % 10) / 10.0 - 1.0, 50 + i * 37 % 91) for i in range(200)]
+    df = spark.createDataFrame(rows, "pair_id long, task string, success boolean, frontier_success boolean, mean_logprob double, n_chars long")
+    curve, ranking = judging.evaluated(df.where("pair_id < 100"), df.where("pair_id >= 100"), ["mean_logprob"], [0.0, 0.1, 0.3, 1.0])
+    got = {(r["policy"], r["budget"]): (r["quality"], r["captured"]) for r in curve.collect()}
+    assert {k: v[0] for k, v in got.items()} == {(p, b): pytest.approx(q) for p in ("model", "oracle") for b, q in ((0.0, 0.7), (0.1, 0.8), (0.3, 1.0), (1.0, 1.0))}
+    assert got["model", 0.3][1] == pytest.approx(1.0) and got["model", 0.0][1] is None
+    one = ranking.first()
+    assert one["n"] == 100 and one["roc_auc"] == pytest.approx(1.0) and one["base_rate"] == pytest.approx(0.3)
