@@ -31,8 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage is cut and any executor may be lost.
+def materialize(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage is cut and any executor may be lost. With `by` each
+    value of that column has a folder of its own, so that readers of some values read no other files.
 
     Spark deletes the shuffle files of the write when it is done."""
     spark = df.sparkSession
@@ -40,7 +41,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -118,7 +119,7 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_rows(docs: DataFrame, make, new: dict[str, str], gone: tuple[str, ...] = ()) -> DataFrame:
+def map_rows(docs: DataFrame, make, new: dict, gone: tuple[str, ...] = ()) -> DataFrame:
     """`docs` with columns made from batches of its rows: make(batch) gives a list for each name in `new`, whose
     values are types. Columns of those names are replaced, those in `gone` dropped, and all others pass
     through as they are, whatever their type. A batch holds BATCH_CHARS characters or a single row.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, line_dedup, nearest, ngram_join, packing, passages, quality, urls
+from . import bpe, fingerprints, language, licenses, line_dedup, merkle, nearest, ngram_join, packing, passages, periods, quality, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.classify(_table(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digests(_table(spark, folder, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify_tampered(_table(spark, folder, "documents"))
+
+
 #: Line dedup as SQL: keys, their documents and what stays.
 OP5_SQL = r"""
 WITH cut AS (
@@ -92,5 +104,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_language_id": op11_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {"op5_line_dedup": OP5_SQL}
