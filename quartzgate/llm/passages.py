@@ -297,26 +297,31 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def merged_spans(found: DataFrame) -> DataFrame:
-    """Rows (doc_id, first_word, n_words, keep, n_clusters): overlapping or touching paragraphs of a document as one
-    passage. keep is the smallest doc_id that holds one of its paragraphs; keep = doc_id: nothing goes."""
+    """Rows (doc_id, first_word, n_words, keep, removed, n_clusters): overlapping or touching paragraphs of a document as one
+    passage, those that go (another document keeps them) and those that stay apart. keep is the smallest doc_id that
+    keeps one of its paragraphs."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id").orderBy("word", "words")
+    w = Window.partitionBy("doc_id", "removed").orderBy("word", "words")
     end = F.col("word") + F.col("words")
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = found.withColumn("_new", F.when(F.col("word") <= before, 0).otherwise(1))
+    cut = found.withColumn("removed", F.col("keep") < F.col("doc_id")).withColumn("_new", F.when(F.col("word") <= before, 0).otherwise(1))
     run = cut.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy("doc_id", "_run").agg(
+    return run.groupBy("doc_id", "removed", "_run").agg(
         F.min("word").alias("first_word"), (F.max(end) - F.min("word")).cast("int").alias("n_words"),
         F.min("keep").alias("keep"), F.countDistinct("cluster").alias("n_clusters"),
     ).drop("_run")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, first_word, n_words, keep, removed): the passages of each document that repeat across
-    documents, those that stay included. Documents without one have no row."""
-    spans = merged_spans(occurrences(docs))
-    return spans.select("doc_id", "first_word", "n_words", "keep", (F.col("keep") < F.col("doc_id")).alias("removed"))
+    """Rows (doc_id, first_word, n_words, keep, removed): the passages of each document that repeat across documents. Those with
+    `removed` are exactly what dedup_passages cuts; the others are kept here for other documents (words of them that a
+    removed one covers go with that one).
+
+    Documents without a passage have no row, nor have rows with a null doc_id and null, empty or short texts; repeated
+    rows of a doc_id are one document. Other columns aren't read. Empty table: empty result.
+    """
+    return merged_spans(occurrences(docs)).select("doc_id", "first_word", "n_words", "keep", "removed")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -337,7 +342,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     empty texts stay as they are; rows with a null doc_id stay whole; repeated rows of a doc_id lose
     the same passages; n_chars, where there, follows the new text. Empty table: empty result.
     """
-    gone = occurrences(docs).where("keep < doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("word", "words")).alias("__gone"))
+    spans = merged_spans(occurrences(docs).where("keep < doc_id"))
+    gone = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__gone"))
     new = {"text": "string"}
     if "n_chars" in docs.columns:
         new["n_chars"] = docs.schema["n_chars"].dataType
@@ -347,13 +353,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         out = list(texts)
         for i, words in enumerate(batch.column("__gone").to_pylist()):
             if words and texts[i]:
-                spans: list[list[int]] = []
-                for w, n in sorted((x["word"], x["words"]) for x in words):
-                    if spans and w <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], w + n)
-                    else:
-                        spans.append([w, w + n])
-                out[i] = without_spans(texts[i], [(a, b) for a, b in spans])
+                out[i] = without_spans(texts[i], [(x["first_word"], x["first_word"] + x["n_words"]) for x in words])
         if "n_chars" not in new:
             return {"text": out}
         chars = batch.column("n_chars").to_pylist()
