@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ranking
+from . import quantiles, ranking
 
 
 def label_counts(df: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -108,10 +108,9 @@ def paired_comparison(df: DataFrame, a: str, b: str, least: int = 10) -> DataFra
     )
 
 
-def lower_index_quantile(column: Column | str, q: float) -> Column:
-    """The value at index floor(q * (n - 1)) of the sorted values; for groups of bounded size."""
-    values = F.sort_array(F.collect_list(column))
-    return F.element_at(values, (F.floor(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
+def lower_index_quantile(df: DataFrame, column: str, q: float, group: list[str], name: str) -> DataFrame:
+    """Rows (group..., name): the value at index floor(q * (n - 1)) of the sorted values of each group."""
+    return quantiles.exact(df, column, [q], group, "lower").select(*group, F.col("q")[0].alias(name))
 
 
 def usefulness(df: DataFrame, flagged: str, wrong: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ranking
+from . import quantiles, ranking
 from .sampling import SEED, hash_place, head_per_group, order_key
 
 CONTEXT, SENTENCE = 512, 15
@@ -140,5 +140,6 @@ def exclusive_quantile(df: DataFrame, column: str, q: int, parts: int = 100) ->
         raise ValueError("a quantile needs two values")
     at = max(1, min(n - 1, q * (n + 1) // parts))
     share = (q * (n + 1) - at * parts) / parts
-    two = F.percentile(column, F.array(F.lit((at - 1) / (n - 1)), F.lit(at / (n - 1))))
-    return df.agg(F.count(column).alias("n"), two.alias("v")).select("n", (F.get("v", F.lit(0)) * (1 - share) + F.get("v", F.lit(1)) * share).alias("value"))
+    ranks = df.sparkSession.createDataFrame([(at - 1,), (at,)], "rank long")
+    both = quantiles.at_ranks(df, column, ranks).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return both.select(F.lit(n).cast("long").alias("n"), (F.col("low") * (1 - share) + F.col("high") * share).alias("value"))

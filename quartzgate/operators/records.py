@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as T
+from . import quantiles
 
 # Urgency labels, and the prompt of each task with its text.
 URGENCIES = ("low", "medium", "high")
@@ -55,12 +56,17 @@ def components(task: Column, text: Column, gold: Column, prediction: Column) ->
     )
 
 
+def median_draft(scored: DataFrame) -> float | None:
+    """The median overlap of the drafts."""
+    return quantiles.exact(scored.where("task = 'drafting'"), "proxy", [0.5]).first()["q"][0]
+
+
 def labelled(scored: DataFrame, cut: float | None = None) -> DataFrame:
     """`scored` (task, exact, tp, gold_spans, pred_spans, proxy) with success, label_rule, label_is_proxy. A draft succeeds
     where its overlap is above 0 and reaches the cut, the median of this arm unless given. A document
     without any span, gold or predicted, is no success."""
     if cut is None:
-        cut = scored.where("task = 'drafting'").agg(F.median("proxy")).first()[0]
+        cut = median_draft(scored)
     task = F.col("task")
     all_right = (F.col("tp") > 0) & (F.col("tp") == F.col("gold_spans")) & (F.col("tp") == F.col("pred_spans"))
     draft = (F.col("proxy") > 0) & (F.col("proxy") >= F.lit(cut).cast("double"))
@@ -100,7 +106,7 @@ def malformed(task: Column, prediction: Column, vocabulary: list[str]) -> Column
 def two_arms(local: DataFrame, frontier: DataFrame) -> DataFrame:
     """Both arms' records joined one to one, drafts of both judged by the local arm's cut: `success` and
     `frontier_success`. Frontier records that are missing leave null."""
-    cut = local.where("task = 'drafting'").agg(F.median("proxy")).first()[0]
+    cut = median_draft(local)
     theirs = labelled(frontier, cut).select("pair_id", F.col("success").alias("frontier_success"))
     return labelled(local, cut).join(theirs, "pair_id", "left")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 TOLERANCE, BAND = 1e-4, 0.05
 
 
@@ -82,10 +84,10 @@ def shift_sides(rows: DataFrame, k: int, share: float = 0.1) -> DataFrame:
     """rows: (pair_id, task, cluster, chars). Adds in_held_cluster (per task the cluster whose size is nearest n / k, the lowest
     number of several), in_short_decile, in_long_decile, and side: shift where any holds, else in."""
     sizes = rows.groupBy("task", "cluster").agg(F.count("*").alias("_n"))
-    total = rows.groupBy("task").agg(F.count("*").alias("_all"), F.percentile("chars", [share, 1 - share]).alias("_q"))
+    total = quantiles.exact(rows, "chars", [share, 1 - share], ["task"]).select("task", F.col("n").alias("_all"), F.col("q").alias("_q"))
     w = Window.partitionBy("task").orderBy(F.abs(F.col("_n") - F.col("_all") / k), "cluster")
-    held = sizes.join(F.broadcast(total), "task").withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    joined = rows.join(F.broadcast(held.select("task", F.col("cluster").alias("_held"), "_q")), "task")  # one row for each task
+    held = sizes.join(total, "task").withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    joined = rows.join(held.select("task", F.col("cluster").alias("_held"), "_q"), "task")
     short, long = F.col("chars") <= F.col("_q")[0], F.col("chars") >= F.col("_q")[1]
     flags = joined.withColumn("in_held_cluster", F.col("cluster") == F.col("_held")).withColumn("in_short_decile", short).withColumn("in_long_decile", long)
     side = F.when(F.col("in_held_cluster") | F.col("in_short_decile") | F.col("in_long_decile"), "shift").otherwise("in")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranking
+from . import quantiles, ranking
 
 SEED = 20260909
 VALIDATION, EVALUATION = 0.15, 0.20
@@ -34,15 +34,15 @@ def quota_per_group(df: DataFrame, key: str, group: str, total: int, seed: int =
     n = names.count()
     base, extra = divmod(total, max(n, 1))
     quota = placed.select(group, (F.lit(base) + F.when(F.col("_g") <= extra, 1).otherwise(0)).alias("_quota"))
-    ranked = hash_rank(df, key, [group], seed).join(F.broadcast(quota), group)
-    return ranked.where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+    ranked = hash_place(df, key, [group], seed).join(quota, group)
+    return ranked.where(F.col("_place") <= F.col("_quota")).drop("_place", "_quota")
 
 
 def stratified_holdout(df: DataFrame, key: str, strata: list[str], share: float = EVALUATION, seed: int = SEED) -> DataFrame:
     """`df` with `split`: eval for round-half-even(share * n) rows of each stratum, else train."""
     n = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-    ranked = hash_rank(df, key, strata, seed).join(F.broadcast(n), strata)
-    return ranked.withColumn("split", F.when(F.col("_rank") <= F.bround(F.col("_n") * share), "eval").otherwise("train")).drop("_rank", "_n")
+    ranked = hash_place(df, key, strata, seed).join(n, strata)
+    return ranked.withColumn("split", F.when(F.col("_place") <= F.bround(F.col("_n") * share), "eval").otherwise("train")).drop("_place", "_n")
 
 
 def three_way(df: DataFrame, key: str, golden: int, label: str | None = None, seed: int = SEED) -> DataFrame:
@@ -85,28 +85,32 @@ def grouped_split(df: DataFrame, group: str, key: str, golden: int, seed: int =
 def capped_mining(df: DataFrame, key: str, task: str, bucket: str, cap: int, seed: int = SEED) -> DataFrame:
     """Up to `cap` rows of each task, its buckets in equal parts first, the rest by hash."""
     n = df.groupBy(task).agg(F.countDistinct(bucket).alias("_b"))
-    ranked = hash_rank(df, key, [task, bucket], seed, "_in").join(F.broadcast(n), task)
-    part = F.floor(F.lit(cap) / F.col("_b"))
-    first = ranked.withColumn("_late", (F.col("_in") > part).cast("int"))
-    w = Window.partitionBy(task).orderBy("_late", order_key(key, seed), key)
-    return first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r", "_late", "_in", "_b")
+    placed = hash_place(df, key, [task, bucket], seed, "_in").join(n, task)
+    late = (F.col("_in") > F.floor(F.lit(cap) / F.col("_b"))).cast("double")
+    # early rows before late ones, either by hash: 53 bits, exact in a double
+    ordered = placed.withColumn("_o", hash_number(key, seed) - late * (1 << 52))
+    return ranking.ranked(ordered, "_o", key, [task], "_r").where(F.col("_r") <= cap).drop("_r", "_o", "_in", "_b")
 
 
 def length_matched(negatives: DataFrame, positives: DataFrame, key: str, length: str, bins: int = 20, seed: int = SEED) -> DataFrame:
     """As many positives in each quantile bin of the negatives' lengths as there are negatives, or all there are."""
-    edges = negatives.agg(F.percentile(length, [i / bins for i in range(bins + 1)])).first()[0]
+    edges = quantiles.exact(negatives, length, [i / bins for i in range(bins + 1)]).first()["q"]
     edges = F.array(*[F.lit(float(e)) for e in edges])
     where = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.size(F.filter(edges, lambda e: e <= F.col(length))) - 1))
     want = negatives.withColumn("bin", where).groupBy("bin").agg(F.count("*").alias("_n"))
-    ranked = hash_rank(positives.withColumn("bin", where), key, ["bin"], seed).join(F.broadcast(want), "bin")
-    return ranked.where(F.col("_rank") <= F.col("_n")).drop("_rank", "_n")
+    ranked = hash_place(positives.withColumn("bin", where), key, ["bin"], seed).join(want, "bin")
+    return ranked.where(F.col("_place") <= F.col("_n")).drop("_place", "_n")
+
+
+def hash_number(key: str, seed: int = SEED) -> Column:
+    """52 bits of the hash of `key`, the smallest hash the largest number."""
+    return -F.conv(F.substring(order_key(key, seed), 1, 13), 16, 10).cast("double")
 
 
 def hash_place(df: DataFrame, key: str, group: list[str], seed: int = SEED, name: str = "_place") -> DataFrame:
     """`df` with each row's place from 1 in its group by 52 bits of the hash of `key`, equal ones by key; no task holds a
     whole group."""
-    number = -F.conv(F.substring(order_key(key, seed), 1, 13), 16, 10).cast("double")
-    return ranking.ranked(df.withColumn("_h", number), "_h", key, group, name).drop("_h")
+    return ranking.ranked(df.withColumn("_h", hash_number(key, seed)), "_h", key, group, name).drop("_h")
 
 
 def permuted_labels(df: DataFrame, key: str, labels: list[str], seed: int = SEED) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import economics, features, online, records, routing
+from ..operators import economics, features, online, ranking, records, routing
 from ..sources.tables import table
 from .base import PAIRS, PREDICTIONS, TURNS, pairs, predictions, turns
 from .registry import query
@@ -118,11 +118,9 @@ def trace_spans(spark, d):
 @query(f"""WITH {PAIRS}, c AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY pair_id) AS i, pair_id FROM pairs), n AS (SELECT min(k) AS k FROM (SELECT count(*) AS k FROM pairs GROUP BY task))
 SELECT i AS ticket, list(pair_id ORDER BY task) AS pairs FROM c, n WHERE i <= k GROUP BY i""")
 def ticket_batches(spark, d):
-    from pyspark.sql import Window
-
-    p = pairs(spark, d)
+    p = pairs(spark, d).withColumn("_k", -F.col("pair_id").cast("double"))
     least = p.groupBy("task").count().agg(F.min("count")).first()[0]
-    n = p.withColumn("ticket", F.row_number().over(Window.partitionBy("task").orderBy("pair_id"))).where(F.col("ticket") <= least)
+    n = ranking.ranked(p, "_k", "pair_id", ["task"], "ticket").where(F.col("ticket") <= least)
     sets = n.groupBy("ticket").agg(F.sort_array(F.collect_list(F.struct("task", "pair_id"))).alias("p"))
     return sets.select("ticket", F.transform("p", lambda x: x["pair_id"]).alias("pairs"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import quantiles
 from ..sources import logs
 from ..sources.tables import table
 from .registry import query
@@ -72,7 +73,7 @@ def length_bins(spark, d):
 @query("""WITH e AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM events) SELECT len(list_filter(e, lambda x: x < value)) AS bin, count(*) AS n FROM events, e GROUP BY ALL""")
 def quartile_bins(spark, d):
     e = table(spark, d, "events")
-    edges = e.agg(F.percentile("value", [0.25, 0.5, 0.75])).first()[0]
+    edges = quantiles.exact(e, "value", [0.25, 0.5, 0.75]).first()["q"]
     b = sum((F.when(F.col("value") > x, 1).otherwise(0) for x in edges), F.lit(0))
     return e.groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
@@ -89,10 +90,12 @@ def segment_rollup(spark, d):
 count(*) FILTER (WHERE value > 50) AS above FROM events GROUP BY ALL""")
 def event_statistics(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.stddev_samp(v).alias("sd"), F.median(v).alias("med"),
-        F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(v > 50).alias("above"),
+    e = table(spark, d, "events")
+    rest = e.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.count_if(v > 50).alias("above"),
     )
+    return rest.join(quantiles.exact(e, "value", [0.5], ["event_type"]).select("event_type", F.col("q")[0].alias("med")), "event_type")
 
 
 @query("SELECT event_type, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM events GROUP BY event_type")

@@ -121,12 +121,10 @@ def per_task_decisions(spark, d):
 
 
 def allocation(spark, d):
-    """The exact allocation of a fifth of all pairs over the tasks; the curves hold a few numbers a pair at evaluation size."""
+    """The exact allocation of a fifth of all pairs over the tasks."""
     p = pairs(spark, d)
-    rows = routing.cumulative_gains(p).groupBy("task").agg(F.sort_array(F.collect_list(F.struct("rank", "cumulative"))).alias("c")).collect()
-    gains = {r["task"]: [x["cumulative"] for x in r["c"]] for r in sorted(rows, key=lambda r: r["task"])}
-    picks = routing.best_allocation(gains, round(0.2 * p.count()))
-    return spark.createDataFrame([(t, k, gains[t][k]) for t, k in picks.items()], "task string, escalated long, gain long")
+    picks = routing.best_allocation(routing.cumulative_gains(p), round(0.2 * p.count()))
+    return spark.createDataFrame([(t, *pick) for t, pick in picks.items()], "task string, escalated long, gain long")
 
 
 query()(allocation)

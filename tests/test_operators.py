@@ -63,10 +63,14 @@ def test_misroutes(spark):
     assert s["quality"] == pytest.approx(s["quality_from_tags"])
 
 
-def test_allocation():
-    assert routing.best_allocation({"a": [0, 0, 5], "b": [0, 1, 2, 3]}, 2) == {"a": 2, "b": 0}
-    assert routing.best_allocation({"a": [0, 0, 5], "b": [0, 1, 2, 3]}, 3) == {"a": 2, "b": 1}
-    assert routing.best_allocation({"a": [0, -1, -2], "b": [0, 1]}, 3)["a"] == 0
+def test_allocation(spark):
+    def best(curves, total):
+        rows = [(t, k, g) for t, c in curves.items() for k, g in enumerate(c)]
+        return {t: k for t, (k, _) in routing.best_allocation(spark.createDataFrame(rows, "task string, rank long, cumulative long"), total).items()}
+
+    assert best({"a": [0, 0, 5], "b": [0, 1, 2, 3]}, 2) == {"a": 2, "b": 0}
+    assert best({"a": [0, 0, 5], "b": [0, 1, 2, 3]}, 3) == {"a": 2, "b": 1}
+    assert best({"a": [0, -1, -2], "b": [0, 1]}, 3)["a"] == 0
 
 
 def test_adjudication(spark):
