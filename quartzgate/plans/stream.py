@@ -34,7 +34,7 @@ def latency_p50_p95(spark, d):
 
 @query(f"""WITH {REQUESTS}, l AS (SELECT user_id, list_sort(list(latency_ms)) AS v FROM requests GROUP BY user_id) SELECT user_id, v[1 + floor(0.95e0 * (len(v) - 1))::INT] AS p95 FROM l""")
 def latency_p95_lower(spark, d):
-    return requests(spark, d).groupBy("user_id").agg(metrics.lower_index_quantile("latency_ms", 0.95).alias("p95"))
+    return metrics.lower_index_quantile(requests(spark, d), "latency_ms", 0.95, ["user_id"], "p95")
 
 
 @query(f"""WITH {REQUESTS}, s AS (SELECT least(floor(greatest(0, least(epoch(ts - TIMESTAMP '2024-01-01'), 2592000e0)) / 100000), 25)::BIGINT AS w FROM requests)
@@ -89,10 +89,36 @@ def stream_rates(spark, d):
 
 @query(f"WITH {REQUESTS} SELECT task, date_trunc('day', ts) AS start, count(*) AS requests, avg(latency_ms) AS mean_ms FROM requests GROUP BY ALL")
 def stream_tumbling(spark, d):
-    out = live.drained(live.tumbling(live.read(spark, d)), "complete", f"tumbling_{uuid.uuid4().hex}")
+    out = live.stored(live.tumbling(live.read(spark, d)), "tumbling")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+DESK = (2, 3, 21600.0)
+
+
+@query(f"""WITH {REQUESTS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM requests WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, epoch(min(ts)) AS start, epoch(max(ts)) + 21600 AS "end", count(*) AS requests FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    """The sessions that the stream's state closes, as `sessions` has them."""
+    rows = live.stored(live.desk(live.ended(live.raw(spark, d)), *DESK), "desk")
+    return rows.where("kind = 'session'").select("user_id", "start", "end", "requests")
+
+
+def desk_decisions(spark, d):
+    return online.desk(requests(spark, d), *DESK[:2])
+
+
+def stream_desk(spark, d):
+    """desk_decisions from the stream, in event-time order with a budget kept as state."""
+    rows = live.stored(live.desk(live.ended(live.raw(spark, d)), *DESK), "desk")
+    return rows.where("kind = 'request'").select("user_id", "request_id", "route", "decision", "served")
+
+
+query()(desk_decisions)
+query()(stream_desk)
+
+
 @query()
 def rate_budget(spark, d):
     return online.rate_budget(requests(spark, d), "user_id", 2, 3)
