@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
+from . import models, quantiles
+
 #: Terms of a block that are held as a matrix at a time.
 COLUMNS = 8192
 
@@ -140,7 +143,8 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int
 
 def domain_thresholds(scores: DataFrame, share: float = 0.05) -> DataFrame:
     """One row: similarity (the lower quantile) and words (the upper one)."""
-    return scores.agg(F.percentile("similarity", share).alias("similarity"), F.percentile("words", 1 - share).alias("words"))
+    low = quantiles.exact(scores, "similarity", [share]).select(F.col("q")[0].alias("similarity"))
+    return low.crossJoin(quantiles.exact(scores, "words", [1 - share]).select(F.col("q")[0].alias("words")))  # one row each
 
 
 def out_of_domain(similarity: Column, words: Column, low: Column, high: Column) -> Column:
@@ -156,18 +160,22 @@ def vocabulary_novelty(train: DataFrame, shifted: DataFrame, text: str = "text")
     return both.agg(n.alias("words"), novel.alias("novel"), F.try_divide(novel.cast("double"), n).alias("rate"))
 
 
-def clusters(df: DataFrame, text: str, k: int = 5, features: int = 4096, seed: int = 20260909) -> DataFrame:
-    """`df` with `cluster`: k-means over hashed, idf-weighted and normalised words."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+def clusters(df: DataFrame, text: str, key: list[str], k: int = 5, most_terms: int = 5000, min_df: int = 2, seed: int = 20260909) -> DataFrame:
+    """`df` with `cluster`: spherical k-means over TF-IDF of words in `min_df` rows or more, stop words aside, the `most_terms`
+    commonest of them. `key` names a row. A text without such words is in cluster 0."""
+    from pyspark.ml.feature import StopWordsRemover
 
-    steps = [
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+", minTokenLength=2), HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2), Normalizer(inputCol="_idf", outputCol="_n"),
-        KMeans(k=k, seed=seed, featuresCol="_n", predictionCol="cluster", maxIter=10),
-    ]
-    return Pipeline(stages=steps).fit(df).transform(df).drop("_w", "_tf", "_idf", "_n")
+    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
+    named = df.withColumn("_id", F.struct(*key).cast("string"))
+    terms = named.select(F.col("_id").alias("id"), F.filter(word_grams(F.coalesce(text, F.lit(""))), lambda w: ~F.array_contains(stop, w)).alias("terms"))
+    words = models.vocabulary(terms, min_df=min_df, most=most_terms)
+    rows = session.materialize(models.encoded(terms, words), "cluster-rows")
+    idf = words.idf[-1]
+    start = models.seeds(rows, F.col("id"), idf, k, seed=seed)
+    if not len(start):
+        return df.withColumn("cluster", F.lit(0))
+    told = models.nearest_center(rows, models.lloyd(rows, start, idf), idf).select(F.col("id").alias("_id"), "cluster").dropDuplicates(["_id"])
+    return named.join(told, "_id").drop("_id")
 
 
 def logistic(train: DataFrame, test: DataFrame, columns: list[str], label: str, reg: float = 0.1, balanced: bool = False) -> DataFrame:
@@ -201,39 +209,12 @@ def word_runs(text: Column, most: int = 2) -> Column:
     return F.concat(*each)
 
 
-def _slot(slots: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int")
-
-
-def term_vectors(ids: DataFrame, weights: DataFrame, slots: int) -> DataFrame:
-    """`ids` with `x`, the sparse vector of an id's weights by the hash of the term, so no vocabulary is numbered; terms of one
-    slot add up, and an id without terms has zeros."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    sparse = F.udf(lambda slots_of, w: Vectors.sparse(slots, slots_of or [], w or []), VectorUDT())
-    each = weights.withColumn("_s", _slot(slots)).groupBy("id", "_s").agg(F.sum("w").alias("w"))
-    each = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_s", "w"))).alias("_v"))
-    out = ids.join(each, "id", "left")
-    return out.withColumn("x", sparse(F.col("_v._s"), F.col("_v.w"))).drop("_v")
-
-
-def text_model(train: DataFrame, test: DataFrame, label: str, slots: int = 1 << 16, steps: int = 50) -> tuple[DataFrame, DataFrame]:
+def text_model(train: DataFrame, test: DataFrame, label: str, steps: int = 200) -> tuple[DataFrame, DataFrame]:
     """train, test: (id, terms, ...). (`test` with the probability of label 1, (term, coefficient) of each term of training):
     TF-IDF of the training rows and a logistic regression on it whose classes weigh alike."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    weights, idf = tf_idf(train)
-    n, ones = train.agg(F.count("*"), F.sum(F.col(label).cast("int"))).first()
-    if not ones or ones == n:
-        raise ValueError("training needs both labels")
-    share = F.when(F.col(label).cast("int") == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))
-    rows = term_vectors(train.select("id", F.col(label).cast("double").alias("_y"), share.alias("_weight")), weights, slots)
-    fit = LogisticRegression(featuresCol="x", labelCol="_y", weightCol="_weight", regParam=1.0 / n, standardization=False, maxIter=steps, probabilityCol="_p").fit(rows)
-    told = fit.transform(term_vectors(test, tf_idf(test, idf)[0], slots))
-    coefficients = train.sparkSession.createDataFrame([(int(i), float(c)) for i, c in enumerate(fit.coefficients.toArray()) if c], "_s int, coefficient double")
-    by_term = idf.select("term", _slot(slots).alias("_s")).join(coefficients, "_s").select("term", "coefficient")
-    return told.withColumn("probability", vector_to_array("_p")[1]).drop("x", "_p", "rawPrediction", "prediction"), by_term
+    fit, _ = models.fit_texts(train.select("id", "terms", label), label, most=steps)
+    told = fit.probabilities(models.encoded(test, fit.words), F.lit(0))
+    return told, fit.coefficients()
 
 
 def extremes(coefficients: DataFrame, n: int = 12) -> DataFrame:
@@ -247,22 +228,20 @@ def fold_of(key: Column, folds: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def cross_validated(df: DataFrame, label: str, folds: int = 5, **more: int) -> DataFrame:
-    """df: (id, terms, label) with the probability that the model of all other folds gives a row, and its `fold`."""
-    parts = df.withColumn("fold", fold_of(F.col("id"), folds))
-    told = [text_model(parts.where(F.col("fold") != i), parts.where(F.col("fold") == i), label, **more)[0] for i in range(folds)]
-    out = told[0]
-    for other in told[1:]:
-        out = out.unionByName(other)
-    return out
+def cross_validated(df: DataFrame, label: str, folds: int = 5, steps: int = 200) -> DataFrame:
+    """df: (id, terms, label). Rows (id, label, fold, probability): what the model of all other folds says. The folds' models are
+    fitted together."""
+    parts = df.select("id", "terms", label).withColumn("fold", fold_of(F.col("id"), folds))
+    fit, rows = models.fit_texts(parts, label, folds, most=steps)
+    return fit.probabilities(rows.drop("_y"), F.col("fold"))
 
 
-def probe(df: DataFrame, texts: dict[str, Column], label: str, folds: int = 5, **more: int) -> DataFrame:
+def probe(df: DataFrame, texts: dict[str, Column], label: str, folds: int = 5, steps: int = 200) -> DataFrame:
     """df: (id, label, ...). Per named array of terms: n, accuracy, and the share of the larger class, cross-validated. What a
     model learns from the lengths alone shows how much the labels are confounded."""
     out = None
     for name, terms in texts.items():
-        told = cross_validated(df.select("id", F.col(label).cast("int").alias("_l"), terms.alias("terms")), "_l", folds, **more)
+        told = cross_validated(df.select("id", F.col(label).cast("int").alias("_l"), terms.alias("terms")), "_l", folds, steps)
         hit = (F.col("probability") >= 0.5).cast("int") == F.col("_l")
         one = told.agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("accuracy"), F.greatest(F.avg("_l"), 1 - F.avg("_l")).alias("majority"))
         one = one.withColumn("probe", F.lit(name))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import features, metrics, ranking, routing
+from . import features, metrics, models, ranking, routing
 
 GOOD, WRONG = 4, 3
 
@@ -231,12 +231,40 @@ def outside_block(rows: DataFrame, group: str, labels: list[str], escalated: Col
     )
 
 
+def by_task(rows: DataFrame, tasks: list[str], signals: list[str]) -> tuple[DataFrame, list[str]]:
+    """(`rows` with columns for a model, their names): whether a row is of a task, and each signal within that task, else 0. A
+    missing signal is an error."""
+    missing = rows.where(F.greatest(*[F.col(s).isNull().cast("int") for s in signals], F.lit(0)) > 0).count()
+    if missing:
+        raise ValueError(f"{missing} rows lack a signal")
+    names = {}
+    for i, task in enumerate(tasks):
+        on = (F.col("task") == task).cast("double")
+        names[f"t{i}"] = on
+        names |= {f"t{i}_{s}": on * F.col(s) for s in signals}
+    return rows.withColumns(names), list(names)
+
+
+def penalties_table(spark: SparkSession, search: models.Search) -> DataFrame:
+    """Rows (c, log_loss, best) of a grid."""
+    rows = [(c, x, c == search.best) for c, x in search.log_loss.items()]
+    return spark.createDataFrame(rows, "c double, log_loss double, best boolean")
+
+
+def curve_of(test: DataFrame, score: Column, budgets: list[float], target: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the operating curve of `test` by a score, with `captured`; one row n, base_rate, roc_auc, average_precision of the score
+    for the target, by default that the frontier rescues)."""
+    rescue = F.col("frontier_success") & ~F.col("success")
+    scored = test.withColumn("probability", score).withColumn("_target", (rescue if target is None else target).cast("double"))
+    policies = {"model": lambda: F.col("probability"), "oracle": routing.POLICIES["oracle"]}
+    curve = routing.operating_curve(scored.drop("_target"), policies, budgets)
+    captured = routing.headroom(curve).select("policy", "budget", "captured")
+    return curve.join(captured, ["policy", "budget"], "left"), metrics.ranking_report(scored, "probability", "_target")
+
+
 def evaluated(train: DataFrame, test: DataFrame, columns: list[str], budgets: list[float]) -> tuple[DataFrame, DataFrame]:
     """train, test: pairs. (the operating curve of `test` under a router fitted on `train`, with `captured`; one row n, base_rate,
     roc_auc, average_precision of its scores): a model of the local failures gives each pair's score."""
     fails = lambda df: df.withColumn("_fails", (~F.col("success")).cast("double"))
     scored = features.logistic(fails(train), fails(test), columns, "_fails", balanced=True)
-    policies = {"model": lambda: F.col("probability"), "oracle": routing.POLICIES["oracle"]}
-    curve = routing.operating_curve(scored.drop("_fails"), policies, budgets)
-    captured = routing.headroom(curve).select("policy", "budget", "captured")
-    return curve.join(captured, ["policy", "budget"], "left"), metrics.ranking_report(scored, "probability", "_fails")
+    return curve_of(scored.drop("_fails"), F.col("probability"), budgets, ~F.col("success"))

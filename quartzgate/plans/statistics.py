@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bootstrap, features, metrics
+from ..operators import bootstrap, features, judging, metrics, models
 from ..sources.tables import spread, table
 from .base import GRADES, PAIRS, PREDICTIONS, TURNS, grades, pairs, predictions, turns
 from .registry import query
@@ -162,6 +162,28 @@ def paired_bootstrap(spark, d):
 query()(paired_bootstrap)
 
 
+def bootstrap_ci_by_weights(spark, d):
+    """bootstrap_ci with 10,000 replicates."""
+    t = turns(spark, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.length("request").alias("a"), F.length("reply").alias("b"))
+    return bootstrap.ratio_difference_by_weights(t.withColumn("base", F.col("a") + F.col("b")), "k", "a", "b", "base")
+
+
+def mean_difference_ci_by_weights(spark, d):
+    """mean_difference_ci with 10,000 replicates."""
+    g = grades(spark, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), (F.col("student") - F.col("teacher")).alias("v"))
+    return bootstrap.mean_difference_by_weights(g, "k", "v")
+
+
+def paired_bootstrap_by_weights(spark, d):
+    """paired_bootstrap with 2,000 replicates."""
+    p = pairs(spark, d).withColumn("c", -F.col("mean_logprob")).withColumn("l", F.col("n_chars").cast("double"))
+    return bootstrap.paired_quality_by_weights(p, "pair_id", ("c", "l"), 0.2)
+
+
+for f in (bootstrap_ci_by_weights, mean_difference_ci_by_weights, paired_bootstrap_by_weights):
+    query()(f)
+
+
 @query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (
   SELECT q.vec_id AS id, t.vec_id AS t, list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS s FROM q JOIN embeddings t ON t.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, t) AS r FROM s)
@@ -221,7 +243,7 @@ def vocab_novelty(spark, d):
 
 def topic_clusters(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return features.clusters(c, "text", k=5, features=1024).groupBy("cluster").agg(F.count("*").alias("n"))
+    return features.clusters(c, "text", ["conv_id", "turn"], k=5).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def failure_model(spark, d):
@@ -235,9 +257,30 @@ def text_probe(spark, d):
     c = spread(table(spark, d, "conversations").where("role in ('user', 'assistant') and text is not null"))
     rows = c.select(F.struct("conv_id", "turn").cast("string").alias("id"), "text", (F.col("role") == "user").alias("label"))
     length = F.array(F.concat(F.lit("chars"), F.floor(F.log2(F.length("text") + 1)).cast("string")))
-    return features.probe(rows, {"words": features.word_runs(F.col("text")), "length": length}, "label", folds=3, slots=1 << 14, steps=20)
+    return features.probe(rows, {"words": features.word_runs(F.col("text")), "length": length}, "label", folds=3)
+
+
+def router_grid(spark, d):
+    """The log loss of each penalty of a router over tasks and their signals, by stratified folds."""
+    return judging.penalties_table(spark, _searched(spark, d)[0])
+
+
+def router_cascade(spark, d):
+    """The curve on held-out pairs under the router with the best penalty."""
+    search, test = _searched(spark, d)
+    return judging.curve_of(test, search.fits[search.best].probability(), [0.0, 0.1, 0.2, 0.5, 1.0])[0]
+
+
+def _searched(spark, d):
+    p = pairs(spark, d).withColumn("rescue", (F.col("frontier_success") & ~F.col("success")).cast("int")).withColumn("chars", F.log1p("n_chars"))
+    tasks = [r["task"] for r in p.select("task").distinct().orderBy("task").collect()]  # a handful
+    design, columns = judging.by_task(p, tasks, ["mean_logprob", "chars"])
+    train = models.folded(design.where("pair_id % 2 = 0"), "pair_id", ["task", "rescue"], 5)
+    return models.grid(train, columns, "rescue", [0.01, 0.1, 1.0, 10.0]), design.where("pair_id % 2 = 1")
 
 
+query()(router_grid)
+query()(router_cascade)
 query()(text_probe)
 query()(topic_clusters)
 query()(failure_model)

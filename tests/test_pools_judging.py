@@ -108,10 +108,10 @@ def test_text_probe_tells_words_from_lengths(spark):
         rows.append((i, i % 3 == 0, " ".join(["please" if i % 3 == 0 else "thanks", *words])))
     df = spark.createDataFrame(rows, "id long, label boolean, text string")
     terms = {"words": features.word_runs(F.col("text")), "length": F.array(F.length("text").cast("string"))}
-    got = {x["probe"]: x for x in features.probe(df, terms, "label", folds=2, slots=1 << 12, steps=10).collect()}
+    got = {x["probe"]: x for x in features.probe(df, terms, "label", folds=2).collect()}
     assert got["words"]["n"] == 120 and got["words"]["accuracy"] > 0.95 and got["words"]["majority"] == pytest.approx(2 / 3)
     assert got["length"]["accuracy"] < 0.85
-    sides = features.extremes(features.text_model(df.select("id", "label", terms["words"].alias("terms")), df.select("id", terms["words"].alias("terms")), "label", slots=1 << 12, steps=10)[1], 2)
+    sides = features.extremes(features.text_model(df.select("id", "label", terms["words"].alias("terms")), df.select("id", terms["words"].alias("terms")), "label")[1], 2)
     assert {(x["side"], x["term"].split()[0]) for x in sides.collect()} >= {("for", "please"), ("against", "thanks")}
 
 
