@@ -3,60 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, release, shared_folder  # noqa: F401
+
 #: Characters of text that a Python worker handles at once.
 BATCH_CHARS = 1_000_000
 #: The white space that the contracts name: space and \x09 to \x0D.
 BLANKS = b" \t\n\v\f\r"
-#: Spark's setting that lets it delete a query's shuffle files when the query ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, as in local tests, a temporary one is set."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quartzgate-')}")
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage is cut and any executor may be lost. With `by` each
-    value of that column has a folder of its own, so that readers of some values read no other files.
-
-    Spark deletes the shuffle files of the write when it is done."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._materialized_at = path
-    return out
-
-
-def release(*steps: DataFrame) -> None:
-    """Delete the files of materialised steps that nothing reads any more."""
-    for df in steps:
-        path = getattr(df, "_materialized_at", None)
-        if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:

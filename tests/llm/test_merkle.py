@@ -123,3 +123,16 @@ def test_store_holds_all_levels(spark):
     assert len(got) == 2 * sum(map(len, levels))
     proofs = made.proofs().where(merkle.folded(F.col("digest"), F.col("proof")) == F.col("root"))
     assert proofs.count() == 600
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from quartzgate.llm import queries
+
+    small = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = duck.sql(queries.ORACLES["op13_merkle_manifest"])
+    got = queries.QUERIES["op13_merkle_manifest"](spark, small).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) == 200
