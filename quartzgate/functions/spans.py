@@ -209,19 +209,22 @@ def target_lines(text: Column, spans: Column, names: dict[str, str]) -> Column:
 def occurrences(text: Column, values: Column, least: int = 2) -> Column:
     """Spans of every occurrence of the values (label, value), case aside, that no span of an earlier value or place
     overlaps; in text order. Values under `least` characters have none."""
-    low = F.lower(text)
 
     def step(taken: Column, p: Column) -> Column:
-        v = F.lower(p["value"])
-        parts = F.split(low, F.concat(F.lit("\\Q"), v, F.lit("\\E")), -1)
+        v = p["value"]
+        # places are those of the text itself: its lower case may be longer
+        pattern = F.concat(F.lit("(?iu)\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        found_texts = F.regexp_extract_all(text, pattern, F.lit(0))
+        parts = F.split(text, pattern, -1)
         state = F.struct(F.lit(0).alias("at"), empty().alias("out"))
 
-        def next_(s: Column, part: Column) -> Column:
-            begin = (s["at"] + F.length(part)).cast("int")
-            end = (begin + F.length(v)).cast("int")
+        def next_(s: Column, both: Column) -> Column:
+            begin = (s["at"] + F.length(both["gap"])).cast("int")
+            end = (begin + F.length(both["hit"])).cast("int")
             return F.struct(end.alias("at"), F.concat(s["out"], F.array(span(begin, end, p["label"]))).alias("out"))
 
-        found = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), state, next_)["out"]
+        gaps = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+        found = F.aggregate(F.zip_with(gaps, found_texts, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))), state, next_)["out"]
         return F.when(F.length(v) >= least, claim(taken, found)).otherwise(taken)
 
     return F.array_sort(F.aggregate(values, empty(), step))

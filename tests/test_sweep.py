@@ -1,0 +1,185 @@
+"""Spans in a sweep against the folds over them, and the span queries against plain loops."""
+
+from __future__ import annotations
+
+import random
+import time
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from quartzgate.functions import spans as S
+from quartzgate.operators import pii, sweep
+from quartzgate.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def some(rnd, n, wide=60):
+    out = []
+    for _ in range(n):
+        a = rnd.randrange(wide)
+        out.append((a, a + rnd.randint(0 if rnd.random() < 0.1 else 1, 9), rnd.choice("ABC")))
+    return out
+
+
+def test_sweeps_equal_the_folds(spark):
+    rnd = random.Random(3)
+    rows = [(i, some(rnd, rnd.randint(0, 14)), some(rnd, rnd.randint(0, 14))) for i in range(300)]
+    rows += [(1000 + i, g, g[: rnd.randint(0, 9)] + some(rnd, 3)) for i, g, _ in rows[:100]]
+    df = spark.createDataFrame(rows, f"id long, g {S.SPANS}, p {S.SPANS}").repartition(4)
+    full = [(i, [s for s in g if s[1] > s[0]], [s for s in p if s[1] > s[0]]) for i, g, p in rows]
+    folds = df.select(
+        "id", pii.paired(F.col("g"), F.col("p")).alias("pairs"), S.strict_hits(F.col("g"), F.col("p")).alias("s"), S.relaxed_hits(F.col("g"), F.col("p")).alias("r"),
+        S.coverage(F.col("g"), F.col("p")).alias("c"), S.claim(S.empty(), F.filter("g", lambda s: s["end"] > s["start"])).alias("claimed"),
+    ).collect()
+    got = {r["id"]: r for r in sweep.with_scores(sweep.with_pairs(df, "g", "p"), "g", "p").collect()}
+    spans = {i: g for i, g, _ in full}
+    for r in folds:
+        x = got[r["id"]]
+        assert sorted(map(tuple, x["pairs"])) == sorted(map(tuple, r["pairs"]))
+        assert (x["_strict"], x["_relaxed"], x["_partly"], x["_wholly"]) == (r["s"], r["r"], r["c"]["partly"], r["c"]["wholly"])
+        assert sweep.claimed(spans[r["id"]]) == sorted(map(tuple, r["claimed"]))
+    for _, g, p in full:
+        chars = lambda a: {i for s, e, _ in a for i in range(s, e)}
+        assert sweep.Union(g).size == len(chars(g)) and sweep.Union(g).shared(sweep.Union(p)) == len(chars(g) & chars(p))
+
+
+def test_many_spans_in_one_text():
+    rnd = random.Random(5)
+    gold, predicted = (some(rnd, 20_000, 400_000) for _ in range(2))
+    nested = [(0, 10**6, "A")] + [(i, i + 3, "B") for i in range(0, 60_000, 3)]
+    began = time.time()
+    sweep.pairs(gold, predicted), sweep.relaxed_hits(gold, predicted), sweep.coverage(gold, predicted), sweep.claimed(gold), sweep.claimed(nested)
+    assert time.time() - began < 2
+
+
+def test_occurrences_count_places_of_the_text(spark):
+    df = spark.createDataFrame([("İİİ Anna ANNA a.b aXb", [("N", "anna"), ("D", "A.B"), ("S", "x")])], "t string, v array<struct<label:string,value:string>>")
+    got = df.select(S.occurrences(F.col("t"), F.col("v")).alias("s")).first()["s"]
+    assert [tuple(x) for x in got] == [(4, 8, "N"), (9, 13, "N"), (14, 17, "D")]
+    odd = spark.createDataFrame([("say \\E now", [("N", "\\E")])], "t string, v array<struct<label:string,value:string>>")
+    assert [tuple(x) for x in odd.select(S.occurrences(F.col("t"), F.col("v")).alias("s")).first()["s"]] == [(4, 6, "N")]
+
+
+# ---------------------------------------------------------------- the registered queries, by plain loops
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    """(doc, text, gold, predicted) by one search after another."""
+    found = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect():
+        gold: list = []
+        for label, p in pii.PATTERNS + pii.WORDS:
+            for m in regex.finditer(p.replace("(?iU)", "(?i)").replace("(?U)", ""), r["text"] or ""):
+                if not any(m.start() < b and a < m.end() for a, b, _ in gold):
+                    gold.append((m.start(), m.end(), label))
+        gold.sort()
+        predicted = [(a, b - 1 if a % 3 == 1 else b, x) for a, b, x in gold if a % 3]
+        found.append((r["doc_id"], r["text"] or "", gold, predicted))
+    assert sum(len(g) for _, _, g, _ in found) > 10
+    return found
+
+
+def rows(spark, name):
+    return [tuple(r) for r in registry.QUERIES[name](spark, SMALL).collect()]
+
+
+def plain_pairs(gold, predicted):
+    out, p_left, g_left = [], set(range(len(predicted))), set(range(len(gold)))
+    tests = [lambda g, p: g == p, lambda g, p: g[:2] == p[:2], lambda g, p: g[0] < p[1] and p[0] < g[1] and g[2] == p[2], lambda g, p: g[0] < p[1] and p[0] < g[1]]
+    for kind, fits in enumerate(tests):
+        for i in sorted(p_left):
+            j = next((j for j in sorted(g_left) if fits(gold[j], predicted[i])), None)
+            if j is not None:
+                p_left.remove(i)
+                g_left.remove(j)
+                out.append(kind)
+    return out, len(p_left), len(g_left)
+
+
+def covered(gold, predicted):
+    inside = {i for a, b, _ in predicted for i in range(a, b)}
+    each = [sum(i in inside for i in range(a, b)) for a, b, _ in gold]
+    return sum(c < b - a for c, (a, b, _) in zip(each, gold)), sum(c == 0 for c in each)
+
+
+def test_detected_spans(spark, texts):
+    assert sorted(rows(spark, "pii_regex_spans")) == sorted((i, *s) for i, _, g, _ in texts for s in g)
+
+
+def test_span_scores_and_labels(spark, texts):
+    ng, np_ = (sum(len(t[k]) for t in texts) for k in (2, 3))
+    strict = sum(len(set(g) & set(p)) for _, _, g, p in texts)
+    relaxed = 0
+    for _, _, g, p in texts:
+        left = list(g)
+        for s in p:
+            j = next((j for j, x in enumerate(left) if x[2] == s[2] and x[0] < s[1] and s[0] < x[1]), None)
+            if j is not None:
+                left.pop(j)
+                relaxed += 1
+    leaks = [covered(g, p) for _, _, g, p in texts]
+    want = {
+        "documents": len(texts), "gold_spans": ng, "predicted_spans": np_, "strict_tp": strict, "relaxed_tp": relaxed, "fully_masked": sum(a == 0 for a, _ in leaks),
+        "partly_unmasked": sum(a for a, _ in leaks), "wholly_unmasked": sum(b for _, b in leaks), "strict_f1": 2 * strict / (ng + np_), "relaxed_f1": 2 * relaxed / (ng + np_),
+    }
+    assert registry.QUERIES["span_scores"](spark, SMALL).first().asDict() == pytest.approx(want)
+    assert sorted(rows(spark, "leaks_per_text")) == sorted((t[0], *x) for t, x in zip(texts, leaks))
+    counts: dict = {}
+    for _, _, g, p in texts:
+        for kind, spans in (("tp", set(g) & set(p)), ("fp", set(p) - set(g)), ("fn", set(g) - set(p))):
+            for s in spans:
+                counts.setdefault(s[2], {"tp": 0, "fp": 0, "fn": 0})[kind] += 1
+    want = sorted((x, c["tp"], c["fp"], c["fn"], 2 * c["tp"] / max(1, 2 * c["tp"] + c["fp"] + c["fn"])) for x, c in counts.items())
+    assert sorted(rows(spark, "span_labels")) == want
+
+
+def test_span_errors(spark, texts):
+    counts: dict = {}
+    documents: dict = {}
+    exact = 0
+    for i, _, g, p in texts:
+        kinds, spurious, missed = plain_pairs(g, p)
+        exact += kinds.count(0)
+        for kind in [pii.PAIR_KINDS[k] for k in kinds] + ["spurious"] * spurious + ["missed"] * missed:
+            counts[kind] = counts.get(kind, 0) + 1
+            documents.setdefault(kind, set()).add(i)
+    assert dict(rows(spark, "span_errors")) == counts
+    total = sum(counts.values())
+    assert sorted(rows(spark, "span_error_summary")) == sorted((k, n, len(documents[k]), n / total) for k, n in counts.items())
+    assert rows(spark, "span_error_check") == [(exact, sum(len(set(g) & set(p)) for _, _, g, p in texts), True)]
+
+
+def test_leak_score(spark, texts):
+    scope = {"EMAIL", "CREDITCARDNUMBER", "TELEPHONENUM"}
+    mine = [([s for s in g if s[2] in scope], g, p) for _, _, g, p in texts]
+    n, leaks = sum(len(m) for m, _, _ in mine), [covered(m, p) for m, _, p in mine]
+    bounds = sum(s[:2] in {x[:2] for x in p} for m, _, p in mine for s in m)
+    right = sum(s in p for m, _, p in mine for s in m)
+    chars = lambda a: {i for s, e, _ in a for i in range(s, e)}
+    masked, personal = sum(len(chars(p)) for _, _, p in mine), sum(len(chars(p) & chars(g)) for _, g, p in mine)
+    rate = lambda a, b: a / b if b else None
+    want = (n, sum(a for a, _ in leaks), sum(b for _, b in leaks), rate(bounds, n), rate(right, bounds), rate(personal, masked))
+    got = registry.QUERIES["leak_score"](spark, SMALL).first()
+    assert tuple(got) == pytest.approx(want) if None not in want else tuple(got) == want
+
+
+def test_redacted_texts_and_paragraphs(spark, texts):
+    for i, redacted, blind in rows(spark, "redacted_texts"):
+        _, text, gold, _ = next(t for t in texts if t[0] == i)
+        put, cut = text, text
+        for a, b, label in reversed(gold):
+            put = put[:a] + ("<mail>" if label == "EMAIL" else "<removed>") + put[b:]
+            cut = cut[:a] + cut[b:]
+        assert redacted == put and blind == " ".join(cut.split())
+    want = []
+    for i, text, gold, _ in texts:
+        at = 0
+        for line in text.split("\n"):
+            if line:
+                want.append((i, at, line, sum(a >= at and b <= at + len(line) for a, b, _ in gold)))
+            at += len(line) + 1
+    assert sorted(rows(spark, "text_paragraphs")) == sorted(want)
