@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
+
 MULTIPLIER = 3.0
 
 
@@ -55,6 +57,45 @@ def blocking_reasons(dropped: DataFrame, gate: DataFrame, floors: DataFrame | No
     return over.unionByName(under)
 
 
+def promotion_reasons(
+    old: DataFrame, new: DataFrame, evidence: list[str], reports: DataFrame, regression: DataFrame | None = None, refreeze: str | None = None,
+    limits: DataFrame | None = None, floors: DataFrame | None = None,
+) -> DataFrame:
+    """Rows (subject, reason): why a manifest can't replace the old one; none where there is no old one.
+
+    old, new: (key, digest) with keys `components.<name>...` and `eval_splits.<name>`. A component that is new has moved from
+    nothing and counts for nothing. Components named in `evidence` need a report of their own, of reports (component,
+    found), all others a regression run, dropped as drops() gives it. Splits move only with a `refreeze`, and then no
+    component may. limits (task, threshold): of an enforcing gate; without one no drop blocks.
+    """
+    if not old.limit(1).count():
+        return old.sparkSession.createDataFrame([], "subject string, reason string")
+    moved = session.materialize(manifest_diff(old, new), "manifest-diff")
+    say = lambda df, subject, reason: df.select(F.col(subject).alias("subject"), F.lit(reason).alias("reason"))
+    name = F.split("key", r"\.")[1]
+    models = moved.where(F.col("key").startswith("components.") & F.col("old").isNotNull()).withColumn("component", name)
+    splits = moved.where(F.col("key").startswith("eval_splits."))
+    own = F.col("component").isin(evidence) if evidence else F.lit(False)
+    told = models.where(own).select("component").distinct().join(reports, "component", "left")
+    out = say(told.where("found is null"), "component", "moved without a report")
+    out = out.unionByName(say(told.where("not found"), "component", "its report does not exist"))
+    if regression is None:
+        out = out.unionByName(say(models.where(~own), "key", "moved without a regression run"))
+    if refreeze is None:
+        out = out.unionByName(say(splits, "key", "split moved without a refreeze"))
+    elif not splits.limit(1).count():
+        out = out.unionByName(say(old.sparkSession.createDataFrame([(refreeze,)], "r string"), "r", "refreeze without a moved split"))
+    else:
+        out = out.unionByName(say(models, "key", "moved in a refreeze"))
+    if regression is not None:
+        if limits is not None:
+            out = out.unionByName(blocking_reasons(regression, limits).select(F.col("task").alias("subject"), "reason"))
+        if floors is not None:
+            none = regression.select("task", F.lit(None).cast("double").alias("threshold")).limit(0)
+            out = out.unionByName(blocking_reasons(regression, none, floors).select(F.col("task").alias("subject"), "reason"))
+    return out
+
+
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both: (key, digest). Rows (key, old, new) that differ, absent ones as null."""
     a, b = old.select("key", F.col("digest").alias("old")), new.select("key", F.col("digest").alias("new"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +89,7 @@ def grade_agreement(df: DataFrame, teacher: str, student: str, low: int = 1, hig
     )
 
 
-def paired_comparison(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
+def paired_comparison(df: DataFrame, a: str, b: str, least: int = 10, detail: bool = False) -> DataFrame:
     """One row: n, mean_diff, higher, lower, tied, and the signed-rank statistic w_plus with its normal
     approximation z (ties corrected); both null with fewer than `least` differences other than zero."""
     d = df.select((F.col(a) - F.col(b)).cast("double").alias("d")).where("d is not null")
@@ -104,8 +106,44 @@ def paired_comparison(df: DataFrame, a: str, b: str, least: int = 10) -> DataFra
     z = F.try_divide(F.col("w_plus") - k * (k + 1) / 4, F.sqrt(var))
     enough = F.col("k") >= least
     return shares.crossJoin(t).select(
-        "n", "mean_diff", "higher", "lower", "tied", F.when(enough, F.col("w_plus")).alias("w_plus"), F.when(enough, z).alias("z")
-    )
+        "n", "mean_diff", "higher", "lower", "tied", F.when(enough, F.col("w_plus")).alias("w_plus"), F.when(enough, z).alias("z"),
+        *([F.coalesce("k", F.lit(0)).alias("nonzero"), F.coalesce("ties", F.lit(0.0)).alias("ties")] if detail else []),
+    )
+
+
+#: The most differences for which rank sums are counted one by one.
+EXACT = 50
+
+
+def rank_sum_counts(n: int) -> list[int]:
+    """How many of the 2 ** n choices of signs give each sum of positive ranks 1..n, from 0 on."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        longer = ways + [0] * rank
+        for total, count in enumerate(ways):
+            longer[total + rank] += count
+        ways = longer
+    return ways
+
+
+def signed_rank_p(n: int, w_plus: float, ties: float, z: float | None) -> float | None:
+    """The two-sided p-value of a sum of positive ranks: exact without ties up to EXACT differences, else from the normal
+    approximation z with its correction for ties."""
+    if n <= EXACT and not ties:
+        ways = rank_sum_counts(n)
+        least = int(min(w_plus, n * (n + 1) // 2 - w_plus))
+        return min(1.0, 2 * sum(ways[: least + 1]) / 2**n)
+    return None if z is None else math.erfc(abs(z) / math.sqrt(2))
+
+
+def signed_rank(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
+    """paired_comparison with nonzero, how many differences aren't zero, and p; p is null where w_plus is. One row, which the
+    driver sees."""
+    row = paired_comparison(df, a, b, least, detail=True).first()
+    p = None if row["w_plus"] is None else signed_rank_p(row["nonzero"], row["w_plus"], row["ties"], row["z"])
+    kept = [c for c in row.asDict() if c != "ties"]
+    kinds = ", ".join(f"{c} {'long' if c in ('n', 'nonzero') else 'double'}" for c in kept)
+    return df.sparkSession.createDataFrame([(*[row[c] for c in kept], p)], f"{kinds}, p double")
 
 
 def lower_index_quantile(df: DataFrame, column: str, q: float, group: list[str], name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import judging
+from ..operators import judging, quantiles
 from ..sources.tables import table
 from .base import GRADES, PAIRS, PREDICTIONS, REQUESTS, TURNS, grades, pairs, predictions, turns
 from .registry import query
@@ -193,7 +193,7 @@ def parsed_answers(spark, d):
 
 
 @query("""WITH t AS (SELECT 'benchmark' AS task, text, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark
-UNION ALL SELECT 'pages', url, row_number() OVER (ORDER BY page_id) - 1 FROM pages) SELECT 'golden-' || task || '-' || lpad(p::VARCHAR, 4, '0') AS item_id, task, text FROM t""")
+UNION ALL SELECT 'pages', url, row_number() OVER (ORDER BY page_id) - 1 FROM pages) SELECT 'golden-' || task || '-' || CASE WHEN p < 10000 THEN lpad(p::VARCHAR, 4, '0') ELSE p::VARCHAR END AS item_id, task, text FROM t""")
 def golden_plan(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").alias("item_id"), F.col("url").alias("text"))
     return judging.golden_plan({"benchmark": table(spark, d, "benchmark"), "pages": pages}, "text", "item_id")
@@ -218,8 +218,20 @@ def graded_from_two(spark, d):
 
 @query(f"{P} SELECT task, quantile_cont(n_chars::DOUBLE, 0.9) AS threshold FROM pairs GROUP BY task")
 def pinned_thresholds(spark, d):
-    again = pairs(spark, d).groupBy("task").agg(F.percentile("n_chars", 0.9).alias("threshold"))
-    return judging.pinned(again, again, "task", "threshold")
+    """Pins fitted by selection, confirmed by a fit from a full order of each task."""
+    rows = pairs(spark, d)
+    fitted = lambda limit: quantiles.exact(rows, "n_chars", [0.9], ["task"], limit=limit).select("task", F.col("q")[0].alias("threshold"))
+    return judging.pinned(fitted(0), fitted(quantiles.LIMIT), "task", "threshold")
+
+
+@query(f"""{P}, a AS (SELECT task, quantile_cont(n_chars::DOUBLE, 0.9) AS pinned FROM pairs WHERE pair_id % 2 = 0 GROUP BY task),
+b AS (SELECT task, quantile_cont(n_chars::DOUBLE, 0.9) AS again FROM pairs GROUP BY task) SELECT task, pinned, again, pinned IS DISTINCT FROM again AS moved FROM a FULL JOIN b USING (task)""")
+def threshold_drift(spark, d):
+    """Thresholds pinned on half of the pairs beside those of all: `pinned` refuses the ones that moved."""
+    fit = lambda rows, name: quantiles.exact(rows, "n_chars", [0.9], ["task"]).select("task", F.col("q")[0].alias(name))
+    p = pairs(spark, d)
+    both = fit(p.where("pair_id % 2 = 0"), "pinned").join(fit(p, "again"), "task", "full")
+    return both.withColumn("moved", ~F.col("pinned").eqNullSafe(F.col("again")))
 
 
 KIND = "CASE n_chars % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'grade' ELSE 'spans' END"

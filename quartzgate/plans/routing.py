@@ -255,6 +255,37 @@ def manifest_diff(spark, d):
     return gate.manifest_diff(old, s.where("s_suppkey % 7 <> 0").select("key", changed.alias("digest")))
 
 
+PARTS = """WITH parts AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'eval_splits.e' ELSE 'components.c' END || s_suppkey AS key, md5(s_name) AS d FROM supplier),
+old AS (SELECT key, d AS digest FROM parts WHERE k % 5 <> 0), new AS (SELECT key, CASE WHEN k % 4 = 0 THEN md5(d) ELSE d END AS digest FROM parts WHERE k % 7 <> 0),
+moved AS (SELECT key, old.digest AS was, split_part(key, '.', 2) AS component FROM old FULL JOIN new USING (key) WHERE old.digest IS DISTINCT FROM new.digest),
+models AS (SELECT * FROM moved WHERE key LIKE 'components.%' AND was IS NOT NULL), splits AS (SELECT * FROM moved WHERE key LIKE 'eval_splits.%'),
+own AS (SELECT 'c' || k AS component FROM parts WHERE k < 100 AND k % 2 = 0), reports AS (SELECT 'c' || k AS component, k % 3 <> 1 AS found FROM parts WHERE k % 8 = 4 AND k < 100),
+told AS (SELECT DISTINCT m.component, r.found FROM models m JOIN own USING (component) LEFT JOIN reports r USING (component)),
+reported AS (SELECT component AS subject, CASE WHEN found IS NULL THEN 'moved without a report' ELSE 'its report does not exist' END AS reason FROM told WHERE found IS NULL OR NOT found)"""
+
+
+def _promotion(spark, d, **more):
+    k = F.col("s_suppkey")
+    parts = table(spark, d, "supplier").select(
+        k.alias("k"), F.concat(F.when(k % 3 == 0, "eval_splits.e").otherwise("components.c"), k.cast("string")).alias("key"), F.md5("s_name").alias("digest")
+    )
+    new = parts.where("k % 7 <> 0").select("key", F.when(F.col("k") % 4 == 0, F.md5("digest")).otherwise(F.col("digest")).alias("digest"))
+    reports = parts.where("k % 8 = 4 and k < 100").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("component"), (F.col("k") % 3 != 1).alias("found"))
+    return gate.promotion_reasons(parts.where("k % 5 <> 0").select("key", "digest"), new, [f"c{i}" for i in range(2, 100, 2)], reports, **more)
+
+
+@query(f"""{PARTS} SELECT * FROM reported UNION ALL SELECT key, 'moved without a regression run' FROM models WHERE component NOT IN (SELECT component FROM own)
+UNION ALL SELECT key, 'split moved without a refreeze' FROM splits""")
+def moved_manifest_reasons(spark, d):
+    return _promotion(spark, d)
+
+
+@query(f"""{PARTS} SELECT * FROM reported UNION ALL SELECT key, 'moved without a regression run' FROM models WHERE component NOT IN (SELECT component FROM own)
+UNION ALL SELECT key, 'moved in a refreeze' FROM models""")
+def refreeze_reasons(spark, d):
+    return _promotion(spark, d, refreeze="D1")
+
+
 @query("""WITH p AS (SELECT s_suppkey AS repo, 'r1' AS revision, md5(s_name) AS digest FROM supplier),
 o AS (SELECT s_suppkey AS repo, 'r1' AS revision, CASE WHEN s_suppkey % 4 = 0 THEN 'x' ELSE md5(s_name) END AS digest,
   CASE WHEN s_suppkey % 3 = 0 THEN 'r2' ELSE 'r1' END AS main FROM supplier WHERE s_suppkey % 5 <> 0)

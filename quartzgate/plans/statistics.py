@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bootstrap, features, judging, metrics, models
+from ..operators import bootstrap, features, judging, metrics, models, overlap
 from ..sources.tables import spread, table
 from .base import GRADES, PAIRS, PREDICTIONS, TURNS, grades, pairs, predictions, turns
 from .registry import query
@@ -94,6 +94,27 @@ def paired_win_rate(spark, d):
     return metrics.paired_comparison(grades(spark, d), "teacher", "student")
 
 
+def signed_rank_test(spark, d):
+    """paired_win_rate with the p-value of its signed ranks."""
+    return metrics.signed_rank(grades(spark, d), "teacher", "student")
+
+
+query()(signed_rank_test)
+
+
+@query("""WITH s AS (SELECT l_suppkey AS k, date_diff('day', TIMESTAMP '1990-01-01', l_shipdate)::BIGINT AS start, l_returnflag AS flag, CASE WHEN l_linenumber = 7 THEN 900 ELSE l_quantity::BIGINT END AS days FROM lineitem)
+SELECT a.k AS l_suppkey, count(*) AS pairs, sum(least(a.start + a.days, b.start + b.days) - greatest(a.start, b.start))::BIGINT AS days FROM s a JOIN s b
+ON a.k = b.k AND a.start < b.start + b.days AND b.start < a.start + a.days WHERE a.flag = 'R' AND b.flag = 'A' GROUP BY a.k""")
+def overlapping_shipments(spark, d):
+    """Per supplier the pairs of returned and accepted lines that are under way at once, a line for as many days as it has pieces."""
+    start = F.date_diff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    days = F.when(F.col("l_linenumber") == 7, 900).otherwise(F.col("l_quantity").cast("long"))
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", start.alias("s"), (start + days).alias("e"))
+    side = lambda flag, x: lines.where(F.col("l_returnflag") == flag).select("l_suppkey", F.col("s").alias(f"{x}s"), F.col("e").alias(f"{x}e"))
+    met = overlap.overlapping(side("R", "a"), side("A", "b"), ["l_suppkey"], ("as", "ae"), ("bs", "be"), 16)
+    return met.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum(F.least("ae", "be") - F.greatest("as", "bs")).alias("days"))
+
+
 @query(f"""WITH {TURNS}, {GRADES} SELECT count(*) AS n, avg((student < 2)::INT) FILTER (WHERE teacher < 3) AS flag_rate_wrong,
 avg((student < 2)::INT) FILTER (WHERE NOT teacher < 3) AS flag_rate_right FROM grades""")
 def usefulness(spark, d):
