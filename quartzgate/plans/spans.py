@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import spans as S
 from ..functions import text as T
-from ..operators import pii
+from ..operators import pii, span_reports
 from ..sources.tables import spread, table
 from .registry import query
 
@@ -107,6 +108,59 @@ def relabelling_effect(spark, d):
     return pii.relabelling_effect(scored(spark, d), "gold", "predicted")
 
 
+def _errors(spark, d):
+    lost = F.array().cast("array<struct<label:string,value:string,why:string>>")
+    docs = session.materialize(scored(spark, d).withColumn("unplaced", lost), "span-errors")
+    return docs, session.materialize(pii.errors(docs), "span-error-rows")
+
+
+@query()
+def error_totals(spark, d):
+    return span_reports.totals(span_reports.documents(*_errors(spark, d)))
+
+
+@query()
+def error_causes(spark, d):
+    return span_reports.by_cause(span_reports.documents(*_errors(spark, d)))
+
+
+@query()
+def error_labels(spark, d):
+    return span_reports.by_label(_errors(spark, d)[1])
+
+
+@query()
+def error_confusions(spark, d):
+    return span_reports.confusions(_errors(spark, d)[1])
+
+
+@query()
+def error_bounds(spark, d):
+    return span_reports.bounds_and_groups(_errors(spark, d)[1])
+
+
+@query()
+def success_by_size(spark, d):
+    return span_reports.success_by_size(span_reports.documents(*_errors(spark, d)))
+
+
+SCOPE = {"EMAIL": "in", "CREDITCARDNUMBER": "in", "TELEPHONENUM": "in", "DATE": "out", "ZIPCODE": "out"}
+
+
+def _scoped(spark, d):
+    return span_reports.with_scopes(scored(spark, d), "gold", "predicted", SCOPE)
+
+
+@query()
+def leak_report(spark, d):
+    return span_reports.leak_report(_scoped(spark, d), F.length("text") % 3 == 0)
+
+
+@query()
+def leaks_by_label(spark, d):
+    return span_reports.leaks_by_label(_scoped(spark, d))
+
+
 SCREEN = r"""WITH t AS (SELECT conv_id, turn, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM conversations),
 parts AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(s, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1))) AS p FROM t),
 w AS (SELECT conv_id, turn, bool_or(len(list_filter(regexp_extract_all(p, '[A-Za-z][A-Za-z''\-]*')[2:], lambda x: regexp_matches(x, '^[A-Z]') AND x <> 'I' AND x <> upper(x))) > 0) AS named FROM parts GROUP BY ALL)
