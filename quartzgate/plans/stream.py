@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, online
+from .. import session
+from ..operators import metrics, online, served
 from ..sources.tables import table
 from ..streaming import live
 from .base import REQUESTS
@@ -127,3 +128,62 @@ def rate_budget(spark, d):
 @query()
 def stream_budget(spark, d):
     return live.stored(live.budget(live.read(spark, d), 2, 3), "budget")
+
+
+RUN = f"""{REQUESTS}, run AS (
+  SELECT request_id, task, CASE WHEN request_id % 19 = 0 THEN 'timeout' END AS http_error, route, CASE request_id % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'frontier' WHEN 2 THEN 'frontier' ELSE 'local' END AS served_by,
+    CASE WHEN request_id % 17 = 0 THEN 'status 5' || (request_id % 3) || repeat('x', 70) || request_id END AS frontier_error, latency_ms AS server_ms, latency_ms + request_id % 5 AS client_ms,
+    (request_id % 13) / 1e6 AS cost_usd, CASE WHEN request_id % 23 <> 0 THEN latency_ms / 10 END AS score, request_id % 3 <> 0 AS served_success, -(request_id % 11) / 2e0 AS recorded_logprob,
+    latency_ms > 50 AS recorded_escalated, latency_ms > 40 AS recorded_at_threshold, request_id % 4 <> 0 AS recorded_local, request_id % 5 <> 0 AS recorded_frontier FROM requests)"""
+
+
+def _run(spark, d):
+    k = F.col("request_id")
+    long_name = F.concat(F.lit("status 5"), (k % 3).cast("string"), F.repeat(F.lit("x"), F.lit(70)), k.cast("string"))
+    return requests(spark, d).select(
+        k, "task", F.when(k % 19 == 0, "timeout").alias("http_error"), "route",
+        F.when(k % 7 == 0, "none").when((k % 7).isin(1, 2), "frontier").otherwise("local").alias("served_by"), F.when(k % 17 == 0, long_name).alias("frontier_error"),
+        F.col("latency_ms").alias("server_ms"), (F.col("latency_ms") + k % 5).alias("client_ms"), ((k % 13) / 1e6).alias("cost_usd"),
+        F.when(k % 23 != 0, F.col("latency_ms") / 10).alias("score"), (k % 3 != 0).alias("served_success"), (-(k % 11) / 2.0).alias("recorded_logprob"),
+        (F.col("latency_ms") > 50).alias("recorded_escalated"), (F.col("latency_ms") > 40).alias("recorded_at_threshold"), (k % 4 != 0).alias("recorded_local"),
+        (k % 5 != 0).alias("recorded_frontier"),
+    )
+
+
+OK = "http_error IS NULL"
+
+
+@query(f"""WITH {RUN} SELECT count(*) AS requests, count(http_error) AS http_errors, avg((route = 'escalated')::INT) FILTER (WHERE {OK}) AS escalation_rate,
+avg((route = 'fallback')::INT) FILTER (WHERE {OK}) AS fallback_rate, count(*) FILTER (WHERE {OK} AND served_by = 'none') AS unanswered, count(frontier_error) FILTER (WHERE {OK}) AS frontier_errors,
+avg((served_by = 'frontier')::INT) FILTER (WHERE {OK}) AS frontier_served_rate, sum(cost_usd) AS cost_usd, sum(cost_usd) / count(*) * 1000 AS cost_per_1k_usd,
+quantile_cont(client_ms, 0.5) AS client_p50_ms, quantile_cont(client_ms, 0.95) AS client_p95_ms, quantile_cont(server_ms, 0.95) FILTER (WHERE {OK} AND served_by = 'frontier') AS frontier_p95_ms FROM run""")
+def run_totals(spark, d):
+    return served.totals(_run(spark, d))
+
+
+@query(f"""WITH {RUN} SELECT substr(frontier_error, 1, 60) AS kind, count(*) AS n FROM run WHERE {OK} AND frontier_error IS NOT NULL GROUP BY 1 ORDER BY n DESC, kind LIMIT 5""")
+def run_error_kinds(spark, d):
+    return served.error_kinds(_run(spark, d))
+
+
+@query(f"""WITH {RUN} SELECT count(*) AS pairs, avg(served_success::INT) AS served_success, avg(CASE WHEN served_by = 'frontier' THEN recorded_frontier ELSE recorded_local END::INT) AS recorded_success_as_served,
+avg(CASE WHEN recorded_escalated THEN recorded_frontier ELSE recorded_local END::INT) AS curve_success, avg(CASE WHEN recorded_at_threshold THEN recorded_frontier ELSE recorded_local END::INT) AS recorded_success_at_threshold,
+avg(recorded_local::INT) AS local_only_success FROM run WHERE task IN ('t0', 't2')""")
+def run_graded(spark, d):
+    return served.graded(_run(spark, d), ["t0", "t2"])
+
+
+@query(f"""WITH {RUN}, s AS (SELECT *, route = 'escalated' AS live, -recorded_logprob AS r FROM run WHERE {OK} AND score IS NOT NULL),
+k AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS a, rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2e0 AS b FROM s)
+SELECT count(*) AS pairs_compared, avg((live = recorded_at_threshold)::INT) AS same_decision, count(*) FILTER (WHERE live AND NOT recorded_at_threshold) AS live_not_recorded,
+count(*) FILTER (WHERE NOT live AND recorded_at_threshold) AS recorded_not_live, corr(a, b) AS spearman, median(abs(score - r)) AS median_difference FROM k""")
+def run_decisions(spark, d):
+    return served.decisions(_run(spark, d))
+
+
+@query(f"""WITH {RUN} SELECT task, count(*) AS pairs, avg((route = 'escalated')::INT) FILTER (WHERE {OK}) AS escalation_rate, avg(recorded_escalated::INT) AS curve_escalation_rate,
+avg(recorded_at_threshold::INT) AS threshold_escalation_rate, avg((route = 'fallback')::INT) FILTER (WHERE {OK}) AS fallback_rate, avg(served_success::INT) AS served_success,
+avg(recorded_local::INT) AS local_only_success, quantile_cont(client_ms, 0.95) AS client_p95_ms FROM run GROUP BY task""")
+def run_by_task(spark, d):
+    """From the run's stored rows, read again: a summary made anew, with nothing sent."""
+    return served.by_task(session.materialize(_run(spark, d), "run"))
