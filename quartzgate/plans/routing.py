@@ -281,7 +281,7 @@ def moved_manifest_reasons(spark, d):
 
 
 @query(f"""{PARTS} SELECT * FROM reported UNION ALL SELECT key, 'moved without a regression run' FROM models WHERE component NOT IN (SELECT component FROM own)
-UNION ALL SELECT key, 'moved in a refreeze' FROM models""")
+UNION ALL SELECT key, 'moved in a refreeze' FROM models WHERE EXISTS (FROM splits) UNION ALL SELECT 'D1', 'refreeze without a moved split' WHERE NOT EXISTS (FROM splits)""")
 def refreeze_reasons(spark, d):
     return _promotion(spark, d, refreeze="D1")
 
