@@ -1,7 +1,7 @@
 """Bootstrap intervals, in two ways.
 
 resamples draws rows from a hash that every engine computes alike: draw d of replicate r picks the row whose index is a
-hash of (r, d, seed) modulo n. Draws are generated where they are joined, R * n small rows, so it suits few replicates.
+hash of (r, d, seed) modulo n. Draws are generated beside the rows and joined, R * n small rows, so it suits few replicates.
 
 The functions that end in _by_weights give each row a Poisson weight for each replicate, from a hash of its key, next to
 the row: nothing is joined or indexed, tasks add up one array for all replicates, and any number of rows will do. A
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import session
+from ..sources.tables import spread
 from . import models, ranking
 
 #: Rows and replicates whose weights are a matrix at a time.
@@ -30,19 +31,28 @@ def drawn(n: Column, replicate: Column, draw: Column, seed: int) -> Column:
     return F.pmod(F.conv(digest, 16, 10).cast("long"), n.cast("long"))
 
 
+def _draws(df: DataFrame, key: str, replicates: int, seed: int, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(`df` with each row's index `_i` in its group, (group, replicate, _i) of each draw). Draws are made beside the indexed
+    rows, one for each row and replicate, so tasks share them; both sides are far larger than Spark takes the draws to be."""
+    ordered = df.withColumn("_k", -F.col(key).cast("double"))
+    indexed = ranking.ranked(ordered, "_k", key, group, "_i").withColumn("_i", F.col("_i").cast("long") - 1).drop("_k")
+    indexed = session.materialize(indexed, "bootstrap-rows")
+    sizes = indexed.groupBy(*group).agg(F.count("*").alias("_n"))
+    places = spread(indexed.select(*group, F.col("_i").alias("_d")))
+    sized = places.join(sizes, group) if group else places.crossJoin(F.broadcast(sizes))  # one row
+    draws = sized.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = draws.withColumn("_i", drawn(F.col("_n"), F.concat_ws(":", *group, F.col("replicate").cast("string")), F.col("_d"), seed))
+    return indexed, draws.select(*group, "replicate", "_i")
+
+
 def resamples(df: DataFrame, key: str, replicates: int, seed: int, group: list[str] | None = None) -> DataFrame:
     """`df` rows with `replicate`: each replicate holds as many rows of each group as `df` has.
 
     Rows are indexed by a numeric key, with or without groups in no single task.
     """
     group = group or []
-    ordered = df.withColumn("_k", -F.col(key).cast("double"))
-    indexed = ranking.ranked(ordered, "_k", key, group, "_i").withColumn("_i", F.col("_i").cast("long") - 1).drop("_k")
-    sizes = indexed.groupBy(*group).agg(F.count("*").alias("_n"))
-    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    draws = draws.withColumn("_i", drawn(F.col("_n"), F.concat_ws(":", *group, F.col("replicate").cast("string")), F.col("_d"), seed))
-    return draws.select(*group, "replicate", "_i").join(indexed, [*group, "_i"]).drop("_i")
+    indexed, draws = _draws(df, key, replicates, seed, group)
+    return draws.join(indexed.hint("shuffle_hash"), [*group, "_i"]).drop("_i")
 
 
 def interval(per_replicate: DataFrame, value: str, level: float = 0.95) -> DataFrame:

@@ -74,3 +74,38 @@ def test_empty_tables_have_no_interval(spark):
     _, df = frame(spark, 10)
     assert bootstrap.mean_difference_by_weights(df.limit(0), "k", "d", 20).first()["replicates"] == 0
     assert bootstrap.paired_quality_by_weights(df.limit(0), "k", ("s", "t"), 0.2, 20).first()["low"] is None
+
+
+def _plain_draws(keys, replicates, prefix=""):
+    import hashlib
+
+    n = len(keys)
+    draw = lambda r, d: int(hashlib.md5(f"{prefix}{r}|{d}|0".encode()).hexdigest()[:8], 16) % n
+    return [[sorted(keys)[draw(r, d)] for d in range(n)] for r in range(replicates)]
+
+
+def _broadcast_sides(df):
+    """The plan below each broadcast, by lines."""
+    import re
+
+    lines = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    depth = lambda x: len(re.match(r"[\s:+\-]*", x)[0])
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = lines[i + 1 :]
+            end = next((j for j, x in enumerate(below) if depth(x) <= depth(line)), len(below))
+            yield "\n".join(below[:end])
+
+
+def test_draws_are_neither_broadcast_nor_made_in_one_task(spark):
+    rows, df = frame(spark)
+    drawn = bootstrap.resamples(df, "k", 5, 0)
+    drawn.collect()
+    assert not any("Generate explode" in x for x in _broadcast_sides(drawn))
+    got = {}
+    for r in drawn.collect():
+        got.setdefault(r["replicate"], []).append(r["k"])
+    want = _plain_draws([r[0] for r in rows], 5)
+    assert {r: sorted(v) for r, v in got.items()} == {r: sorted(v) for r, v in enumerate(want)}
+    made = bootstrap._draws(df, "k", 5, 0, [])[1]
+    assert sum(n > 0 for n in made.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) > 1
