@@ -23,6 +23,8 @@ from . import models, ranking
 
 #: Rows and replicates whose weights are a matrix at a time.
 ROWS, REPLICATES = 4096, 1024
+#: Ranks of a run that a replicate's budget may cut.
+RUN = 50_000
 
 
 def drawn(n: Column, replicate: Column, draw: Column, seed: int) -> Column:
@@ -69,20 +71,48 @@ def ratio_difference(df: DataFrame, key: str, a: str, b: str, base: str, replica
 
 def paired_quality(df: DataFrame, key: str, policies: tuple[str, str], budget: float, replicates: int = 200, seed: int = 0) -> DataFrame:
     """One row: the interval of the quality of one score column's escalations less another's, resampled within tasks,
-    the budget applied anew to each replicate. Ranks are per replicate, so replicates spread over tasks."""
-    drawn_rows = resamples(df, key, replicates, seed, ["task"])
-    sides = []
+    the budget applied anew to each replicate.
+
+    Rows are ranked once by each score and cut into runs; a replicate's copies are counted by run, and only the run in which
+    its budget ends is put in order."""
+    held = df.select(key, "task", *dict.fromkeys(policies), F.col("frontier_success").cast("int").alias("_up"), F.col("success").cast("int").alias("_down"))
     for i, score in enumerate(policies):
-        w = Window.partitionBy("replicate").orderBy(F.col(score).desc_nulls_last(), key, "_copy")
-        copies = drawn_rows.withColumn("_copy", F.row_number().over(Window.partitionBy("replicate", key).orderBy(F.lit(0))))
-        ranked = copies.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("replicate")))
-        up = F.col("_r") <= F.bround(F.col("_n") * budget)
-        outcome = F.when(up, F.col("frontier_success")).otherwise(F.col("success")).cast("int")
-        sides.append(ranked.groupBy("replicate").agg(F.avg(outcome).alias(f"q{i}")))
+        held = ranking.running(held, score, [], {f"_r{i}": F.lit(1)}, [key])
+    indexed, draws = _draws(held.drop(*(set(policies) - {key})), key, replicates, seed, ["task"])
+    counted = draws.groupBy("task", "replicate", "_i").agg(F.count("*").alias("_c"))
+    copies = counted.join(indexed.hint("shuffle_hash"), ["task", "_i"])
+    copies = session.materialize(copies.select("replicate", "_c", "_up", "_down", *[f"_r{i}" for i in range(len(policies))]), "bootstrap-copies")
+    sides = [_quality(copies, f"_r{i}", budget).withColumnRenamed("q", f"q{i}") for i in range(len(policies))]
     both = sides[0].join(sides[1], "replicate").withColumn("d", F.col("q0") - F.col("q1"))
     return interval(both, "d")
 
 
+def _quality(copies: DataFrame, rank: str, budget: float) -> DataFrame:
+    """Rows (replicate, q): the mean outcome when the first bround(budget * size) copies by `rank` are escalated. copies: rows
+    (replicate, _c, _up, _down, rank), each for _c equal copies; null outcomes don't count."""
+    runs = F.floor((F.col(rank) - 1) / RUN).alias("_run")
+    n = lambda x: F.sum(F.when(F.col(x).isNotNull(), F.col("_c")).otherwise(0))
+    total = lambda x: F.coalesce(F.sum(F.col("_c") * F.col(x)), F.lit(0))
+    each = copies.groupBy("replicate", runs).agg(F.sum("_c").alias("_size"), *[f(x).alias(f"{name}{x}") for x in ("_up", "_down") for name, f in (("n", n), ("s", total))])
+    w = Window.partitionBy("replicate")
+    placed = each.withColumn("_upto", F.sum("_size").over(w.orderBy("_run"))).withColumn("_wanted", F.bround(F.sum("_size").over(w) * budget))
+    side = F.when(F.col("_upto") <= F.col("_wanted"), F.lit("_up")).when(F.col("_upto") - F.col("_size") >= F.col("_wanted"), F.lit("_down"))
+    placed = placed.withColumn("_side", side)
+    pick = lambda name: F.when(F.col("_side") == "_up", F.col(f"{name}_up")).otherwise(F.col(f"{name}_down"))
+    sure = placed.where("_side is not null").select("replicate", pick("s").alias("_s"), pick("n").alias("_n"))
+    # a run for each replicate at most
+    cut = placed.where("_side is null").select("replicate", "_run", (F.col("_wanted") - F.col("_upto") + F.col("_size")).alias("_rest"))
+    open_ = copies.withColumn("_run", runs).join(F.broadcast(cut), ["replicate", "_run"])
+    before = F.sum("_c").over(Window.partitionBy("replicate").orderBy(rank)) - F.col("_c")
+    gone = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_rest") - before))
+    split = open_.withColumn("_gone", gone.cast("long")).withColumn("_stay", F.col("_c") - F.col("_gone"))
+    known = lambda c, x: F.when(F.col(x).isNotNull(), F.col(c)).otherwise(0)
+    value = lambda c, x: F.col(c) * F.coalesce(F.col(x), F.lit(0))
+    rest = split.select("replicate", (value("_gone", "_up") + value("_stay", "_down")).alias("_s"), (known("_gone", "_up") + known("_stay", "_down")).alias("_n"))
+    sums = sure.unionByName(rest).groupBy("replicate").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return sums.select("replicate", F.try_divide(F.col("_s").cast("double"), F.col("_n")).alias("q"))
+
+
 def mean_difference(df: DataFrame, key: str, difference: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
     """One row: the interval of the mean of a difference that each row has."""
     r = resamples(df, key, replicates, seed).groupBy("replicate").agg(F.avg(difference).alias("d"))

@@ -109,3 +109,23 @@ def test_draws_are_neither_broadcast_nor_made_in_one_task(spark):
     assert {r: sorted(v) for r, v in got.items()} == {r: sorted(v) for r, v in enumerate(want)}
     made = bootstrap._draws(df, "k", 5, 0, [])[1]
     assert sum(n > 0 for n in made.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) > 1
+
+
+def test_paired_quality_equals_a_plain_loop_for_any_run(spark, monkeypatch):
+    rows, _ = frame(spark, 200)
+    rows = [(*r[:4], None if r[0] % 17 == 0 else r[4], None if r[0] % 23 == 0 else r[5], *r[6:]) for r in rows]
+    df = spark.createDataFrame(rows, "k long, task string, d double, base double, success boolean, frontier_success boolean, s double, t double").repartition(6)
+    by = {r[0]: r for r in rows}
+    parts = [_plain_draws([k for k in by if by[k][1] == x], 20, f"{x}:") for x in "ab"]
+    d = []
+    for one in map(sum, zip(*parts), [[]] * 20):
+        q = []
+        for score in (6, 7):
+            order = sorted(one, key=lambda k: (-by[k][score], k))
+            out = [by[k][5 if i < round(len(order) * 0.2) else 4] for i, k in enumerate(order)]
+            q.append(np.mean([x for x in out if x is not None]))
+        d.append(q[0] - q[1])
+    for run in (7, 50_000):
+        monkeypatch.setattr(bootstrap, "RUN", run)
+        row = bootstrap.paired_quality(df, "k", ("s", "t"), 0.2, 20).first()
+        assert row["replicates"] == 20 and [row["low"], row["high"]] == pytest.approx(np.percentile(d, [2.5, 97.5]).tolist(), abs=1e-12)
