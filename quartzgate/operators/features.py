@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import session
 from . import models, quantiles
 
-#: Terms of a block that are held as a matrix at a time.
-COLUMNS = 8192
+#: Terms of a block that are held as a matrix at a time, and vectors whose cosines with a block are.
+COLUMNS, SLICE = 8192, 512
 
 
 def word_grams(text: Column) -> Column:
@@ -101,10 +101,10 @@ def nearest_mean(queries: DataFrame, train: DataFrame, k: int = 5, block: int =
     return mean.select(F.from_json("key", f"id {kind}")["id"].alias("id"), "similarity")
 
 
-def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
-    """queries, rows: (id, v). Rows (id, similarity): the mean cosine of the k nearest among all other ids, ties by id.
-    Blocks of queries meet blocks of rows, and each meeting gives at most k rows for a query. Null vectors and ids, and
-    vectors that are zero or not finite, take no part; a query with fewer neighbours has the mean of those."""
+def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
+    """queries, rows: (id, v). Rows (id, similarity): the mean cosine of the k nearest among all other ids. Blocks of queries
+    meet blocks of rows as matrices, SLICE queries at a time, and each meeting gives at most k cosines for a query. Null vectors and
+    ids, and vectors that are zero or not finite, take no part; a query with fewer neighbours has the mean of those."""
     import numpy as np
     import pandas as pd
 
@@ -121,13 +121,17 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int
         return ids.to_numpy(np.int64)[good], v[good]
 
     def meet(key, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": [], "t": [], "s": []})]
+        out = [pd.DataFrame({"id": pd.Series(dtype="int64"), "s": pd.Series(dtype=float)})]
         if len(mine) and len(others):
             (ids, q), (ts, v) = unit(mine["id"], mine["v"]), unit(others["t"], others["u"])
-            for i, s in zip(ids, q @ v.T):
-                s, t = s[ts != i], ts[ts != i]
-                best = np.lexsort((t, -s))[:k]
-                out.append(pd.DataFrame({"id": i, "t": t[best], "s": s[best]}))
+            m = min(k, len(ts))
+            for at in range(0, len(ids) if m else 0, SLICE):
+                own, s = ids[at : at + SLICE], q[at : at + SLICE] @ v.T
+                for i in np.flatnonzero(np.isin(own, ts)):
+                    s[i, ts == own[i]] = -np.inf
+                s.partition(len(ts) - m, axis=1)
+                i, j = np.nonzero(s[:, len(ts) - m :] > -np.inf)
+                out.append(pd.DataFrame({"id": own[i], "s": s[i, j + len(ts) - m]}))
         return pd.concat(out)
 
     asked, held = blocks(queries, "_q"), blocks(rows, "_r")
@@ -136,8 +140,8 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int
     # each block is sent once for each block of the other side
     left = own(asked.crossJoin(F.broadcast(r)), ("id", "id"), ("v", "v"), ("_q", "_i"), ("_b", "_j")).groupBy("_i", "_j")
     right = own(held.crossJoin(F.broadcast(q)), ("id", "t"), ("v", "u"), ("_b", "_k"), ("_r", "_l")).groupBy("_k", "_l")
-    near = left.cogroup(right).applyInPandas(meet, "id long, t long, s double")
-    w = Window.partitionBy("id").orderBy(F.desc("s"), "t")
+    near = left.cogroup(right).applyInPandas(meet, "id long, s double")
+    w = Window.partitionBy("id").orderBy(F.desc("s"))
     return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("id").agg(F.avg("s").alias("similarity"))
 
 
