@@ -54,9 +54,7 @@ def span_errors(spark, d):
 
 @query()
 def guard_additions(spark, d):
-    s = scored(spark, d)
-    out = pii.guard(F.col("text"), S.to_lines(F.col("text"), F.col("predicted")), F.col("gold"))
-    return s.select("doc", out.alias("guarded"))
+    return pii.guarded(scored(spark, d), "text", "predicted", "gold").select("doc", "guarded")
 
 
 @query()

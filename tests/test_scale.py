@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quartzgate.operators import features
+from quartzgate.functions import spans as S
+from quartzgate.operators import features, pii, sweep
 
 
 @pytest.mark.parametrize("block", [50, 8192])
@@ -24,3 +28,40 @@ def test_vectors_by_slices_equal_brute_force(spark, monkeypatch, block):
     few = features.nearest_vectors(e.where("id = 0"), e.where("id < 3"), block=block).first()
     assert few["similarity"] == pytest.approx(s[0, 1:3].mean())
     assert features.nearest_vectors(e.where("id < 0"), e).count() == 0
+
+
+def test_guard_by_sweep_equals_the_expression(spark):
+    r = random.Random(11)
+    words = ["a@b.co", "x.y@z.org", "12 34", "aa", "é", " ", "\n", "\r\n", "  ", ":", "\x1f", "male", "m", "2020"]
+    labels = ["EMAIL", "DATE", "SEX", "TAXNUM", "lower", "A B"]
+    rows = []
+    for i in range(300):
+        text = "".join(r.choice(words) + r.choice(["", " "]) for _ in range(r.randint(0, 25)))
+
+        def some(n, text=text):
+            out = []
+            for _ in range(r.randint(0, n) if text else 0):
+                a = r.randrange(len(text))
+                out.append((a, min(len(text), a + r.randint(0, 7)), r.choice(labels)))
+            return out
+
+        rows.append((i, text, some(9), some(9)))
+    rows.append((300, None, None, None))
+    df = spark.createDataFrame(rows, f"doc long, text string, predicted {S.SPANS}, gold {S.SPANS}").repartition(3)
+    want = df.select("doc", pii.guard(F.col("text"), S.to_lines(F.col("text"), F.col("predicted")), F.col("gold")).alias("g"))
+    got = {x["doc"]: x["guarded"] for x in pii.guarded(df, "text", "predicted", "gold").collect()}
+    assert got == {x["doc"]: x["g"] for x in want.collect()} and got[300] is None and len(set(got.values())) > 100
+
+
+def test_guard_searches_on_from_a_values_last_place():
+    class Text(str):
+        read = 0
+
+        def find(self, value, start=0):
+            at = super().find(value, start)
+            Text.read += (at if at >= 0 else len(self)) - start
+            return at
+
+    text = Text("m " * 3000)
+    assert len(sweep.placed(text, [("SEX", "m")] * 4000)) == 3000
+    assert Text.read <= 4 * len(text)
