@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -92,6 +92,7 @@ class Desk(StatefulProcessor):
     """
 
     OUT = "kind string, user_id long, request_id long, route string, decision string, served string, start double, end double, requests long"
+    STATE = "t array<double>, request_id array<long>, route array<string>, recent array<double>, day double, used long, start double, last double, requests long"
     _NAMES = [c.split()[0] for c in OUT.split(", ")]
 
     def __init__(self, per_minute: int, per_day: int, gap: float) -> None:
@@ -99,37 +100,47 @@ class Desk(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t double, request_id long, route string")
-        self.book = handle.getValueState("book", "recent array<double>, day double, used long, start double, last double, requests long")
+        self.state = handle.getValueState("desk", self.STATE)  # one value: each call reads it once and writes it once
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _held(self) -> tuple[list[tuple], tuple]:
+        """(what waits, the book: recent, day, used, start, last, requests)."""
+        found = self.state.get()
+        if found is None:
+            return [], ([], None, 0, None, None, 0)
+        t, request_id, route, *book = found
+        return list(zip(t, request_id, route)), tuple(book)
+
+    def _keep(self, waiting: list[tuple], book: tuple) -> None:
+        t, request_id, route = (list(x) for x in zip(*waiting)) if waiting else ([], [], [])
+        self.state.update((t, request_id, route, *book))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = list(self.waiting.get())
-        known, fresh, late = {r[1] for r in held}, [], []
-        for pdf in rows:
-            for t, request_id, route in zip(pdf["t"].tolist(), pdf["request_id"].tolist(), pdf["route"].tolist()):
-                if t * 1000 <= mark:
-                    late.append({"kind": "late", "user_id": key[0], "request_id": request_id, "route": route, "start": t})
-                elif request_id not in known:
-                    known.add(request_id)
-                    fresh.append((t, request_id, route))
+        held, book = self._held()
+        known, fresh = {r[1] for r in held}, []
+        for row in rows:
+            t, request_id, route = row["t"], row["request_id"], row["route"]
+            if t * 1000 <= mark:
+                yield self._row(kind="late", user_id=key[0], request_id=request_id, route=route, start=t)
+            elif request_id not in known:
+                known.add(request_id)
+                fresh.append((t, request_id, route))
         if fresh:
-            self.waiting.put(held + fresh)
+            self._keep(held + fresh, book)
             # one timer lets all go that wait by then
             self.handle.registerTimer(self._ms(min(r[0] for r in fresh)))
-        yield self._frame(late)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get())
+        held, (recent, day, used, start, last, count) = self._held()
+        held.sort()
         due = [r for r in held if self._ms(r[0]) <= mark]
         left = held[len(due) :]
-        recent, day, used, start, last, count = self.book.get() if self.book.exists() else ([], None, 0, None, None, 0)
         budget = online.Budget(self.per_minute, self.per_day, recent, day, used)
         out = []
 
         def close() -> None:
-            out.append({"kind": "session", "user_id": key[0], "start": start, "end": last + self.gap, "requests": count})
+            out.append(self._row(kind="session", user_id=key[0], start=start, end=last + self.gap, requests=count))
 
         for t, request_id, route in due:
             if count and t - last >= self.gap:
@@ -138,38 +149,31 @@ class Desk(StatefulProcessor):
             start, last, count = (start if count else t), t, count + 1
             decision = None if route == "local" else budget.ask(t)
             served = route if decision == "granted" else "local"
-            out.append({"kind": "request", "user_id": key[0], "request_id": request_id, "route": route, "decision": decision, "served": served, "start": t})
+            out.append(self._row(kind="request", user_id=key[0], request_id=request_id, route=route, decision=decision, served=served, start=t))
         if count and self._ms(last + self.gap) <= mark and not (left and left[0][0] - last < self.gap):
             close()
             start, last, count = None, None, 0
         if left:
-            self.waiting.put(left)
             self.handle.registerTimer(self._ms(left[0][0]))
-        elif held:
-            self.waiting.clear()
         if count:
             self.handle.registerTimer(self._ms(last + self.gap))
         if count or left or (budget.day is not None and self._ms(budget.day + 86400) > mark):
-            self.book.update((list(budget.recent), budget.day, budget.used, start, last, count))
+            self._keep(left, (list(budget.recent), budget.day, budget.used, start, last, count))
             if not count and not left:
                 self.handle.registerTimer(self._ms(budget.day + 86400))
         else:
-            self.book.clear()
-        yield self._frame(out)
+            self.state.clear()
+        yield from out
 
     @staticmethod
     def _ms(seconds: float) -> int:
         """The millisecond at or after a time."""
         return -int(-seconds * 1000 // 1)
 
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self._NAMES, dtype=object)
-        out = out.where(out.notna(), None)
-        for c in ("user_id", "request_id", "requests"):
-            out[c] = out[c].astype("Int64")
-        for c in ("start", "end"):
-            out[c] = out[c].astype("float64")
-        return out
+    @classmethod
+    def _row(cls, **values) -> Row:
+        """A row of OUT; what isn't given is null."""
+        return Row(**{n: values.get(n) for n in cls._NAMES})
 
     def close(self) -> None:
         pass
@@ -184,7 +188,7 @@ def desk(requests: DataFrame, per_minute: int, per_day: int, gap: float, late: s
     timed = requests.withWatermark("ts", late).where(F.when(F.col("ts") < F.lit(END).cast("timestamp"), F.col("user_id")).isNotNull())
     # a plain number, so that Spark doesn't drop late rows before they are seen
     plain = timed.select("user_id", "request_id", "route", F.col("ts").cast("double").alias("t"))
-    return plain.groupBy("user_id").transformWithStateInPandas(Desk(per_minute, per_day, gap), Desk.OUT, "Append", "EventTime")
+    return plain.groupBy("user_id").transformWithState(Desk(per_minute, per_day, gap), Desk.OUT, "Append", "EventTime")
 
 
 def stored(stream: DataFrame, name: str, place: str | None = None) -> DataFrame:

@@ -113,3 +113,41 @@ def test_stream_queries_equal_batch(spark):
         asked = sorted((r["t"], r["request_id"]) for r in rows if r["user_id"] == user and r["route"] != "local")
         answers = dict(zip([i for _, i in asked], online.admissions([t for t, _ in asked], 2, 3)))
         assert {r["request_id"]: r["decision"] for r in want if r["user_id"] == user and r["route"] != "local"} == answers
+
+
+def test_desk_reads_and_writes_its_state_once_a_call():
+    class Handle:
+        calls, value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+        def registerTimer(self, ms):
+            pass
+
+    class Mark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    handle, desk = Handle(), live.Desk(2, 3, 100.0)
+    desk.init(handle)
+    rows = [{"t": float(i * 10), "request_id": i, "route": "escalated"} for i in range(1, 8)]
+    assert list(desk.handleInputRows((1,), iter(rows), Mark(0))) == [] and handle.calls == ["get", "update"]
+    out = list(desk.handleExpiredTimer((1,), Mark(10**9), None))
+    assert handle.calls == ["get", "update", "get", "clear"] and handle.value is None
+    assert [r["kind"] for r in out] == ["request"] * 7 + ["session"] and out[-1]["requests"] == 7 and out[-1]["end"] == 170.0
