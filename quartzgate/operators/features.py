@@ -204,13 +204,17 @@ def logistic(train: DataFrame, test: DataFrame, columns: list[str], label: str,
 
 def word_runs(text: Column, most: int = 2) -> Column:
     """The words of a text and all runs of up to `most` of them."""
-    words = word_grams(text)
-    each = [
-        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-        .otherwise(F.array().cast("array<string>"))
-        for n in range(1, most + 1)
-    ]
-    return F.concat(*each)
+
+    def runs(words: Column) -> Column:
+        each = [
+            F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+            .otherwise(F.array().cast("array<string>"))
+            for n in range(1, most + 1)
+        ]
+        return F.concat(*each)
+
+    # bound by a lambda, the words of a text are found once, not anew for each run
+    return F.transform(F.array(word_grams(text)), runs)[0]
 
 
 def text_model(train: DataFrame, test: DataFrame, label: str, steps: int = 200) -> tuple[DataFrame, DataFrame]:

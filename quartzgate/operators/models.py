@@ -20,7 +20,7 @@ from .. import session
 from . import ranking, sampling
 
 #: Numbers of an array that travel as one row, tasks whose single rows the driver adds by itself, and groups whose sums it
-#: gets otherwise.
+#: gets otherwise, if the array is one row; of more rows it gets fewer.
 CHUNK, DIRECT, GROUPS = 65_536, 64, 8
 #: A Newton step or gradient below this ends a fit.
 STEP, SLOPE = 1e-9, 1e-7
@@ -29,6 +29,7 @@ STEP, SLOPE = 1e-9, 1e-7
 def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
     """The sum of the flat arrays of `size` numbers that `part` makes of each task's batches."""
     fields = "task int, chunk int, part binary"
+    groups = max(1, GROUPS // -(-size // CHUNK))
 
     def batch(arrays: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
         tasks, chunks = zip(*arrays) if arrays else ((), ())
@@ -51,16 +52,16 @@ def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         for b in batches:
             for task, chunk, raw in zip(*(b.column(c).to_pylist() for c in ("task", "chunk", "part"))):
                 piece = np.frombuffer(raw)
-                key = (task % GROUPS, chunk)
+                key = (task % groups, chunk)
                 totals[key] = totals[key] + piece if key in totals else piece
         for key, total in totals.items():
             yield batch({key: total})
 
     parts = rows.mapInArrow(run, fields)
     if size > CHUNK or rows.rdd.getNumPartitions() > DIRECT:
-        parts = parts.repartition(F.pmod("task", F.lit(GROUPS)), "chunk").mapInArrow(add, fields)
+        parts = parts.repartition(F.pmod("task", F.lit(groups)), "chunk").mapInArrow(add, fields)
     out = np.zeros(size)
-    for row in parts.collect():  # DIRECT rows, or GROUPS arrays
+    for row in parts.collect():  # DIRECT rows, or as many arrays as groups
         piece = np.frombuffer(row["part"])
         out[row["chunk"] * CHUNK :][: len(piece)] += piece
     return out
@@ -316,8 +317,6 @@ def fit_texts(df: DataFrame, label: str, folds: int = 0, c: float = 1.0, min_df:
     Each pass over the rows gives all models' losses and gradients; each model takes its own limited-memory
     quasi-Newton steps. Words that a model's rows hold in fewer than `min_df` have no part in it. The driver holds
     2 * memory + 4 numbers for each word and model."""
-    from functools import partial
-
     words = vocabulary(df, folds, min_df)
     plain = df.withColumn("fold", F.lit(-1)) if not folds else df
     rows = session.materialize(encoded(plain, words).withColumn("_y", F.col(label).cast("double")), "text-rows")
@@ -360,10 +359,39 @@ def fit_texts(df: DataFrame, label: str, folds: int = 0, c: float = 1.0, min_df:
         slope[:, :v] += theta[:, :v]
         return loss, slope
 
-    theta = quasi_newton(partial(evaluate), np.zeros((k, v + 1)), most, memory)
+    def bent(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((k, v + 1))
+        for b in batches:
+            if not len(b):
+                continue
+            held, y = Rows(b), b.column("_y").to_numpy(zero_copy_only=False)
+            fold = b.column("fold").to_numpy(zero_copy_only=False)
+            for f in range(k):
+                own = np.where(fold != f, share[f][y.astype(int)], 0)
+                values = held.weights(idf[f])
+                out[f, :v] += np.bincount(held.slot, values * values * own[held.row], v)
+                out[f, v] += own.sum()
+        return out.ravel()
+
+    # the loss is nowhere more curved along a number than at 0
+    idf = words.idf
+    unit = np.sqrt(c * summed(rows, bent, k * (v + 1)).reshape(k, v + 1) / 4 + np.array([1.0] * v + [0.0]))
+    theta = scaled_quasi_newton(evaluate, unit, most, memory)
     return TextFit(words, theta[:, :v], theta[:, v]), rows
 
 
+def scaled_quasi_newton(evaluate: Callable, unit: np.ndarray, most: int, memory: int) -> np.ndarray:
+    """quasi_newton from 0 over the points times `unit`, the roots of each number's curvature: without that a frequent word or the
+    intercept, whose curvature grows with the rows, would ask for ever more rounds."""
+    unit = np.where(unit > 0, unit, 1.0)
+
+    def at(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, slope = evaluate(points / unit)
+        return value, slope / unit
+
+    return quasi_newton(at, np.zeros_like(unit), most, memory) / unit
+
+
 def quasi_newton(evaluate: Callable, theta: np.ndarray, most: int, memory: int) -> np.ndarray:
     """Minimise many smooth functions at once: evaluate(points) gives each one's value and slope at its own point. Every round is
     one evaluation; functions that don't fall enough take a shorter step in the next."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzgate.functions import spans as S
-from quartzgate.operators import features, pii, sweep
+from quartzgate.operators import features, models, pii, sweep
 
 
 @pytest.mark.parametrize("block", [50, 8192])
@@ -65,3 +65,37 @@ def test_guard_searches_on_from_a_values_last_place():
     text = Text("m " * 3000)
     assert len(sweep.placed(text, [("SEX", "m")] * 4000)) == 3000
     assert Text.read <= 4 * len(text)
+
+
+def test_runs_of_words_find_the_words_once(spark):
+    runs = features.word_runs(F.col("text"))
+    assert str(runs).count("regexp_extract_all") == 1
+    df = spark.createDataFrame([("One two  three",), ("x",), ("ab",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(runs).collect()] == [["one", "two", "three", "one two", "two three"], [], ["ab"], [], []]
+
+
+def test_scaled_steps_need_few_rounds_whatever_the_curvature():
+    curve = np.array([[1e6, 3e4, 1.0, 2.0], [1.0, 1e5, 10.0, 1e3]])
+    goal = np.array([[1.0, -2.0, 3.0, 4.0], [0.5, 1.0, -1.0, 2.0]])
+    rounds = []
+
+    def evaluate(x):
+        rounds.append(1)
+        return (curve * (x - goal) ** 2).sum(1) / 2, curve * (x - goal)
+
+    assert np.allclose(models.scaled_quasi_newton(evaluate, np.sqrt(curve), 200, 8), goal) and len(rounds) < 8
+    rounds.clear()
+    assert np.allclose(models.quasi_newton(evaluate, np.zeros((2, 4)), 200, 8), goal) and len(rounds) > 8
+
+
+def test_sums_of_long_arrays_reach_the_driver_once(spark, monkeypatch):
+    monkeypatch.setattr(models, "CHUNK", 10)
+    rows = spark.range(40).repartition(5)
+
+    def part(batches):
+        out = np.zeros(95)
+        for b in batches:
+            np.add.at(out, b.column("id").to_numpy(), 1.0)
+        return out
+
+    assert models.summed(rows, part, 95).tolist() == [1.0] * 40 + [0.0] * 55
