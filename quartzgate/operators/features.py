@@ -169,9 +169,9 @@ def clusters(df: DataFrame, text: str, key: list[str], k: int = 5, most_terms: i
     commonest of them. `key` names a row. A text without such words is in cluster 0."""
     from pyspark.ml.feature import StopWordsRemover
 
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
+    stop = StopWordsRemover.loadDefaultStopWords("english")  # isin looks a word up in a hash set
     named = df.withColumn("_id", F.struct(*key).cast("string"))
-    terms = named.select(F.col("_id").alias("id"), F.filter(word_grams(F.coalesce(text, F.lit(""))), lambda w: ~F.array_contains(stop, w)).alias("terms"))
+    terms = named.select(F.col("_id").alias("id"), F.filter(word_grams(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(stop)).alias("terms"))
     words = models.vocabulary(terms, min_df=min_df, most=most_terms)
     rows = session.materialize(models.encoded(terms, words), "cluster-rows")
     idf = words.idf[-1]

@@ -99,3 +99,10 @@ def test_sums_of_long_arrays_reach_the_driver_once(spark, monkeypatch):
         return out
 
     assert models.summed(rows, part, 95).tolist() == [1.0] * 40 + [0.0] * 55
+
+
+def test_clusters_look_stop_words_up(spark, monkeypatch):
+    monkeypatch.setattr(features.F, "array_contains", None)  # a scan of the list for each word
+    df = spark.createDataFrame([(i, "the and of " + ("red apple" if i % 2 else "blue river")) for i in range(8)] + [(8, "the and")], "k long, text string")
+    got = {r["k"]: r["cluster"] for r in features.clusters(df, "text", ["k"], k=2).collect()}
+    assert len({got[i] for i in (0, 2, 4, 6)}) == len({got[i] for i in (1, 3, 5, 7)}) == 1 and got[0] != got[1] and got[8] == 0
