@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import session
 from . import models, quantiles
 
-#: Terms of a block that are held as a matrix at a time, and vectors whose cosines with a block are.
+if TYPE_CHECKING:
+    import numpy as np
+    import pandas as pd
+
+#: Terms of a block that are held as a matrix at a time, and queries whose cosines with a block are.
 COLUMNS, SLICE = 8192, 512
+#: Characters of a block of texts, and most partitions in which blocks meet.
+CHARS, MEETINGS = 1 << 20, 20_000
 
 
 def word_grams(text: Column) -> Column:
@@ -45,60 +55,146 @@ def tf_idf(terms: DataFrame, idf: DataFrame | None = None, min_df: int = 2) -> t
     return raw.join(norm, "id").select("id", "term", (F.col("r") / F.col("norm")).alias("w")), idf
 
 
-def nearest_mean(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 512, asked: int | None = None) -> DataFrame:
-    """queries, train: weights (id, term, w), all positive. Rows (id, similarity): the mean cosine of the k nearest;
-    neighbours that share no term count as 0, and an id that shares none with any has no row. Blocks of queries meet blocks
-    of rows as matrices, some columns at a time, so a term in every row makes no pairs to shuffle. Terms go by 64-bit hashes. asked: how many ids `queries` holds at
-    most, which saves a pass that counts them."""
+def _key() -> Column:
+    """An id of any type as text, never null."""
+    return F.to_json(F.struct("id"))
+
+
+def _flat(values: Iterable[np.ndarray], kind: type) -> np.ndarray:
     import numpy as np
-    import pandas as pd
 
-    def blocks(df: DataFrame, key: str, terms: str, weights: str, ids: int | None) -> tuple[DataFrame, int]:
-        v = F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").cast("double").alias("w")))
-        name = F.to_json(F.struct("id")).alias(key)  # any type of id
-        rows = df.groupBy("id").agg(v.alias("v")).select(name, F.col("v.h").alias(terms), F.col("v.w").alias(weights))
-        n = df.select("id").distinct().count() if ids is None else ids
-        return rows, max(1, -(-n // block))
+    return np.concatenate([np.zeros(0, kind), *values]).astype(kind)
 
-    def flat(terms: pd.Series, weights: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        return row, np.concatenate(terms.to_list()).astype(np.int64), np.concatenate(weights.to_list()).astype(float)
 
-    def dense(row: np.ndarray, column: np.ndarray, w: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-        out = np.zeros(shape)
-        out[row, column] = w
-        return out
+def _meet(mine: pd.DataFrame, others: pd.DataFrame, k: int, counted: bool, columns: int, queries: int) -> pd.DataFrame:
+    """mine: (key, qh, qw), others: (t, th, tw). Rows (key, s, sq): the k largest sums of a key with the rows that have a t. With
+    `counted` qw says how often a term occurs (null: once each), rows of one key are added up, and a row with a null sum has in sq
+    what the terms in the row without a t add to the square of the key's length. Matrices have `queries` rows and `columns`."""
+    import numpy as np
+    import pandas as pd
 
-    def meet(key, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(others):
-            return pd.DataFrame({"key": pd.Series(dtype=str), "s": pd.Series(dtype=float)})
-        (qr, qh, qw), (tr, th, tw) = flat(mine["qh"], mine["qw"]), flat(others["th"], others["tw"])
-        known, tc = np.unique(th, return_inverse=True)
-        qc = np.minimum(np.searchsorted(known, qh), len(known) - 1)
-        both = known[qc] == qh
-        qr, qc, qw = qr[both], qc[both], qw[both]
-        s = np.zeros((len(mine), len(others)))
-        for low in range(0, len(known), COLUMNS):
-            n = min(COLUMNS, len(known) - low)
-            q, t = ((c >= low) & (c < low + n) for c in (qc, tc))
-            left = dense(qr[q], qc[q] - low, qw[q], (len(mine), n))
-            s += left @ dense(tr[t], tc[t] - low, tw[t], (len(others), n)).T
-        m = min(k, len(others))
-        best = np.partition(s, len(others) - m, axis=1)[:, len(others) - m :]
+    out = [pd.DataFrame({"key": pd.Series(dtype=str), "s": pd.Series(dtype=float), "sq": pd.Series(dtype=float)})]
+    if not len(mine) or not len(others):
+        return out[0]
+    own, keys = pd.factorize(mine["key"])
+    is_row = others["t"].notna().to_numpy()
+    held, idf = others[is_row], others[~is_row]
+    th, tw, vh, vw = _flat(held["th"], np.int64), _flat(held["tw"], float), _flat(idf["th"], np.int64), _flat(idf["tw"], float)
+    known = np.unique(np.concatenate([th, vh]))
+    if not len(known):
+        return out[0]
+    h = _flat(mine["qh"], np.int64)
+    column = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    both = known[column] == h
+    w = _flat([np.ones(len(x)) if y is None else y for x, y in zip(mine["qh"], mine["qw"])], float)[both]
+    row = np.repeat(own, mine["qh"].map(len))[both]
+    cells, at = np.unique(row * len(known) + column[both], return_inverse=True)
+    w, (row, column) = np.bincount(at, w, len(cells)), np.divmod(cells, len(known))
+    if counted:
+        w = 1.0 + np.log(w)
+        weight = np.zeros(len(known))
+        weight[np.searchsorted(known, vh)] = vw
+        sq = np.bincount(row, (w * weight[column]) ** 2, len(keys))
+        out.append(pd.DataFrame({"key": keys[sq > 0], "s": np.nan, "sq": sq[sq > 0]}))
+    if len(held):
+        tr, tc = np.repeat(np.arange(len(held)), held["th"].map(len)), np.searchsorted(known, th)
+        s = np.zeros((len(keys), len(held)))
+        for low in range(0, len(known), columns):
+            n = min(columns, len(known) - low)
+            inside = (tc >= low) & (tc < low + n)
+            right = np.zeros((n, len(held)))
+            right[tc[inside] - low, tr[inside]] = tw[inside]
+            inside = (column >= low) & (column < low + n)
+            qr, qc, qw = row[inside], column[inside] - low, w[inside]  # ascending by row
+            for first in range(0, len(keys), queries):
+                a, b = np.searchsorted(qr, [first, first + queries])
+                left = np.zeros((min(queries, len(keys) - first), n))
+                left[qr[a:b] - first, qc[a:b]] = qw[a:b]
+                s[first : first + queries] += left @ right
+        m = min(k, len(held))
+        best = np.partition(s, len(held) - m, axis=1)[:, len(held) - m :]
         i, j = np.nonzero(best > 0)
-        return pd.DataFrame({"key": mine["key"].to_numpy()[i], "s": best[i, j]})
+        out.append(pd.DataFrame({"key": keys[i], "s": best[i, j], "sq": 0.0}))
+    return pd.concat(out)
 
-    (mine, nq), (held, nt) = blocks(queries, "key", "qh", "qw", asked), blocks(train, "t", "th", "tw", None)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    # each block is sent once for each block of the other side
-    left = mine.withColumns({"_i": own("key", nq), "_j": every(nt)}).groupBy("_i", "_j")
-    right = held.withColumns({"_k": every(nq), "_l": own("t", nt)}).groupBy("_k", "_l")
-    near = left.cogroup(right).applyInPandas(meet, "key string, s double")
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s")))).where(F.col("r") <= k)
-    mean = top.groupBy("key").agg((F.sum("s") / k).alias("similarity"))
-    kind = queries.schema["id"].dataType.simpleString()
-    return mean.select(F.from_json("key", f"id {kind}")["id"].alias("id"), "similarity")
+
+def _meetings(asked: DataFrame, held: DataFrame, nq: int, nt: int, k: int, vectors: tuple[Column, Column], counted: bool) -> DataFrame:
+    """asked: (key, ...) with `vectors`, the hashes and weights of its terms; held: (t, th, tw, _l), _l below nt the block. Rows (key, s, sq)
+    of the `k` largest sums and of the squares. Every pair of blocks is a group, and there are as many partitions as pairs, so what a task holds
+    does not grow with the rows. Rows are dealt out before their terms are found: texts are shuffled, not terms."""
+    n = min(nq * nt, MEETINGS)
+    block, every = F.pmod(F.xxhash64("key"), F.lit(nq)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))
+    left = asked.withColumns({"_i": block, "_j": every}).repartition(n, "_i", "_j")
+    left = left.select("_i", "_j", "key", *[v.alias(name) for v, name in zip(vectors, ("qh", "qw"))])
+    # each block is sent once for each block of the other side; copies are made in two steps, as a shuffle holds what its task writes
+    some = math.isqrt(nq - 1) + 1
+    runs, first = -(-nq // some), F.col("_run") * some
+    right = held.withColumn("_l", F.col("_l").cast("int")).repartition(nt, "_l").withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    right = right.repartition(runs, "_run", "t").withColumn("_k", F.explode(F.sequence(first, F.least(first + some, F.lit(nq)) - 1)))
+    right = right.select("_k", "_l", "t", "th", "tw").repartition(n, "_k", "_l")
+    held_at_once = COLUMNS, SLICE
+    met = left.groupBy("_i", "_j").cogroup(right.groupBy("_k", "_l"))
+    near = met.applyInPandas(lambda mine, others: _meet(mine, others, k, counted, *held_at_once), "key string, s double, sq double")
+    near = near.withColumn("s", F.nanvl("s", F.lit(None).cast("double")))
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_last("s"))))
+
+
+def _arrays(weights: DataFrame, key: str, w: Column) -> DataFrame:
+    """weights: (id, term, ...). Rows (`key`, v): the terms of an id by 64-bit hashes, with their weights."""
+    v = F.collect_list(F.struct(F.xxhash64("term").alias("h"), w.cast("double").alias("w")))
+    return weights.groupBy("id").agg(v.alias("v")).select(_key().alias(key), "v")
+
+
+def _of_key(out: DataFrame, kind: str) -> DataFrame:
+    return out.select(F.from_json("key", f"id {kind}")["id"].alias("id"), "similarity")
+
+
+def nearest_mean(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 512, asked: int | None = None) -> DataFrame:
+    """queries, train: weights (id, term, w), all positive. Rows (id, similarity): the mean cosine of the k nearest;
+    neighbours that share no term count as 0, and an id that shares none with any has no row. Blocks of queries meet blocks
+    of rows as matrices, some columns at a time, so a term in every row makes no pairs to shuffle. Terms go by 64-bit hashes. asked: how many ids `queries` holds at
+    most, which saves a pass that counts them."""
+    blocks = lambda n: max(1, -(-n // block))
+    nq = blocks(queries.select("id").distinct().count() if asked is None else asked)
+    nt = blocks(train.select("id").distinct().count())
+    held = _arrays(train, "t", F.col("w")).select("t", F.col("v.h").alias("th"), F.col("v.w").alias("tw"), F.pmod(F.xxhash64("t"), F.lit(nt)).alias("_l"))
+    near = _meetings(_arrays(queries, "key", F.col("w")), held, nq, nt, k, (F.col("v.h"), F.col("v.w")), False)
+    mean = near.where(F.col("r") <= k).groupBy("key").agg((F.sum("s") / k).alias("similarity"))
+    return _of_key(mean, queries.schema["id"].dataType.simpleString())
+
+
+def nearest_texts(queries: DataFrame, terms: Callable[[Column], Column], train: DataFrame, k: int = 5, block: int = 512, asked: int = 2048, crowd: int = 64) -> DataFrame:
+    """queries, train: (id, text). Rows (id, similarity): as `nearest_mean` of the `tf_idf` of both with the idf of `train`, but no rows of
+    (id, term) are made of the queries. The terms of a text are counted where its block meets a block of rows; weights and
+    lengths follow there, as each block of rows brings its share of the idf. The texts of an id with more than `crowd` rows are
+    counted before. Blocks have about `asked` queries, fewer where texts are long, and `block` rows."""
+    empty = F.array().cast("array<string>")
+    named = queries.select(_key().alias("key"), F.col("text").alias("text"))
+    rows = train.select("id", terms(F.col("text")).alias("terms"))
+    weights, idf = tf_idf(rows)
+    # sums of tf times this are the cosines times the length of the query
+    weighed = _arrays(weights.join(idf, "term"), "t", F.col("w") * F.col("idf"))
+    nt = max(1, -(-rows.select("id").distinct().count() // block))
+    held = weighed.select("t", F.col("v.h").alias("th"), F.col("v.w").alias("tw"), F.pmod(F.xxhash64("t"), F.lit(nt)).alias("_l"))
+    words = idf.select(F.xxhash64("term").alias("h"), "idf").groupBy(F.pmod("h", F.lit(nt)).alias("_l")).agg(F.collect_list(F.struct("h", "idf")).alias("v"))
+    words = words.select(F.lit(None).cast("string").alias("t"), F.col("v.h").alias("th"), F.col("v.idf").alias("tw"), "_l")
+    held = session.materialize(held.unionByName(words), "nearest-texts")
+    n, chars = named.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    nq = max(1, -(-n // asked), -(-chars // CHARS))
+
+    counts = named.withColumns({"qh": F.lit(None).cast("array<bigint>"), "qw": F.lit(None).cast("array<double>")})
+    crowded = named.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
+    if not crowded.isEmpty():
+        each = named.join(crowded, "key").select("key", F.explode(terms(F.col("text"))).alias("term")).join(idf.select("term"), "term", "semi")
+        c = each.groupBy("key", F.xxhash64("term").alias("h")).agg(F.count("*").cast("double").alias("w"))
+        c = c.groupBy("key").agg(F.collect_list(F.struct("h", "w")).alias("v"))
+        c = c.select("key", F.lit(None).cast("string").alias("text"), F.col("v.h").alias("qh"), F.col("v.w").alias("qw"))
+        counts = counts.join(crowded, "key", "anti").unionByName(c)
+    hashes = F.coalesce("qh", F.transform(F.coalesce(terms(F.col("text")), empty), lambda x: F.xxhash64(x)))
+    near = _meetings(counts, held, nq, nt, k, (hashes, F.col("qw")), True)
+    top = F.sum(F.when(F.col("r") <= k, F.col("s")))
+    mean = near.groupBy("key").agg((top / k / F.sqrt(F.sum("sq"))).alias("similarity")).where("similarity is not null")
+    return _of_key(mean, queries.schema["id"].dataType.simpleString())
 
 
 def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:

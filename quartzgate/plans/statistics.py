@@ -234,21 +234,17 @@ s AS (SELECT qn.id, tn.id AS t, sum(qn.w * tn.w) AS s FROM qn JOIN tn USING (ter
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, t) AS r FROM s)
 SELECT id, sum(s) / 5 AS similarity FROM k WHERE r <= 5 GROUP BY id""")
 def knn_similarity(spark, d):
-    terms = lambda df, key: df.select(key.alias("id"), T.words(F.lower("text")).alias("terms"))
-    train = terms(table(spark, d, "benchmark"), F.col("item_id"))
-    asked = terms(spread(table(spark, d, "conversations")), F.col("conv_id") * 100 + F.col("turn"))
-    weights, idf = features.tf_idf(train)
-    return features.nearest_mean(features.tf_idf(asked, idf)[0], weights, asked=table(spark, d, "conversations").count())
+    text = F.lower("text").alias("text")
+    train = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text)
+    return features.nearest_texts(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), text), T.words, train)
 
 
 def char_gram_similarity(spark, d):
     """Rows (conv_id, turn, similarity) of all turns; 0 without a known gram."""
-    grams = lambda df, key: df.select(key.alias("id"), features.char_grams(F.col("text")).alias("terms"))
-    weights, idf = features.tf_idf(grams(table(spark, d, "benchmark"), F.col("item_id")))
-    turn = F.struct("conv_id", "turn")
-    asked = spread(table(spark, d, "conversations"))
-    near = features.nearest_mean(features.tf_idf(grams(asked, turn), idf)[0], weights, asked=table(spark, d, "conversations").count())
-    every = asked.select(turn.alias("id")).distinct().join(near, "id", "left")
+    turn = F.struct("conv_id", "turn").alias("id")
+    asked = table(spark, d, "conversations").select(turn, "text")
+    near = features.nearest_texts(asked, features.char_grams, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    every = asked.select("id").distinct().join(near, "id", "left")
     return every.select("id.conv_id", "id.turn", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quartzgate.functions import spans as S
+from quartzgate.functions import text as T
 from quartzgate.operators import features, models, pii, sweep
+from quartzgate.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("block", [50, 8192])
@@ -106,3 +112,49 @@ def test_clusters_look_stop_words_up(spark, monkeypatch):
     df = spark.createDataFrame([(i, "the and of " + ("red apple" if i % 2 else "blue river")) for i in range(8)] + [(8, "the and")], "k long, text string")
     got = {r["k"]: r["cluster"] for r in features.clusters(df, "text", ["k"], k=2).collect()}
     assert len({got[i] for i in (0, 2, 4, 6)}) == len({got[i] for i in (1, 3, 5, 7)}) == 1 and got[0] != got[1] and got[8] == 0
+
+
+def test_texts_of_queries_meet_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(features, "COLUMNS", 5)
+    monkeypatch.setattr(features, "SLICE", 4)
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    draw = lambda n: " ".join(r.choice(words) for _ in range(n))
+    train = [(i, draw(r.randint(1, 12))) for i in range(23)] + [(23, None), (24, "")]
+    asked = [(i, draw(r.randint(1, 15))) for i in range(40)] + [(None, draw(6)) for _ in range(9)] + [(3, draw(4)), (3, None)]  # an id's texts count as one
+    asked += [(50, None), (51, ""), (52, "unknown words"), *[(53, draw(3)) for _ in range(4)], *[(54, "unknown") for _ in range(6)]]
+    n, df, idf = len(train), {}, {}
+    for _, t in train:
+        for w in set((t or "").split()):
+            df[w] = df.get(w, 0) + 1
+    idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items() if c >= 2}
+
+    def vector(text):
+        raw = {w: (1 + math.log(text.split().count(w))) * idf[w] for w in set(text.split()) if w in idf}
+        return {w: x / math.sqrt(sum(y * y for y in raw.values())) for w, x in raw.items()}
+
+    held, want = [vector(t or "") for _, t in train], {}
+    for i in {i for i, _ in asked}:
+        v = vector(" ".join(t or "" for j, t in asked if j == i))
+        s = sorted((sum(x * h.get(w, 0.0) for w, x in v.items()) for h in held), reverse=True)[:5]
+        if s[0] > 0:
+            want[i] = sum(s) / 5
+    t, q = (spark.createDataFrame(x, "id long, text string") for x in (train, asked))
+    for at in ({}, {"block": 9, "asked": 16, "crowd": 3}, {"asked": 100, "crowd": 1}):
+        got = {x["id"]: x["similarity"] for x in features.nearest_texts(q, T.words, t, **at).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    named = features.nearest_texts(q.select(F.struct("id", F.lit("x").alias("turn")).alias("id"), "text"), T.words, t, block=9, asked=16).collect()
+    assert {x["id"]["id"]: x["similarity"] for x in named} == pytest.approx(want, abs=1e-12)
+    assert features.nearest_texts(q.where("id < 0"), T.words, t).count() == features.nearest_texts(q, T.words, t.where("id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["char_gram_similarity", "knn_similarity"])
+def test_similarity_to_training_has_bounded_tasks(spark, monkeypatch, name):
+    """No row for each term of a turn, and as many tasks as the characters ask for, whatever the number of shuffle partitions."""
+    parts = []
+    for chars in (8000, 2000):
+        monkeypatch.setattr(features, "CHARS", chars, raising=False)
+        plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "term#" not in plan
+        parts.append(int(re.search(r"RepartitionByExpression \[_i#\w+, _j#\w+\], (\d+)", plan)[1]))
+    assert parts[0] > 4 and parts[1] >= 3.9 * parts[0] - 4
