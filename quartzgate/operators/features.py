@@ -336,8 +336,7 @@ def cross_validated(df: DataFrame, label: str, folds: int = 5, steps: int = 200)
     """df: (id, terms, label). Rows (id, label, fold, probability): what the model of all other folds says. The folds' models are
     fitted together."""
     parts = df.select("id", "terms", label).withColumn("fold", fold_of(F.col("id"), folds))
-    fit, rows = models.fit_texts(parts, label, folds, most=steps)
-    return fit.probabilities(rows.drop("_y"), F.col("fold"))
+    return models.told_by_others(parts, label, folds, most=steps)
 
 
 def probe(df: DataFrame, texts: dict[str, Column], label: str, folds: int = 5, steps: int = 200) -> DataFrame:

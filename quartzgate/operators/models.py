@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
-from . import ranking, sampling
+from . import dual, ranking, sampling
 
 #: Numbers of an array that travel as one row, tasks whose single rows the driver adds by itself, and groups whose sums it
 #: gets otherwise, if the array is one row; of more rows it gets fewer.
@@ -208,10 +209,42 @@ def grid(df: DataFrame, columns: Sequence[str], label: str, penalties: Sequence[
 
 @dataclass
 class Vocabulary:
-    """Numbered terms: a table (term, slot), and for each model the idf of each slot, 0 where the model's rows lack the term."""
+    """Numbered terms: a table (term, slot), and for each model the idf of each slot, 0 where the model's rows lack the term.
+
+    counts: (slot, df, _f0 ...), the rows with a term, and those of them in each fold; sizes: all rows and each fold's."""
 
     table: DataFrame
-    idf: np.ndarray
+    counts: DataFrame
+    sizes: list[int]
+    min_df: int
+
+    @property
+    def folds(self) -> int:
+        return len(self.sizes) - 1
+
+    @cached_property
+    def size(self) -> int:
+        return self.table.count()
+
+    @cached_property
+    def idf(self) -> np.ndarray:
+        """(model, slot), on the driver: for vocabularies of a bounded size."""
+        held = self.counts.toPandas().sort_values("slot")
+        out = np.zeros((self.folds + 1, len(held)))
+        for f in range(self.folds + 1):
+            inside = held[f"_f{f}"].to_numpy() if f < self.folds else 0
+            seen = held["df"].to_numpy() - inside
+            out[f] = np.where(seen >= self.min_df, np.log((1.0 + self._rows(f)) / (1.0 + seen)) + 1.0, 0)
+        return out
+
+    def idf_rows(self, models: Sequence[int]) -> DataFrame:
+        """(slot, idf by model), in Spark."""
+        seen = [F.col("df") - (F.col(f"_f{f}") if f < self.folds else F.lit(0)) for f in models]
+        each = [F.when(s >= self.min_df, F.log((1.0 + self._rows(f)) / (1.0 + s)) + 1.0).otherwise(0.0) for f, s in zip(models, seen)]
+        return self.counts.select("slot", F.array(*each).alias("idf"))
+
+    def _rows(self, f: int) -> int:
+        return self.sizes[-1] - (self.sizes[f] if f < self.folds else 0)
 
 
 def _counted(df: DataFrame, extra: list[str]) -> DataFrame:
@@ -222,7 +255,7 @@ def _counted(df: DataFrame, extra: list[str]) -> DataFrame:
 def vocabulary(df: DataFrame, folds: int = 0, min_df: int = 2, most: int | None = None) -> Vocabulary:
     """The terms of df (id, terms and, with folds, fold) in at least `min_df` rows, of these the `most` commonest, numbered by how
     many rows hold them, then by name. idf = ln((1 + n) / (1 + df)) + 1 over each model's rows: those outside of its fold,
-    the last all. The driver gets a number for each term and model."""
+    the last all."""
     extra = ["fold"] if folds else []
     in_fold = [F.count_if(F.col("fold") == f) if folds else F.lit(0) for f in range(folds)]
     counts = _counted(df, extra).groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("_times"), *[x.alias(f"_f{i}") for i, x in enumerate(in_fold)])
@@ -234,13 +267,8 @@ def vocabulary(df: DataFrame, folds: int = 0, min_df: int = 2, most: int | None
     table = session.materialize(placed.drop("_o"), "vocabulary")
     session.release(kept)
     sizes = df.agg(F.count("*").alias("n"), *[(F.count_if(F.col("fold") == f) if folds else F.lit(0)).alias(f"f{f}") for f in range(folds)]).first()
-    held = table.select("slot", "df", *[f"_f{f}" for f in range(folds)]).toPandas().sort_values("slot")
-    idf = np.zeros((folds + 1, len(held)))
-    for f in range(folds + 1):
-        inside = held[f"_f{f}"].to_numpy() if f < folds else 0
-        seen, n = held["df"].to_numpy() - inside, sizes["n"] - (sizes[f"f{f}"] if f < folds else 0)
-        idf[f] = np.where(seen >= min_df, np.log((1.0 + n) / (1.0 + seen)) + 1.0, 0)
-    return Vocabulary(table.select("term", "slot"), idf)
+    counts = table.select("slot", "df", *[f"_f{f}" for f in range(folds)])
+    return Vocabulary(table.select("term", "slot"), counts, [*[sizes[f"f{f}"] for f in range(folds)], sizes["n"]], min_df)
 
 
 def encoded(df: DataFrame, words: Vocabulary) -> DataFrame:
@@ -274,66 +302,83 @@ class Rows:
 
 @dataclass
 class TextFit:
-    """Logistic regressions over words: weights by model and slot, intercepts."""
+    """Logistic regressions over words: weights (slot, weights and idf by model), intercepts by model."""
 
     words: Vocabulary
-    weights: np.ndarray
+    weights: DataFrame
     intercepts: np.ndarray
 
     def probabilities(self, rows: DataFrame, model: Column, name: str = "probability") -> DataFrame:
         """Encoded rows with the probability of label 1 by the model whose number `model` gives, without their words."""
-        spark = rows.sparkSession
-        sent = spark.sparkContext.broadcast((self.words.idf, self.weights, self.intercepts))  # a number for each term and model
-        out = rows.withColumn("_model", model.cast("int"))
-        keep = [f for f in out.schema.fields if f.name not in ("slots", "tf", "_model")]
-        names = [f.name for f in keep]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            idf, weights, free = sent.value
-            for b in batches:
-                if not len(b):
-                    continue
-                held, which = Rows(b), b.column("_model").to_numpy(zero_copy_only=False)
-                eta = np.zeros(len(b))
-                for m in np.unique(which):
-                    eta = np.where(which == m, held.dot(held.weights(idf[m]), weights[m]) + free[m], eta)
-                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(1 / (1 + np.exp(-eta)))], names=[*names, name])
-
-        from pyspark.sql.types import DoubleType, StructField, StructType
-
-        return out.mapInArrow(run, StructType([*keep, StructField(name, DoubleType())]))
+        asked = session.materialize(rows.withColumns({"_model": model.cast("int"), "_r": F.monotonically_increasing_id()}), "asked-rows")
+        each = asked.select("_r", "_model", F.explode(F.arrays_zip("slots", "tf")).alias("_e")).select("_r", "_model", "_e.slots", "_e.tf")
+        of = F.col("_model") + 1
+        tf = F.col("tf") * F.element_at("idf", of)
+        found = each.withColumnRenamed("slots", "slot").join(self.weights, "slot").select("_r", tf.alias("_v"), (tf * F.element_at("weights", of)).alias("_w"))
+        sums = found.groupBy("_r").agg(F.sum("_w").alias("_w"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_v"))
+        free = F.element_at(F.array(*[F.lit(float(x)) for x in self.intercepts]), of)
+        eta = F.when(F.col("_v") > 0, F.col("_w") / F.col("_v")).otherwise(0.0) + free
+        told = asked.join(sums, "_r", "left").withColumn(name, 1.0 / (1.0 + F.exp(-eta)))
+        return told.drop("slots", "tf", "_model", "_r", "_v", "_w")
 
     def coefficients(self, model: int = -1) -> DataFrame:
         """(term, coefficient) of a model."""
-        spark = self.words.table.sparkSession
-        each = spark.createDataFrame([(i, float(w)) for i, w in enumerate(self.weights[model])], "slot int, coefficient double")
-        return self.words.table.join(each, "slot").select("term", "coefficient")
-
+        at = range(len(self.intercepts))[model]
+        return self.words.table.join(self.weights.select("slot", F.col("weights")[at].alias("coefficient")), "slot").select("term", "coefficient")
 
-def fit_texts(df: DataFrame, label: str, folds: int = 0, c: float = 1.0, min_df: int = 2, most: int = 200, memory: int = 8) -> tuple[TextFit, DataFrame]:
-    """(the fit, the encoded rows): a logistic regression on TF-IDF for each fold's other rows and, last, for all, classes
-    weighing alike in each. df: (id, terms, label and, with folds, fold).
 
-    Each pass over the rows gives all models' losses and gradients; each model takes its own limited-memory
-    quasi-Newton steps. Words that a model's rows hold in fewer than `min_df` have no part in it. The driver holds
-    2 * memory + 4 numbers for each word and model."""
+def _dealt(df: DataFrame, label: str, folds: int, min_df: int) -> tuple[Vocabulary, DataFrame, np.ndarray]:
+    """(vocabulary, encoded rows, what a row of each label weighs in each model, so that labels weigh alike)."""
     words = vocabulary(df, folds, min_df)
     plain = df.withColumn("fold", F.lit(-1)) if not folds else df
     rows = session.materialize(encoded(plain, words).withColumn("_y", F.col(label).cast("double")), "text-rows")
-    k, v = folds + 1, words.idf.shape[1]
     tallies = rows.groupBy("fold", "_y").agg(F.count("*").alias("n")).collect()  # two for each fold
-    totals = np.zeros((k, 2))
-    for f in range(k):
+    totals = np.zeros((folds + 1, 2))
+    for f in range(folds + 1):
         for r in tallies:
             if r["fold"] != f or f == folds:
                 totals[f, int(r["_y"])] += r["n"]
     if (totals == 0).any():
         raise ValueError("training needs both labels")
-    share = totals.sum(1, keepdims=True) / (2 * totals)
+    return words, rows, totals.sum(1, keepdims=True) / (2 * totals)
+
+
+def fit_texts(df: DataFrame, label: str, folds: int = 0, c: float = 1.0, min_df: int = 2, most: int = 200) -> tuple[TextFit, DataFrame]:
+    """(the fit, the encoded rows): a logistic regression on TF-IDF for each fold's other rows and, last, for all, classes
+    weighing alike in each. df: (id, terms, label and, with folds, fold).
+
+    Words that a model's rows hold in fewer than `min_df` have no part in it. Up to dual.WORDS words, each pass over the rows gives
+    all models' losses and gradients, and the driver takes limited-memory quasi-Newton steps, `most` at most; of a larger vocabulary the
+    driver holds no number for a word or row (see `dual`; most: turns in the search for a Newton step)."""
+    words, rows, share = _dealt(df, label, folds, min_df)
+    if words.size <= dual.WORDS:
+        return _few_words(words, rows, share, c, most), rows
+    fits = dual.Fits(rows, words.idf_rows(range(folds + 1)), words.size, c * share, list(range(folds + 1))).run(most)
+    weights = session.materialize(fits.weights(), "text-weights")
+    fits.release()
+    return TextFit(words, weights, fits.intercepts), rows
+
+
+def told_by_others(df: DataFrame, label: str, folds: int, c: float = 1.0, min_df: int = 2, most: int = 200) -> DataFrame:
+    """(id, label, fold, probability): what the model of all other folds says of each row of df (id, terms, label, fold)."""
+    words, rows, share = _dealt(df, label, folds, min_df)
+    if words.size <= dual.WORDS:
+        return _few_words(words, rows, share, c, most).probabilities(rows.select("id", label, "fold", "slots", "tf"), F.col("fold"))
+    fits = dual.Fits(rows, words.idf_rows(range(folds)), words.size, c * share[:folds], list(range(folds))).run(most)
+    out = session.materialize(fits.held_out(label, df.schema[label].dataType.simpleString()), "text-told")
+    fits.release()
+    session.release(rows)
+    return out
+
+
+def _few_words(words: Vocabulary, rows: DataFrame, share: np.ndarray, c: float, most: int, memory: int = 8) -> TextFit:
+    """The fit where a number for each word and model fits the driver and every task; it holds 2 * memory + 4 of them."""
+    idf = words.idf
+    k, v = idf.shape
     sc = rows.sparkSession.sparkContext
 
     def evaluate(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sent = sc.broadcast((words.idf, theta, share))
+        sent = sc.broadcast((idf, theta, share))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             idf, theta, share = sent.value
@@ -374,10 +419,11 @@ def fit_texts(df: DataFrame, label: str, folds: int = 0, c: float = 1.0, min_df:
         return out.ravel()
 
     # the loss is nowhere more curved along a number than at 0
-    idf = words.idf
     unit = np.sqrt(c * summed(rows, bent, k * (v + 1)).reshape(k, v + 1) / 4 + np.array([1.0] * v + [0.0]))
     theta = scaled_quasi_newton(evaluate, unit, most, memory)
-    return TextFit(words, theta[:, :v], theta[:, v]), rows
+    each = [(i, theta[:, i].tolist(), idf[:, i].tolist()) for i in range(v)]
+    weights = rows.sparkSession.createDataFrame(each, "slot int, weights array<double>, idf array<double>")
+    return TextFit(words, weights, theta[:, v])
 
 
 def scaled_quasi_newton(evaluate: Callable, unit: np.ndarray, most: int, memory: int) -> np.ndarray:

@@ -123,6 +123,37 @@ def test_text_models_of_all_folds_equal_dense_fits(spark):
         models.fit_texts(df.where("y = 1"), "y")
 
 
+@pytest.mark.parametrize("folds,single", [(3, 0), (0, 1_000_000)])
+def test_fits_of_many_words_equal_dense_fits(spark, monkeypatch, folds, single):
+    """In many blocks and parts, and in one block. No frame of a fit reaches the driver but a row of sums for each block."""
+    from quartzgate.operators import dual
+
+    for name, value in {"ENTRIES": 200, "SINGLE": single, "WORDS": 7, "PARTS": 2}.items():
+        monkeypatch.setattr(dual, name, value)
+    monkeypatch.setattr(models.DataFrame, "toPandas", None)
+    rows = texts()
+    df = spark.createDataFrame(rows, "id long, terms array<string>, y int").repartition(4).withColumn("fold", (F.col("id") * 7 % max(folds, 1)).cast("int"))
+    fit, encoded = models.fit_texts(df if folds else df.drop("fold"), "y", folds)
+    y, fold = np.array([r[2] for r in rows]), np.arange(len(rows)) * 7 % max(folds, 1)
+    others = {r["id"]: (r["y"], r["fold"], r["probability"]) for r in models.told_by_others(df, "y", folds).collect()} if folds else {}
+    told = {r["id"]: r["probability"] for r in fit.probabilities(encoded, F.col("fold") if folds else F.lit(0)).collect()}
+    for f in [*range(folds), None]:
+        own = fold != f if f is not None else np.ones(len(rows), bool)
+        terms, x = dense_texts(rows, own)
+        share = own.sum() / (2.0 * np.bincount(y[own]))
+        theta = dense_fit(x[own], y[own], share[y[own]], 1.0)
+        got = {r["term"]: r["coefficient"] for r in fit.coefficients(-1 if f is None else f).collect()}
+        assert max(abs(got.get(t, 0.0) - w) for t, w in zip(terms, theta)) < 1e-6 and fit.intercepts[-1 if f is None else f] == pytest.approx(theta[-1], abs=1e-6)
+        for i in np.flatnonzero(~own) if folds else range(len(rows)):
+            want = 1 / (1 + math.exp(-(x[i] @ theta[:-1] + theta[-1])))
+            assert told[i] == pytest.approx(want, abs=1e-6) and (not folds or others[i] == (y[i], fold[i], pytest.approx(want, abs=1e-6)))
+
+
+def test_texts_without_known_words_get_the_share_of_labels(spark):
+    df = spark.createDataFrame([(i, [f"w{i}"], int(i < 4), i % 2) for i in range(16)] + [(16, [], 0, 0)], "id long, terms array<string>, y int, fold int")
+    assert [r["probability"] for r in models.told_by_others(df, "y", 2).collect()] == pytest.approx([0.5] * 17)
+
+
 def test_vocabulary_keeps_the_commonest(spark):
     df = spark.createDataFrame(texts(), "id long, terms array<string>, y int")
     words = models.vocabulary(df, min_df=2, most=5)
